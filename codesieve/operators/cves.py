@@ -45,12 +45,16 @@ def explain_records(requests: DataFrame, osv: DataFrame, nvd: DataFrame) -> Data
 
     Invalid ids get an ``error``; an id that no table knows gets defaults.
     ``requests`` has request_id and cve_id.  Many requests may name the same
-    CVE, so the join deals each CVE's requests to several tasks.
+    CVE, so the join deals the requests of such a CVE to several tasks.
     """
     checked = check_requests(requests).withColumns({
-        "requested": F.col("cve_id"), "cve_id": F.when(F.col("error").isNull(), F.upper("cve_id")),
+        "requested": F.col("cve_id"),
+        # Invalid ids get keys of their own, which match nothing and spread evenly.
+        "cve_id": F.when(F.col("error").isNull(), F.upper("cve_id")).otherwise(
+            F.concat(F.lit("invalid "), F.col("request_id").cast("string"))),
     })
-    joined = spread_join(checked, cve_sources(osv, nvd), on=["cve_id"], spread_by=["request_id"])
+    joined = spread_join(checked, cve_sources(osv, nvd), on=["cve_id"], spread_by=["request_id"]).withColumn(
+        "cve_id", F.when(F.col("error").isNull(), F.col("cve_id")))
     none = F.array().cast("array<string>")
     return joined.withColumns({
         "source": F.coalesce("source", F.lit("none")),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.advisory import cve_id_pick, reference_urls, summary_or_default
 from ..functions.severity import advisory_severity, risk_score
 from ..functions.versions import normal_name, version_key
-from .skew import spread_join
+from .skew import HOT_ROWS, hot_keys, spread_join
 
 _PACKAGE = ["eco_key", "name_key", "version"]
 
@@ -78,26 +78,39 @@ def advisory_packages(advisories: DataFrame) -> DataFrame:
                        _range_keys(F.col("entries")).alias("ranges"))
 
 
-def package_matches(deps: DataFrame, advisories: DataFrame) -> DataFrame:
+def _packages(keyed: DataFrame) -> DataFrame:
+    """Distinct packages with the number of rows that name them."""
+    named = keyed.where(F.col("eco_key").isNotNull() & F.col("name_key").isNotNull())
+    return named.groupBy(*_PACKAGE).agg(F.count("*").alias("uses"))
+
+
+def package_matches(packages: DataFrame, advisories: DataFrame) -> DataFrame:
     """Advisories of each distinct (ecosystem, name, version).
 
-    The dependency table is reduced to distinct packages first, on the map side,
-    so a package that a third of all manifests name is matched once.  A version
-    is affected if listed, or if in a range; no version means any version.
+    Dependencies are reduced to distinct packages first, on the map side, so a
+    package that a third of all manifests name is matched once.  A version is
+    affected if listed, or if in a range; no version means any version.
     """
-    packages = deps.select(*_PACKAGE).distinct().withColumn("key", version_key(F.col("version")))
-    joined = packages.join(advisory_packages(advisories), ["eco_key", "name_key"])
+    # ``uses`` stays in the plan so that the hot-key branch can reuse this shuffle.
+    counted = packages.where("uses > 0").withColumn("key", version_key(F.col("version")))
+    joined = counted.join(advisory_packages(advisories), ["eco_key", "name_key"])
     listed = F.array_contains(F.coalesce("versions", F.array().cast("array<string>")), F.col("version"))
     in_range = F.exists("ranges", lambda r: _in_range(r, F.col("key")))
     affected = (F.col("version") == "") | F.coalesce(listed, F.lit(False)) | F.coalesce(in_range, F.lit(False))
     return joined.where(affected).select(*_PACKAGE, "id", "vuln")
 
 
-def dependency_findings(deps: DataFrame, advisories: DataFrame, default_ecosystem: str = "PyPI") -> DataFrame:
+def _back_to_dependencies(keyed: DataFrame, packages: DataFrame, found: DataFrame, hot_rows: int) -> DataFrame:
+    hot = hot_keys(packages, _PACKAGE, "uses", hot_rows)
+    return spread_join(keyed, found, on=_PACKAGE, spread_by=["scan_id", "ordinal"], hot=hot)
+
+
+def dependency_findings(deps: DataFrame, advisories: DataFrame, default_ecosystem: str = "PyPI",
+                        hot_rows: int = HOT_ROWS) -> DataFrame:
     """Every dependency with each of its vulnerabilities, or with nulls if none."""
     keyed = _keyed(with_ecosystem(deps, default_ecosystem))
-    matches = package_matches(keyed, advisories)
-    joined = spread_join(keyed, matches, on=_PACKAGE, spread_by=["scan_id", "ordinal"])
+    packages = _packages(keyed)
+    joined = _back_to_dependencies(keyed, packages, package_matches(packages, advisories), hot_rows)
     return joined.select(
         "scan_id", "ordinal", "name", "version", "ecosystem",
         F.col("id").alias("advisory_id"),
@@ -105,24 +118,30 @@ def dependency_findings(deps: DataFrame, advisories: DataFrame, default_ecosyste
     )
 
 
-def dependency_risk(deps: DataFrame, advisories: DataFrame, default_ecosystem: str = "PyPI") -> DataFrame:
-    """Every dependency with its number of vulnerabilities, their CVE ids and risk score.
+def dependency_risk(deps: DataFrame, advisories: DataFrame, default_ecosystem: str = "PyPI",
+                    hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Every dependency with its number of vulnerabilities and risk score.
 
     Packages that no advisory knows, or whose lookup found nothing, have none.
     """
     keyed = _keyed(with_ecosystem(deps, default_ecosystem))
-    scored = package_matches(keyed, advisories).groupBy(*_PACKAGE).agg(
-        F.count("*").alias("n_vulns"), risk_score(F.col("vuln.severity")).alias("risk_score"),
-        F.array_sort(F.collect_list("vuln.cve_id")).alias("cve_ids"))
-    joined = spread_join(keyed, scored, on=_PACKAGE, spread_by=["scan_id", "ordinal"])
+    packages = _packages(keyed)
+    scored = package_matches(packages, advisories).groupBy(*_PACKAGE).agg(
+        F.count("*").alias("n_vulns"), risk_score(F.col("vuln.severity")).alias("risk_score"))
+    joined = _back_to_dependencies(keyed, packages, scored, hot_rows)
     return joined.select(
         "scan_id", "ordinal", "name", "version", "ecosystem",
         F.coalesce("n_vulns", F.lit(0)).alias("n_vulns"),
         F.coalesce("risk_score", F.lit(0.0)).alias("risk_score"),
-        F.coalesce("cve_ids", F.array().cast("array<string>")).alias("cve_ids"),
     )
 
 
+def risk_of_findings(found: DataFrame) -> DataFrame:
+    """``dependency_risk`` from the rows of ``dependency_findings``."""
+    return found.groupBy("scan_id", "ordinal", "name", "version", "ecosystem").agg(
+        F.count("advisory_id").alias("n_vulns"), risk_score(F.col("severity")).alias("risk_score"))
+
+
 def vulnerable_only(risk: DataFrame) -> DataFrame:
     return risk.where(F.col("n_vulns") > 0)
 

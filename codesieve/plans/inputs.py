@@ -162,7 +162,7 @@ def _reports(spark: SparkSession, sf_dir: str, shapes) -> DataFrame:
     fill = {"{id}": _text(d), "{hash}": F.sha1(_text(d)), "{line}": _text(d % 9)}
     texts = [_concat(*[fill.get(p, p) for p in _shape(s)]) for s in shapes]
     report = F.element_at(F.array(*texts), (d % len(shapes) + 1).cast("int"))
-    return table(spark, sf_dir, "documents", "doc_id", "source").select(
+    return spread(table(spark, sf_dir, "documents", "doc_id", "source"), "doc_id").select(
         F.concat(F.lit("scan-"), "source").alias("scan_id"),
         F.concat(F.lit("src/"), _text(d), _choose(EXTENSIONS, d)).alias("file_path"), report.alias("report"))
 
@@ -207,7 +207,7 @@ _PACKAGE_JSON = (
 
 def requirements(spark, sf_dir):
     fill = {"{a}": _text(F.col("o_orderkey") % 30), "{cust}": _text("o_custkey")}
-    return table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").select(
+    return spread(table(spark, sf_dir, "orders", "o_orderkey", "o_custkey"), "o_orderkey").select(
         F.concat(F.lit("order-"), _text("o_orderkey")).alias("scan_id"),
         _concat(*[fill.get(p, p) for p in _REQUIREMENTS]).alias("content"))
 
@@ -215,7 +215,7 @@ def requirements(spark, sf_dir):
 def package_json(spark, sf_dir):
     fill = {"{a}": _text(F.col("o_orderkey") % 30), "{cust}": _text("o_custkey")}
     texts = [_concat(*[fill.get(p, p) for p in s]) for s in _PACKAGE_JSON]
-    return table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").select(
+    return spread(table(spark, sf_dir, "orders", "o_orderkey", "o_custkey"), "o_orderkey").select(
         F.concat(F.lit("order-"), _text("o_orderkey")).alias("scan_id"),
         F.element_at(F.array(*texts), (F.col("o_orderkey") % len(texts) + 1).cast("int")).alias("content"))
 
@@ -242,7 +242,8 @@ FROM lineitem"""
 
 def deps(spark, sf_dir):
     line, part = F.col("l_linenumber"), F.col("l_partkey")
-    return table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").select(
+    lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    return spread(lines, "l_orderkey", "l_linenumber").select(
         F.concat(F.lit("order-"), _text("l_orderkey")).alias("scan_id"), line.alias("ordinal"),
         _concat(F.when(F.col("l_suppkey") % 3 == 0, "PKG_").otherwise("pkg-"), _text(part)).alias("name"),
         F.when(line == 6, "").otherwise(_concat(
@@ -309,7 +310,7 @@ def osv_records(spark, sf_dir):
         F.when(own.isNotNull(), _concat(',"database_specific":{"severity":"', F.coalesce(own, F.lit("")), '"}')).otherwise(""),
         "}", F.when(p % 6 == 0, ',{"package":{"name":"bare"}},{"package":{"ecosystem":"Go"}}').otherwise(""),
         '],"references":[', F.array_join(F.slice(F.array(*[F.lit(r) for r in _REFERENCES]), F.lit(1), (p % 12).cast("int")), ","), "]}")
-    return table(spark, sf_dir, "part", "p_partkey", "p_name").select(record.alias("record"))
+    return spread(table(spark, sf_dir, "part", "p_partkey", "p_name"), "p_partkey").select(record.alias("record"))
 
 
 SQL["osv"] = (
@@ -393,4 +394,4 @@ def message_columns() -> list[Column]:
 
 
 def messages(spark, sf_dir):
-    return table(spark, sf_dir, "events", "event_id", "ts", "event_type", "props").select(*message_columns())
+    return spread(table(spark, sf_dir, "events", "event_id", "ts", "event_type", "props"), "event_id").select(*message_columns())

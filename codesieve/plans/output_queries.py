@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from ..operators import findings as fnd
 from ..operators import summaries
 from ..operators.code_scan import code_scan
-from ..operators.dependencies import dependency_risk
+from ..operators.dependencies import dependency_findings, risk_of_findings
 from ..operators.secrets import secret_scan
 from ..prompts import assembly as prompts
-from ..session import shared_folder
+from ..session import few_partitions, shared_folder, written
 from ..sinks import export, report, store
 from ..sources.advisories import parse_osv
 from ..streaming import scan_stream as streams
@@ -28,8 +28,8 @@ def _report_ctes() -> str:
 
 def _report_inputs(spark, sf_dir):
     files = inputs.files(spark, sf_dir)
-    risk = dependency_risk(inputs.report_deps(spark, sf_dir), parse_osv(inputs.osv_records(spark, sf_dir)))
-    return code_scan(files), secret_scan(files), risk
+    packages = dependency_findings(inputs.report_deps(spark, sf_dir), parse_osv(inputs.osv_records(spark, sf_dir)))
+    return code_scan(files), secret_scan(files), packages
 
 
 # --- counts and report --------------------------------------------------------------------
@@ -43,10 +43,11 @@ FROM (SELECT scan_id, severity AS tag, 1 AS n FROM {_CODE} UNION ALL SELECT scan
 
 @query("report_counts", _report_ctes() + ",\n" + _COUNTS + "\nSELECT * FROM counts")
 def report_counts(spark, sf_dir):
-    return summaries.report_counts(*_report_inputs(spark, sf_dir))
+    found, secrets, packages = _report_inputs(spark, sf_dir)
+    return summaries.report_counts(found, secrets, risk_of_findings(packages))
 
 
-def _fill_sql(name: str, **columns: str) -> str:
+def _fill_sql(name: str, /, **columns: str) -> str:
     return "(" + " || ".join(columns[t] if is_column else quote(t) for is_column, t in report.pieces(name)) + ")"
 
 
@@ -81,7 +82,7 @@ def _report_sql() -> str:
         parts.append(f"SELECT scan_id, {part}, {report.OPEN}, '', 0, '', {opened} FROM {counted}")
         parts.append(f"SELECT scan_id, {part}, {report.CLOSE}, '', 0, '', {_fill_sql('close')} FROM {counted}")
     parts.append(
-        f"SELECT scan_id, {report.FINDINGS}, {report.ROW}, file_path, rule_order * 1000000000 + line_number, '', " + _fill_sql(
+        f"SELECT scan_id, {report.FINDINGS}, {report.ROW}, file_path, CAST(rule_order AS BIGINT) * 1000000000 + line_number, '', " + _fill_sql(
             "finding", color=color, severity="upper(severity)", title=_shown_sql("title"),
             description=_shown_sql("description", empty=""), snippet=_shown_sql("code_snippet", "<pre>", "</pre>", ""),
             fix=_shown_sql("remediation", "<br>Fix: ", "", ""), category=_shown_sql("category"), place=place,
@@ -95,13 +96,18 @@ def _report_sql() -> str:
         f"SELECT scan_id, {report.PACKAGES}, {report.ROW}, '', ordinal, name || ' ' || version, " + _fill_sql(
             "package", name=_shown_sql("name"), version=_shown_sql("version", empty=""), band=band,
             risk="CASE WHEN risk_score >= 1 THEN printf('%.1f/10', risk_score) ELSE '0.0/10' END",
-            cves=_shown_sql("array_to_string(cve_ids, ' ')")) + " FROM risk")
+            none="CASE WHEN n_vulns = 0 THEN " + quote(report.DASH) + " ELSE '' END") + " FROM risk")
+    parts.append(
+        f"SELECT scan_id, {report.PACKAGES}, {report.ROW}, '', ordinal, name || ' ' || k.version || chr(10) || cve_id, "
+        + _fill_sql("cve", cve="cve_id")
+        + " FROM keyed k JOIN matches m ON k.ecosystem = m.ecosystem AND k.name_key = m.name_key AND k.version = m.version")
     return _report_ctes() + ",\n" + _COUNTS + "\n" + "\nUNION ALL ".join(parts)
 
 
 @query("sink_report_html", _report_sql())
 def sink_report_html(spark, sf_dir):
-    return report.report_lines(*_report_inputs(spark, sf_dir), generated=AS_OF)
+    tables = zip(_report_inputs(spark, sf_dir), ("findings", "secrets", "packages"))
+    return report.report_lines(*[written(df, name) for df, name in tables], generated=AS_OF)
 
 
 # --- scan log -----------------------------------------------------------------------------
@@ -216,8 +222,7 @@ def split_system(spark, sf_dir):
     return prompts.split_system(inputs.table(spark, sf_dir, "conversations"))
 
 
-@query("flatten_transcript", f"""
-SELECT conv_id, turn // {prompts.TRANSCRIPT_TURNS} AS part, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY ALL""")
+@query("flatten_transcript", "SELECT conv_id, turn, role || ': ' || text AS line FROM conversations")
 def flatten_transcript(spark, sf_dir):
     return prompts.flatten_transcript(inputs.table(spark, sf_dir, "conversations"))
 
@@ -247,6 +252,8 @@ _ASKED = "CASE CAST(regexp_extract(file_path, '([0-9]+)', 1) AS BIGINT) % 4 WHEN
 @query("stream_scan", with_inputs("files", query=f"SELECT * FROM {_FULL} WHERE list_contains({_ASKED}, kind)"))
 def stream_scan(spark, sf_dir):
     docs = streams.read_table_stream(spark, sf_dir, "documents.parquet", _DOCUMENTS)
+    if few_partitions(inputs.table(spark, sf_dir, "documents")):
+        docs = docs.repartition(spark.sparkContext.defaultParallelism * 4, "doc_id")
     kinds = [["secrets", "code", "owasp"], ["code"], ["owasp", "secrets"], ["secrets", "zap"]]
     asked = F.element_at(F.array(*[F.array(*[F.lit(k) for k in ks]) for ks in kinds]), (F.col("doc_id") % 4 + 1).cast("int"))
     requests = docs.select(*inputs.file_columns(), asked.alias("scan_types"))

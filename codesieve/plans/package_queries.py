@@ -183,22 +183,22 @@ def _risk(spark, sf_dir):
 _RISK = "scan_id, ordinal, name, version, ecosystem, CAST(n_vulns AS BIGINT) AS n_vulns, risk_score"
 
 
-@query("dep_risk", _with_matches(f"SELECT {_RISK}, array_to_string(cve_ids, ',') AS cve_ids FROM risk"))
+@query("dep_risk", _with_matches(f"SELECT {_RISK} FROM risk"))
 def dep_risk(spark, sf_dir):
-    return _risk(spark, sf_dir).withColumn("cve_ids", F.array_join("cve_ids", ","))
+    return _risk(spark, sf_dir)
 
 
 @query("vulnerable_packages", _with_matches(f"SELECT {_RISK} FROM risk WHERE n_vulns > 0"))
 def vulnerable_packages(spark, sf_dir):
-    return dependencies.vulnerable_only(_risk(spark, sf_dir)).drop("cve_ids")
+    return dependencies.vulnerable_only(_risk(spark, sf_dir))
 
 
 @query("lookup_failure", _with_matches(
     "SELECT ecosystem, count(*) AS n, CAST(max(n_vulns) AS BIGINT) AS n_vulns, max(risk_score) AS risk_score FROM risk "
-    "WHERE len(cve_ids) = 0 GROUP BY ALL"))
+    "WHERE n_vulns = 0 GROUP BY ALL"))
 def lookup_failure(spark, sf_dir):
     """Packages that no advisory matches stay, with no vulnerabilities and risk 0."""
-    none = _risk(spark, sf_dir).where(F.size("cve_ids") == 0)
+    none = _risk(spark, sf_dir).where("n_vulns = 0")
     return none.groupBy("ecosystem").agg(
         F.count("*").alias("n"), F.max("n_vulns").alias("n_vulns"), F.max("risk_score").alias("risk_score"))
 

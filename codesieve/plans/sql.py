@@ -64,10 +64,6 @@ def owasp_hits(source: str = "files") -> str:
         f"length(piece) - length(replace(piece, chr(1), '')) AS n_hits FROM ({hits(r, source)})" for r in OWASP_RULES)
 
 
-ENTROPY = ("(SELECT -sum(k / n * log2(k / n)) FROM (SELECT CAST(count(*) AS DOUBLE) AS k, CAST(length({v}) AS DOUBLE) AS n "
-           "FROM unnest(string_split({v}, '')) AS c(ch) GROUP BY ch))")
-
-
 def entropy(value: str) -> str:
     return (f"list_sum(list_transform(list_distinct(string_split({value}, '')), lambda c: "
             f"-((length({value}) - length(replace({value}, c, ''))) / CAST(length({value}) AS DOUBLE)) * "
@@ -193,9 +189,9 @@ matches AS (SELECT k.ecosystem, k.name_key, k.version, vulns.* FROM keys k JOIN
     WHEN 2 THEN k.version IN ('1.' || CAST(p % 10 AS VARCHAR) || '.1', '2.3.2', '0.5.4')
     ELSE FALSE END),
 scored AS (SELECT ecosystem, name_key, version, count(*) AS n_vulns,
-    least(10.0, avg({weight("severity")})) AS risk_score, list_sort(list(cve_id)) AS cve_ids FROM matches GROUP BY ALL),
+    least(10.0, avg({weight("severity")})) AS risk_score FROM matches GROUP BY ALL),
 risk AS (SELECT scan_id, ordinal, name, keyed.version, keyed.ecosystem, coalesce(n_vulns, 0) AS n_vulns,
-    CAST(coalesce(risk_score, 0) AS DOUBLE) AS risk_score, coalesce(cve_ids, []) AS cve_ids
+    CAST(coalesce(risk_score, 0) AS DOUBLE) AS risk_score
   FROM keyed LEFT JOIN scored ON keyed.ecosystem = scored.ecosystem AND keyed.name_key = scored.name_key AND keyed.version = scored.version)"""
 
 

@@ -28,10 +28,6 @@ OFFLINE_CHAT_BEFORE = (
 )
 OFFLINE_CHAT_AFTER = "\n\nFor security questions, refer to: https://owasp.org/www-project-top-ten/"
 
-# Turns of a conversation that one transcript row holds at most.
-TRANSCRIPT_TURNS = 512
-
-
 def _line(label: str, value: Column) -> Column:
     """A labelled line, or null (which the join skips) for a missing value."""
     return F.concat(F.lit(label), F.nullif(value, F.lit("")))
@@ -119,19 +115,20 @@ def split_system(turns: DataFrame) -> DataFrame:
         rest.select("conv_id", F.lit("message").alias("kind"), "turn", "role", F.col("text").alias("content")))
 
 
-def flatten_transcript(turns: DataFrame, turns_per_row: int = TRANSCRIPT_TURNS) -> DataFrame:
-    """``role: content`` lines joined by newlines.
+def flatten_transcript(turns: DataFrame) -> DataFrame:
+    """``role: content`` lines (conv_id, turn, line).
 
-    A conversation takes one row per ``turns_per_row`` turns, so no row collects
-    more than that many; ``part`` orders the rows.  Shorter ones are one row.
+    Lines stay rows and :func:`write_transcripts` joins them with newlines, so a
+    conversation of any length is never collected in one task.
     """
-    line = F.concat(F.col("role"), F.lit(": "), F.col("text"))
-    listed = F.array_sort(F.collect_list(F.struct("turn", line.alias("line"))))
-    return (
-        turns.withColumn("part", F.floor(F.col("turn") / turns_per_row).cast("long"))
-        .groupBy("conv_id", "part")
-        .agg(F.array_join(F.transform(listed, lambda t: t["line"]), "\n").alias("transcript"))
-    )
+    return turns.select("conv_id", "turn", F.concat(F.col("role"), F.lit(": "), F.col("text")).alias("line"))
+
+
+def write_transcripts(lines: DataFrame, path: str) -> None:
+    """One folder ``conv_id=<id>`` per conversation; its files in name order are
+    the transcript."""
+    ordered = lines.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn")
+    ordered.select("conv_id", "line").write.mode("overwrite").partitionBy("conv_id").text(path)
 
 
 def chat_fallback(turns: DataFrame) -> DataFrame:

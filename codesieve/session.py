@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +34,11 @@ def local_session(cores: str = "*", app: str = "codesieve", **extra: str) -> Spa
     return spark
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="codesieve-")
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below the one the cluster names in ``spark.checkpoint.dir``.
 
@@ -43,11 +49,23 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="codesieve-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_folder()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` as a table in the shared folder, for results that are read more than
+    once.  It survives the loss of executors, and its lineage ends there."""
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def few_partitions(df: DataFrame) -> bool:
+    """Whether a scan comes in fewer partitions than there are cores."""
+    return df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Use all cores on an input that arrives in fewer partitions than there are.
 
@@ -55,8 +73,6 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     as it is, so nothing is shuffled at scale.  ``keys`` should be unique per row.
     Call it on a scan only: it asks for the plan's partition count.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    if not few_partitions(df):
         return df
-    return df.repartition(cores * 4, *keys)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism * 4, *keys)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.severity import risk_band, risk_label, severity_color
 from ..functions.text import html_escape
-from ..operators.summaries import report_counts
+from ..operators.dependencies import risk_of_findings
 
 HEAD, FINDINGS, SECRETS, PACKAGES, FOOT = 0, 1, 2, 3, 4
 OPEN, ROW, CLOSE = 0, 1, 2
@@ -60,10 +60,12 @@ TEMPLATES = {
         "<h2>Dependency Risk ({n} packages)</h2><table><tr><th>Package</th><th>Version</th>"
         "<th>Risk Score</th><th>CVEs</th></tr>"
     ),
+    # The cells' end tags are left out: further lines add the package's CVEs.
     "package": (
         "<tr><td>{name}</td><td><code>{version}</code></td>"
-        '<td><span class="{band}">{risk}</span></td><td>{cves}</td></tr>'
+        '<td><span class="{band}">{risk}</span></td><td>{none}'
     ),
+    "cve": "<code>{cve}</code> ",
     "close": "</table>",
     "foot": "<p>For authorized security testing only. {generated}</p></body></html>",
 }
@@ -81,7 +83,7 @@ def pieces(name: str) -> list[tuple[bool, str]]:
     return out
 
 
-def _fill(name: str, **columns: Column) -> Column:
+def _fill(name: str, /, **columns: Column) -> Column:
     return F.concat(*[columns[text] if is_column else F.lit(text) for is_column, text in pieces(name)])
 
 
@@ -100,37 +102,64 @@ def _place() -> Column:
     return _shown(F.col("file_path"), lambda c: F.concat(F.lit("<code>"), c, F.lit("</code>"), F.coalesce(line, F.lit(""))))
 
 
-def _rows(df: DataFrame, part: int, kind: int, html: Column, k1: Column, k2: Column, k3: Column) -> DataFrame:
+def _rows(df: DataFrame, part: int, html: Column, k1: Column, k2: Column, k3: Column) -> DataFrame:
     return df.select(
-        "scan_id", F.lit(part).alias("part"), F.lit(kind).alias("kind"), k1.cast("string").alias("k1"),
+        "scan_id", F.lit(part).alias("part"), F.lit(ROW).alias("kind"), k1.cast("string").alias("k1"),
         k2.cast("long").alias("k2"), k3.cast("string").alias("k3"), html.alias("html"))
 
 
+def _figures(findings: DataFrame, secrets: DataFrame, packages: DataFrame) -> DataFrame:
+    """Head figures and section sizes of every scan, in one aggregation."""
+    rows = (
+        findings.select("scan_id", F.struct(F.lit(1).alias("finding"), F.lit(0).alias("secret"), F.lit(0).alias("package"),
+                                            F.col("severity"), F.lit(0).cast("long").alias("cves")).alias("r"))
+        .unionByName(secrets.select("scan_id", F.struct(
+            F.lit(0).alias("finding"), F.lit(1).alias("secret"), F.lit(0).alias("package"),
+            F.lit(None).cast("string").alias("severity"), F.lit(0).cast("long").alias("cves")).alias("r")))
+        .unionByName(packages.select("scan_id", F.struct(
+            F.lit(0).alias("finding"), F.lit(0).alias("secret"), F.lit(1).alias("package"),
+            F.lit(None).cast("string").alias("severity"), F.col("n_vulns").cast("long").alias("cves")).alias("r")))
+    )
+    return rows.groupBy("scan_id").agg(
+        *[F.count_if(F.col("r.severity") == level).alias(f"{level}_count") for level in ("critical", "high", "medium", "low")],
+        F.sum("r.finding").alias("n_findings"), F.sum("r.secret").alias("secrets_count"),
+        F.sum("r.package").alias("n_packages"), F.sum("r.cves").alias("dep_vuln_count"))
+
+
 def report_lines(findings: DataFrame, secrets: DataFrame, packages: DataFrame, generated: str,
                  title: str = "Security Report") -> DataFrame:
     """The lines of every scan's report.
 
     ``findings`` is a code scan's result, ``secrets`` a secret scan's, and
-    ``packages`` comes from ``dependency_risk``.  A section is left out when it
-    has no rows.  All texts are escaped.
+    ``packages`` comes from ``dependency_findings``.  Each is read more than
+    once, for the figures and for the rows, so pass written tables and not the
+    scans themselves.  A section is left out when it has no rows.  All texts are
+    escaped.
     """
-    counts = report_counts(findings, secrets, packages.select("scan_id", "n_vulns")).join(
-        packages.groupBy("scan_id").agg(F.count("*").alias("n_packages")), "scan_id", "left")
-    n_findings = findings.groupBy("scan_id").agg(F.count("*").alias("n_all"))
-    heads = counts.join(n_findings, "scan_id", "left")
-    none, zero = F.lit(""), F.lit(0)
-    number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
-
-    def frame(part: int, name: str, count: str) -> list[DataFrame]:
-        some = heads.where(F.col(count) > 0)
-        return [
-            _rows(some, part, OPEN, _fill(f"{name}_open", n=number(count)), none, zero, none),
-            _rows(some, part, CLOSE, _fill("close"), none, zero, none),
-        ]
-
-    head = _fill("head", title=html_escape(F.lit(title)), generated=F.lit(generated), scan=html_escape(F.col("scan_id")),
-                 **{c: number(c) for c in ("critical_count", "high_count", "medium_count", "low_count",
-                                           "secrets_count", "dep_vuln_count")})
+    risk = risk_of_findings(packages)
+    none = F.lit("")
+    text = lambda c: F.col(c).cast("string")
+
+    def line(part: int, kind: int, html: Column, when: Column | None = None) -> Column:
+        made = F.struct(F.lit(part).alias("part"), F.lit(kind).alias("kind"), html.alias("html"))
+        return made if when is None else F.when(when, made)
+
+    frame = [
+        line(HEAD, OPEN, _fill("head", title=html_escape(F.lit(title)), generated=F.lit(generated),
+                               scan=html_escape(F.col("scan_id")),
+                               **{c: text(c) for c in ("critical_count", "high_count", "medium_count", "low_count",
+                                                       "secrets_count", "dep_vuln_count")})),
+        line(FOOT, CLOSE, _fill("foot", generated=F.lit(generated))),
+    ]
+    for part, name, count in ((FINDINGS, "findings", "n_findings"), (SECRETS, "secrets", "secrets_count"),
+                              (PACKAGES, "packages", "n_packages")):
+        some = F.col(count) > 0
+        frame += [line(part, OPEN, _fill(f"{name}_open", n=text(count)), some), line(part, CLOSE, _fill("close"), some)]
+    frames = (
+        _figures(findings, secrets, risk)
+        .select("scan_id", F.explode(F.filter(F.array(*frame), lambda x: x.isNotNull())).alias("x"))
+        .select("scan_id", "x.part", "x.kind", none.alias("k1"), F.lit(0).cast("long").alias("k2"), none.alias("k3"), "x.html")
+    )
     finding = _fill(
         "finding", color=severity_color(F.col("severity")), severity=F.upper("severity"),
         title=_shown(F.col("title")), description=_shown(F.col("description"), empty=""),
@@ -143,21 +172,18 @@ def report_lines(findings: DataFrame, secrets: DataFrame, packages: DataFrame, g
     package = _fill(
         "package", name=_shown(F.col("name")), version=_shown(F.col("version"), empty=""),
         band=risk_band(F.col("risk_score")), risk=risk_label(F.col("risk_score")),
-        cves=_shown(F.array_join("cve_ids", " ")))
-    parts = [
-        _rows(heads, HEAD, OPEN, head, none, zero, none),
-        *frame(FINDINGS, "findings", "n_all"),
-        _rows(findings, FINDINGS, ROW, finding, F.col("file_path"), F.col("rule_order") * 1000000000 + F.col("line_number"), none),
-        *frame(SECRETS, "secrets", "secrets_count"),
-        _rows(secrets, SECRETS, ROW, secret, F.col("file_path"), F.col("line_number"), F.col("id")),
-        *frame(PACKAGES, "packages", "n_packages"),
-        _rows(packages, PACKAGES, ROW, package, none, F.col("ordinal"), F.concat_ws(" ", "name", "version")),
-        _rows(heads, FOOT, CLOSE, _fill("foot", generated=F.lit(generated)), none, zero, none),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        none=F.when(F.col("n_vulns") == 0, DASH).otherwise(""))
+    named = F.concat_ws(" ", "name", "version")
+    cve = F.concat(named, F.lit("\n"), F.col("cve_id"))
+    in_file = F.col("rule_order").cast("long") * 1_000_000_000 + F.col("line_number")
+    return (
+        frames
+        .unionByName(_rows(findings, FINDINGS, finding, F.col("file_path"), in_file, none))
+        .unionByName(_rows(secrets, SECRETS, secret, F.col("file_path"), F.col("line_number"), F.col("id")))
+        .unionByName(_rows(risk, PACKAGES, package, none, F.col("ordinal"), named))
+        .unionByName(_rows(packages.where("cve_id is not null"), PACKAGES, _fill("cve", cve=html_escape(F.col("cve_id"))),
+                           none, F.col("ordinal"), cve))
+    )
 
 
 def write_reports(lines: DataFrame, path: str) -> None:

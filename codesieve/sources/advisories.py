@@ -10,7 +10,9 @@ from .. import schemas
 
 def parse_osv(records: DataFrame, column: str = "record") -> DataFrame:
     """JSON texts in OSV form to the advisories table."""
-    return records.select(F.from_json(column, schemas.ADVISORY).alias("a")).where("a.id is not null").select("a.*")
+    # Through a generator: a filter on a parsed column would be pushed below the
+    # projection and every text parsed twice.
+    return records.select(F.inline(F.array(F.from_json(column, schemas.ADVISORY)))).where("id is not null")
 
 
 def read_osv(spark: SparkSession, path: str) -> DataFrame:
@@ -24,8 +26,8 @@ def parse_nvd(responses: DataFrame, column: str = "response") -> DataFrame:
     The summary is the first English description, or empty; responses without a
     record give no row.
     """
-    parsed = responses.select(F.from_json(column, schemas.NVD).alias("r"))
-    cve = parsed.select(F.get("r.vulnerabilities", F.lit(0))["cve"].alias("cve")).where("cve is not null")
+    first = F.slice(F.from_json(column, schemas.NVD)["vulnerabilities"], 1, 1)
+    cve = responses.select(F.inline(F.coalesce(first, F.array()))).where("cve is not null")
     english = F.filter("cve.descriptions", lambda d: d["lang"] == "en")
     return cve.select(
         F.col("cve.id").alias("id"),

@@ -59,7 +59,8 @@ def parse_trufflehog(reports: DataFrame) -> DataFrame:
     lines = reports.select(*keys, F.explode(split_lines(F.col("report"))).alias("__line"))
     f = (
         lines.where(F.trim("__line") != "")
-        .select(*keys, F.from_json("__line", _TRUFFLEHOG, {"columnNameOfCorruptRecord": "__corrupt"}).alias("f"))
+        .select(*keys, F.explode(F.array(
+            F.from_json("__line", _TRUFFLEHOG, {"columnNameOfCorruptRecord": "__corrupt"}))).alias("f"))
         .where(F.col("f").isNotNull() & F.col("f.__corrupt").isNull())
     )
     raw = F.coalesce("f.Raw", "f.RawV2", F.lit(""))
