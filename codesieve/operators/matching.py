@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from ..functions.text import split_lines
 from ..rules.model import TextRule
 
-# Markers put into a copy of the text; should a text contain them they are
-# first replaced by another control character, which no rule tells apart.
-_HIT, _VALUE_END, _PLAIN = "\x01", "\x02", "\x03"
+# Markers put into a copy of the text: Unicode noncharacters, which no text is
+# meant to hold.  Should one occur, it is first replaced by another one.
+_HIT, _VALUE_END, _PLAIN = "\ufdd1", "\ufdd2", "\ufdd3"
 
 # Characters that equal an ASCII letter when case is ignored but do not
 # lower-case to it, so that a literal test on the lower-cased text misses them.
