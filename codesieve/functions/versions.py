@@ -27,7 +27,7 @@ def version_key(version: Column) -> Column:
     after ``+`` is ignored and trailing zero components do not count.
     """
     plain = F.regexp_replace(F.lower(F.substring_index(F.trim(version), "+", 1)), r"^v", "")
-    core = F.regexp_replace(plain, r"(\.0+)+($|[-_.]?[a-z]|[^0-9.])", "$2")
+    core = F.regexp_replace(plain, r"\.0[.0]*($|[-_.]?[a-z]|[^0-9.])", "$1")
     words = F.create_map(*[F.lit(x) for item in _WORD_RANK.items() for x in item])
 
     def component(part: Column) -> Column:

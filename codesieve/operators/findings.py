@@ -112,7 +112,11 @@ def latest_scan(log: DataFrame, tie_break: str) -> DataFrame:
 
 
 def suppress(findings: DataFrame, suppressions: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Findings that no suppression names."""
+    """Findings that no suppression names.
+
+    A small suppression table is broadcast by its measured size; otherwise AQE
+    splits the partitions of keys with very many findings.
+    """
     return findings.join(suppressions.select(*on).distinct(), list(on), "left_anti")
 
 

@@ -95,6 +95,8 @@ def gate(files: DataFrame, rules: Sequence[TextRule], text: str = "code",
          language: str | None = None) -> DataFrame:
     """One row per (file, rule) that matches, plus ``rule_no``: its place in ``rules``.
 
+    Missing and empty texts match nothing, since no rule matches the empty text.
+
     The test array goes straight into ``explode``.  As a column of its own the
     optimizer would infer a "not empty" filter from it, push that below the
     projection and run every test twice.
@@ -102,8 +104,7 @@ def gate(files: DataFrame, rules: Sequence[TextRule], text: str = "code",
     lowered, twins = "__lower", "__twins"
     twin_test = reduce(or_, [F.contains(F.col(text), F.lit(c)) for c in _CASE_TWINS])
     prepared = (
-        files.where(F.col(text).isNotNull() & (F.col(text) != ""))
-        .withColumn(lowered, F.lower(F.col(text)))
+        files.withColumn(lowered, F.lower(F.col(text)))
         .withColumn(twins, twin_test)
     )
     tests = _gate_column(

@@ -152,7 +152,7 @@ def affected(record: str = "record") -> str:
 
 def version_key(v: str) -> str:
     plain = f"regexp_replace(lower(split_part(trim({v}), '+', 1)), '^v', '')"
-    core = f"regexp_replace({plain}, '(\\.0+)+($|[-_.]?[a-z]|[^0-9.])', '\\2', 'g')"
+    core = f"regexp_replace({plain}, '\\.0[.0]*($|[-_.]?[a-z]|[^0-9.])', '\\1', 'g')"
     words = "CASE p " + " ".join(f"WHEN {quote(k)} THEN {quote(r)}" for k, r in _WORD_RANK.items()) + " ELSE 'A4' || p END"
     digits = "regexp_replace(p, '^0+([0-9])', '\\1')"
     part = (f"CASE WHEN regexp_matches(p, '^[0-9]') THEN 'N' || lpad(CAST(length({digits}) AS VARCHAR), 3, '0') || {digits} "

@@ -41,7 +41,7 @@ SECRET_RULES: tuple[SecretRule, ...] = (
                r"""\b(?:api[_\-]?key|access[_\-]?token|auth[_\-]?token|token|secret)["']?\s*[:=]\s*["']([A-Za-z0-9_\-]{16,})["']""",
                (("key", "token", "secret"), ('"', "'")), value_group=1, secret_type="generic_api_key",
                description="Generic API key or token assignment detected", confidence=0.8),
-    SecretRule("private-key", r"(-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----)", (("private key-----",),),
+    SecretRule("private-key", r"(-----BEGIN (?:[A-Z]+ ){0,4}PRIVATE KEY-----)", (("private key-----",),),
                ignore_case=False, value_group=1, secret_type="private_key",
                description="Private key block detected"),
     SecretRule("connection-string",

@@ -18,7 +18,7 @@ def column(spark, values, kind, expr):
 def test_masks(spark):
     values = ["", "abc", "abcd", "abcdef", "héllo wörld", "x" * 40]
     assert column(spark, values, "string", tx.mask_tail) == [brute.mask(v) for v in values]
-    bullet = "•"
+    bullet = "\u2022"
     assert column(spark, ["", None, "12345678", "abcdefghij", "a" * 4 + "b" * 30 + "c" * 4], "string", tx.mask_middle) == [
         "", "", bullet * 8, "abcd" + bullet * 2 + "ghij", "aaaa" + bullet * 12 + "cccc"]
 
@@ -30,13 +30,13 @@ def test_entropy(spark):
 
 
 def test_decode_drops_invalid_bytes_only(spark):
-    raw = [b"ab\xff\xfecd", "é�ü".encode() + b"\xe2\x82", b"", b"\xed\xa0\x80x", bytes(range(256))]
+    raw = [b"ab\xff\xfecd", "é\ufffdü".encode() + b"\xe2\x82", b"", b"\xed\xa0\x80x", bytes(range(256))]
     got = column(spark, [bytearray(b) for b in raw], "binary", tx.decode_utf8)
     assert got == [b.decode("utf-8", errors="ignore") for b in raw]
 
 
 def test_split_lines(spark):
-    values = ["a\nb", "a\r\nb\rc\n", "a\x0bb\x0cc\x1cd\x1de\x1ef\x85g h i", "\n\n", "x"]
+    values = ["a\nb", "a\r\nb\rc\n", "a\x0bb\x0cc\x1cd\x1de\x1ef\x85g\u2028h\u2029i", "\n\n", "x"]
     assert column(spark, values, "string", tx.split_lines) == [v.splitlines() for v in values]
 
 

@@ -31,8 +31,8 @@ def random_text(rng):
         if rng.random() < 0.2:
             piece = piece.upper()
         out.append(piece)
-        out.append(rng.choice(["\n", "\n", "\n\n", " ", "\r\n", "\r", "\x0b", " ", "\x1c", " ", "é", "\x01", "\x02",
-                               "﷑", ""]))
+        out.append(rng.choice(["\n", "\n", "\n\n", " ", "\r\n", "\r", "\x0b", "\u2028", "\x1c", " ", "é", "\x01", "\x02",
+                               "\ufdd1", ""]))
     return "".join(out)
 
 
