@@ -115,6 +115,8 @@ SNIPPETS: tuple[str, ...] = (
     "t = glpat-" + "abcde12345" * 2,
     "t = 'xoxb-" + "1234567890-abcdefghij'",
     "stripe.key = 'sk_test_" + "0123456789abcdef0123'",
+    "discord_token = 'M" + "abcdefgh" * 2 + "ABCDEFG" + ".AbCdEf." + "0123456789-abcdefghijklmnop_'",
+    "discord_channel = 'general'",
     "-----BEGIN RSA PRIVATE KEY-----",
     "-----BEGIN PUBLIC KEY-----",
     "url = postgres://user:s3cretpw@db.example.com/app",

@@ -31,9 +31,9 @@ SECRET_RULES: tuple[SecretRule, ...] = (
     SecretRule("slack-token", r"\b(xox[abprs]-[A-Za-z0-9\-]{10,})", (("xox",),),
                ignore_case=False, value_group=1, secret_type="slack_token",
                description="Slack token detected"),
-    SecretRule("discord-token", r"\b([MN][A-Za-z0-9]{23}\.[A-Za-z0-9_\-]{6}\.[A-Za-z0-9_\-]{27})", (),
-               ignore_case=False, value_group=1, secret_type="discord_token",
-               description="Discord bot token detected"),
+    SecretRule("discord-token",
+               r"discord[^\n]{0,80}?\b([MN][A-Za-z0-9]{23}\.[A-Za-z0-9_\-]{6}\.[A-Za-z0-9_\-]{27})", (("discord",),),
+               value_group=1, secret_type="discord_token", description="Discord bot token detected"),
     SecretRule("stripe-key", r"\b([sr]k_(?:live|test)_[0-9A-Za-z]{16,})", (("k_live_", "k_test_"),),
                ignore_case=False, value_group=1, secret_type="stripe_key",
                description="Stripe API key detected"),
