@@ -12,6 +12,9 @@ from .skew import HOT_ROWS, hot_keys, spread_join
 
 _PACKAGE = ["eco_key", "name_key", "version"]
 
+# Tasks that the versions of one name are dealt to.
+NAME_PARTS = 8
+
 
 def with_ecosystem(deps: DataFrame, default: str = "PyPI") -> DataFrame:
     """Each package's own ecosystem, else that of the request."""
@@ -84,16 +87,21 @@ def _packages(keyed: DataFrame) -> DataFrame:
     return named.groupBy(*_PACKAGE).agg(F.count("*").alias("uses"))
 
 
-def package_matches(packages: DataFrame, advisories: DataFrame) -> DataFrame:
+def package_matches(packages: DataFrame, advisories: DataFrame, name_parts: int = NAME_PARTS) -> DataFrame:
     """Advisories of each distinct (ecosystem, name, version).
 
     Dependencies are reduced to distinct packages first, on the map side, so a
-    package that a third of all manifests name is matched once.  A version is
-    affected if listed, or if in a range; no version means any version.
+    package that a third of all manifests name is matched once.  Each version is
+    tested against each advisory of its name; so that one name is no single
+    task's work, its versions are dealt to ``name_parts`` parts and the advisories,
+    by far the smaller table, are repeated.  A version is affected if listed, or
+    if in a range; no version means any version.
     """
     # ``uses`` stays in the plan so that the hot-key branch can reuse this shuffle.
     counted = packages.where("uses > 0").withColumn("key", version_key(F.col("version")))
-    joined = counted.join(advisory_packages(advisories), ["eco_key", "name_key"])
+    part = F.pmod(F.xxhash64("version"), F.lit(name_parts)).cast("int")
+    entries = advisory_packages(advisories).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(name_parts - 1))))
+    joined = counted.withColumn("part", part).join(entries, ["eco_key", "name_key", "part"])
     listed = F.array_contains(F.coalesce("versions", F.array().cast("array<string>")), F.col("version"))
     in_range = F.exists("ranges", lambda r: _in_range(r, F.col("key")))
     affected = (F.col("version") == "") | F.coalesce(listed, F.lit(False)) | F.coalesce(in_range, F.lit(False))

@@ -55,6 +55,14 @@ def test_hot_package_gives_the_same(spark):
         assert sorted(map(str, plain.collect())) == sorted(map(str, dealt.collect()))
 
 
+def test_parts_of_a_name_give_the_same(spark):
+    rows = [("requests", f"2.{i}", "PyPI") for i in range(60)] + [("other", "1", "PyPI")]
+    packages = dependencies._packages(dependencies._keyed(dependencies.with_ecosystem(deps(spark, *rows))))
+    plain, dealt = (dependencies.package_matches(packages, osv(spark, ADVISORY), n) for n in (1, 7))
+    assert sorted(map(str, plain.collect())) == sorted(map(str, dealt.collect()))
+    assert {r.version for r in plain.collect()} == {f"2.{i}" for i in range(60) if i < 3 or 10 <= i < 31}
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_spread_join(spark, how):
     big = spark.range(300).select(F.col("id"), F.when(F.col("id") < 200, 0).otherwise(F.col("id") % 7).alias("k"))
