@@ -220,6 +220,19 @@ def package_json(spark, sf_dir):
         F.element_at(F.array(*texts), (F.col("o_orderkey") % len(texts) + 1).cast("int")).alias("content"))
 
 
+SQL["thin_manifests"] = """SELECT 'order-' || CAST(o_orderkey AS VARCHAR) AS scan_id, CASE o_orderkey % 4
+  WHEN 0 THEN '# nothing' || chr(10) || '  ' || chr(10) || '-r base.txt' WHEN 1 THEN '' WHEN 2 THEN chr(10) || '   # c' || chr(10) || 'pkg-' || CAST(o_custkey AS VARCHAR)
+  ELSE lower(o_orderpriority) END AS content FROM orders"""
+
+
+def thin_manifests(spark, sf_dir):
+    k = F.col("o_orderkey") % 4
+    return table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderpriority").select(
+        F.concat(F.lit("order-"), _text("o_orderkey")).alias("scan_id"),
+        F.when(k == 0, "# nothing\n  \n-r base.txt").when(k == 1, "").when(k == 2, _concat("\n   # c\npkg-", _text("o_custkey")))
+        .otherwise(F.lower("o_orderpriority")).alias("content"))
+
+
 _MANIFEST_FILL = {"{a}": ("CAST(o_orderkey % 30 AS VARCHAR)",), "{cust}": ("CAST(o_custkey AS VARCHAR)",)}
 SQL["requirements"] = ("SELECT 'order-' || CAST(o_orderkey AS VARCHAR) AS scan_id, "
                        + _concat_sql(*[_MANIFEST_FILL.get(p, p) for p in _REQUIREMENTS]) + " AS content FROM orders")

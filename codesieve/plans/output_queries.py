@@ -249,17 +249,34 @@ def _run(spark, stream, purpose: str):
 _ASKED = "CASE CAST(regexp_extract(file_path, '([0-9]+)', 1) AS BIGINT) % 4 WHEN 0 THEN ['secrets', 'code', 'owasp'] WHEN 1 THEN ['code'] WHEN 2 THEN ['owasp', 'secrets'] ELSE ['secrets', 'zap'] END"
 
 
+def _asked(number):
+    kinds = [["secrets", "code", "owasp"], ["code"], ["owasp", "secrets"], ["secrets", "zap"]]
+    return F.element_at(F.array(*[F.array(*[F.lit(k) for k in ks]) for ks in kinds]), (number % 4 + 1).cast("int"))
+
+
 @query("stream_scan", with_inputs("files", query=f"SELECT * FROM {_FULL} WHERE list_contains({_ASKED}, kind)"))
 def stream_scan(spark, sf_dir):
     docs = streams.read_table_stream(spark, sf_dir, "documents.parquet", _DOCUMENTS)
     if few_partitions(inputs.table(spark, sf_dir, "documents")):
         docs = docs.repartition(spark.sparkContext.defaultParallelism * 4, "doc_id")
-    kinds = [["secrets", "code", "owasp"], ["code"], ["owasp", "secrets"], ["secrets", "zap"]]
-    asked = F.element_at(F.array(*[F.array(*[F.lit(k) for k in ks]) for ks in kinds]), (F.col("doc_id") % 4 + 1).cast("int"))
-    requests = docs.select(*inputs.file_columns(), asked.alias("scan_types"))
+    requests = docs.select(*inputs.file_columns(), _asked(F.col("doc_id")).alias("scan_types"))
     return _run(spark, streams.scan_stream(requests).drop("title"), "stream-scan")
 
 
+@query("scan_messages", with_inputs("files", query=f"""
+SELECT file_path AS scan_id, step, CASE step WHEN 'secrets' THEN 'Found ' || CAST(secrets AS VARCHAR) || ' secret(s)'
+  WHEN 'code' THEN 'Found ' || CAST(code AS VARCHAR) || ' vulnerability/ies' ELSE 'OWASP: ' || CAST(10 - failed AS VARCHAR) || '/10 passed' END AS message
+FROM (SELECT file_path, unnest(list_filter(['secrets', 'code', 'owasp'], lambda s: list_contains({_ASKED}, s))) AS step, secrets, code, failed
+  FROM (SELECT file_path, count(*) FILTER (WHERE kind = 'secrets') AS secrets, count(*) FILTER (WHERE kind = 'code') AS code,
+      count(DISTINCT CASE WHEN kind = 'owasp' THEN split_part(rule_id, '#', 1) END) AS failed
+    FROM files LEFT JOIN {_FULL} USING (file_path) GROUP BY file_path))"""))
+def scan_messages(spark, sf_dir):
+    """Every file is one request."""
+    number = F.regexp_extract("file_path", "([0-9]+)", 1).cast("long")
+    requests = inputs.files(spark, sf_dir).withColumns({"scan_id": F.col("file_path"), "scan_types": _asked(number)})
+    return streams.step_messages(requests, streams.scan_stream(requests))
+
+
 def _requests(messages):
     return streams.parse_requests(messages.select(*inputs.message_columns()))
 

@@ -9,7 +9,7 @@ from ..functions import severity as sev
 from ..functions.versions import version_key
 from ..operators import cves, dependencies
 from ..sources.advisories import parse_nvd, parse_osv
-from ..sources.manifests import SECTIONS, SEPARATORS, parse_package_json, parse_requirements
+from ..sources.manifests import SECTIONS, SEPARATORS, flag_empty_requirements, parse_package_json, parse_requirements
 from . import inputs, sql
 from .inputs import quote, with_inputs
 from .registry import query
@@ -46,6 +46,13 @@ def src_package_json(spark, sf_dir):
     return parse_package_json(inputs.package_json(spark, sf_dir))
 
 
+@query("manifest_rejects", with_inputs("thin_manifests", query="""
+SELECT scan_id, CASE WHEN len(list_filter(string_split(content, chr(10)), lambda x: trim(x) <> '' AND trim(x)[1] NOT IN ('#', '-'))) = 0
+  THEN 'No packages found in requirements file' END AS reason FROM thin_manifests"""))
+def manifest_rejects(spark, sf_dir):
+    return flag_empty_requirements(inputs.thin_manifests(spark, sf_dir)).select("scan_id", "reason")
+
+
 # --- advisories -------------------------------------------------------------------------
 
 @query("src_advisories", with_inputs("osv", query=f"""

@@ -63,18 +63,25 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# Only inputs of fewer partitions than this (a few GB at the default split size)
+# are ever shuffled just to use more cores.
+SPREAD_BELOW = 32
+
+
 def few_partitions(df: DataFrame) -> bool:
-    """Whether a scan comes in fewer partitions than there are cores."""
-    return df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
+    """Whether a scan is small and comes in fewer partitions than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.rdd.getNumPartitions() < min(cores, SPREAD_BELOW)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores on an input that arrives in fewer partitions than there are.
+    """Use more cores on a small input that arrives in very few partitions.
 
-    A table of many files already has more partitions than cores and is returned
-    as it is, so nothing is shuffled at scale.  ``keys`` should be unique per row.
-    Call it on a scan only: it asks for the plan's partition count.
+    Tables of many files are returned as they are, so nothing is shuffled at
+    scale.  ``keys`` should be unique per row.  Call it on a scan only: it asks
+    for the plan's partition count.
     """
     if not few_partitions(df):
         return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism * 4, *keys)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(min(cores, SPREAD_BELOW) * 4, *keys)

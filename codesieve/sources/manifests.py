@@ -16,6 +16,15 @@ def _strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
 
 
+def flag_empty_requirements(manifests: DataFrame, content: str = "content") -> DataFrame:
+    """Add ``reason`` for manifests that name no package; a test inside the row."""
+    def names_package(line: Column) -> Column:
+        stripped = _strip(line)
+        return (stripped != "") & ~stripped.rlike("^[#-]")
+    named = F.coalesce(F.exists(split_lines(F.col(content)), names_package), F.lit(False))
+    return manifests.withColumn("reason", F.when(~named, "No packages found in requirements file"))
+
+
 def parse_requirements(manifests: DataFrame, content: str = "content") -> DataFrame:
     """requirements.txt texts to one row per package, in file order (``ordinal``)."""
     keys = [c for c in manifests.columns if c != content]

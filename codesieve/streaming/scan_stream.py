@@ -77,6 +77,33 @@ def scan_progress(requests: DataFrame) -> DataFrame:
         "scan_id", "e.*")
 
 
+def step_messages(requests: DataFrame, findings: DataFrame) -> DataFrame:
+    """What each finished step reports: the number of its findings, or of passed
+    checks.
+
+    ``findings`` comes from :func:`scan_stream`.  Requests without findings get
+    zero rows from a union; distinct checks are counted as bits, so every task
+    sends one row per request.
+    """
+    check = F.substring_index(F.substring_index("rule_id", ":", 1), "A", -1).try_cast("int")
+    bit = F.when(F.col("kind") == "owasp", F.pow(F.lit(2), check - 1).cast("int"))
+    found = findings.select("scan_id", "kind", bit.alias("bit"), F.lit(None).cast("array<string>").alias("types"))
+    asked = requests.select("scan_id", F.lit(None).cast("string").alias("kind"), F.lit(0).alias("bit"),
+                            F.col("scan_types").alias("types"))
+    counts = found.unionByName(asked).groupBy("scan_id").agg(
+        F.count_if(F.col("kind") == "secrets").alias("secrets"), F.count_if(F.col("kind") == "code").alias("code"),
+        F.bit_count(F.bit_or("bit")).alias("failed"),
+        *[F.max(F.array_contains("types", s)).alias(f"asked_{s}") for s in STEPS])
+    text = lambda c: c.cast("string")
+    messages = {
+        "secrets": F.concat(F.lit("Found "), text(F.col("secrets")), F.lit(" secret(s)")),
+        "code": F.concat(F.lit("Found "), text(F.col("code")), F.lit(" vulnerability/ies")),
+        "owasp": F.concat(F.lit("OWASP: "), text(10 - F.col("failed")), F.lit("/10 passed")),
+    }
+    steps = F.array(*[F.when(F.col(f"asked_{s}"), F.struct(F.lit(s).alias("step"), m.alias("message"))) for s, m in messages.items()])
+    return counts.select("scan_id", F.explode(F.filter(steps, lambda s: s.isNotNull())).alias("s")).select("scan_id", "s.*")
+
+
 def scan_stream(requests: DataFrame) -> DataFrame:
     """Findings of every arriving request, for the scan types it asks for."""
     return scan_full(requests, scan_types="scan_types")
