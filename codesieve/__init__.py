@@ -1,0 +1 @@
+"""Security-scan analytics on PySpark DataFrames."""

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import finding_id, snippet, split_lines
+from ..functions.text import finding_id, snippet
 from ..rules import CODE_RULES, CodeRule
 from .matching import gate, locate
 

@@ -12,7 +12,7 @@ from ..functions.text import shannon_entropy
 from ..rules import CODE_RULES, OWASP_CHECKS, OWASP_RULES, SECRET_RULES
 from .matching import hit_count, hit_values, locate
 
-# Fixed values.
+# The steps of a scan, in order.
 SCAN_TYPES = ("secrets", "code", "owasp")
 
 

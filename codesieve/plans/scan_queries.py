@@ -28,10 +28,13 @@ _LEVEL_COUNTS = ", ".join(
 
 @query("src_code", with_inputs("submissions", query="""
 SELECT scan_id, coalesce(nullif(file_path, ''), '<stdin.' || lower(coalesce(language, 'python')) || '>') AS file_path,
-  lower(coalesce(language, 'python')) AS language, CAST(length(code) AS INT) AS n_chars FROM submissions"""))
+  lower(coalesce(language, 'python')) AS language, CAST(length(code) AS INT) AS n_chars, 'code' AS step FROM submissions UNION ALL
+SELECT scan_id, coalesce(nullif(file_path, ''), '<stdin>'), lower(coalesce(language, 'python')), CAST(length(code) AS INT), 'secrets' FROM submissions"""))
 def src_code(spark, sf_dir):
-    return submitted_code(inputs.submissions(spark, sf_dir)).select(
-        "scan_id", "file_path", "language", F.length("code").alias("n_chars"))
+    requests = inputs.submissions(spark, sf_dir)
+    code = submitted_code(requests).withColumn("step", F.lit("code"))
+    secrets = submitted_code(requests, for_secrets=True).withColumn("step", F.lit("secrets"))
+    return code.unionByName(secrets).select("scan_id", "file_path", "language", F.length("code").alias("n_chars"), "step")
 
 
 @query("src_directory", """

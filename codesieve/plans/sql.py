@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..functions.severity import LABELS, RISK_WEIGHT
 from ..functions.versions import _WORD_RANK
 from ..rules import CODE_RULES, OWASP_CHECKS, OWASP_RULES, SECRET_RULES
-from .inputs import quote, sql_list
+from .inputs import quote
 
 # RE2 has no lookaround.  These forms match at the same places as long as two
 # matches do not touch; the two marked "line" test the rest of the line instead.

@@ -22,11 +22,13 @@ def language_of(path: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), suffix)
 
 
-def submitted_code(requests: DataFrame) -> DataFrame:
+def submitted_code(requests: DataFrame, for_secrets: bool = False) -> DataFrame:
     """Requests as a files table: language in lower case, python by default, and
-    a stand-in path for texts that come without one."""
+    a stand-in path for texts that come without one (``<stdin>`` in a secret scan,
+    else ``<stdin.language>``)."""
     language = F.lower(F.coalesce(F.nullif("language", F.lit("")), F.lit("python")))
-    path = F.coalesce(F.nullif("file_path", F.lit("")), F.concat(F.lit("<stdin."), language, F.lit(">")))
+    stand_in = F.lit("<stdin>") if for_secrets else F.concat(F.lit("<stdin."), language, F.lit(">"))
+    path = F.coalesce(F.nullif("file_path", F.lit("")), stand_in)
     return requests.withColumns({"file_path": path, "language": language})
 
 

@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.findings import SCAN_TYPES as STEPS
 from ..operators.findings import scan_full
 
-# Steps in order, with the messages shown when one starts and ends.
-STEPS = ("secrets", "code", "owasp")
+# The messages shown when a step starts.
 START_MESSAGES = {
     "secrets": "Scanning for secrets and credentials...",
     "code": "Running static analysis...",

@@ -67,6 +67,7 @@ def test_submitted_code(spark):
     df = spark.createDataFrame([(None, "Python"), ("a/b.js", "JavaScript"), ("", None)], "file_path string, language string")
     assert {(r.file_path, r.language) for r in submitted_code(df).collect()} == {
         ("<stdin.python>", "python"), ("a/b.js", "javascript"), ("<stdin.python>", "python")}
+    assert {r.file_path for r in submitted_code(df, for_secrets=True).collect()} == {"<stdin>", "a/b.js"}
 
 
 def test_size_flag_counts_bytes(spark):
@@ -77,3 +78,10 @@ def test_size_flag_counts_bytes(spark):
 def test_decode_files_keeps_unknown_suffixes(spark):
     df = spark.createDataFrame([("x/readme.md", bytearray(b"hi"))], "path string, content binary")
     assert [(r.language, r.code) for r in decode_files(df).collect()] == [("text", "hi")]
+
+
+def test_empty_manifests_are_flagged(spark):
+    from codesieve.sources.manifests import flag_empty_requirements
+    for text, empty in (("# a\n\n-r b", True), ("", True), (None, True), ("# a\n numpy", False)):
+        row = flag_empty_requirements(one(spark, text)).collect()[0]
+        assert (row.reason is not None) == empty
