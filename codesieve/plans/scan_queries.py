@@ -184,13 +184,12 @@ def finding_dedup(spark, sf_dir):
 
 
 @query("line_number", with_inputs("files", query="""
-SELECT file_path, CAST(instr(code, 'eval(') - 1 AS INT) AS at,
-  CAST(length(c) - length(replace(c, chr(10), '')) + 1 AS INT) AS line_number
-FROM (SELECT *, substr(code, 1, instr(code, 'eval(') - 1) AS c FROM files) WHERE contains(code, 'eval(')"""))
+SELECT file_path, char_offset, CAST(length(c) - length(replace(c, chr(10), '')) + 1 AS INT) AS line_number
+FROM (SELECT file_path, CAST(length(code) // 2 AS INT) AS char_offset, substr(code, 1, length(code) // 2) AS c FROM files)"""))
 def line_number_query(spark, sf_dir):
-    files = inputs.files(spark, sf_dir).where(F.contains("code", F.lit("eval(")))
-    at = (F.instr("code", "eval(") - 1).cast("int")
-    return files.select("file_path", at.alias("at"), line_number(F.col("code"), at).alias("line_number"))
+    """The line of the middle of every text."""
+    at = F.floor(F.length("code") / 2).cast("int")
+    return inputs.files(spark, sf_dir).select("file_path", at.alias("char_offset"), line_number(F.col("code"), at).alias("line_number"))
 
 
 @query("sha1_short", with_inputs("files", query="SELECT file_path, substr(sha1(code), 1, 8) AS short FROM files"))
@@ -264,20 +263,25 @@ def entropy_filter(spark, sf_dir):
     return found.withColumn("entropy", F.round("entropy", 6))
 
 
-@query("mask_tail", with_inputs("files", query=f"""
-SELECT file_path, {sql.mask_tail("w")} AS masked FROM (SELECT file_path, unnest(string_split(split_part(code, chr(10), 1), ' ')) AS w FROM files)"""))
+_WORDS = "(SELECT unnest(string_split(replace(code, chr(10), ' '), ' ')) AS w FROM files)"
+
+
+def _words(spark, sf_dir):
+    """Every word of every text."""
+    text = F.replace("code", F.lit("\n"), F.lit(" "))
+    return inputs.files(spark, sf_dir).select(F.explode(F.split(text, " ", -1)).alias("w"))
+
+
+@query("mask_tail", with_inputs("files", query=f"SELECT {sql.mask_tail('w')} AS masked, count(*) AS n FROM {_WORDS} GROUP BY ALL"))
 def mask_tail_query(spark, sf_dir):
-    words = inputs.files(spark, sf_dir).select("file_path", F.explode(F.split(F.substring_index("code", "\n", 1), " ", -1)).alias("w"))
-    return words.select("file_path", mask_tail(F.col("w")).alias("masked"))
+    return _words(spark, sf_dir).groupBy(mask_tail(F.col("w")).alias("masked")).agg(F.count("*").alias("n"))
 
 
-@query("mask_middle", with_inputs("files", query="""
-SELECT file_path, CASE WHEN w = '' THEN '' WHEN length(w) <= 8 THEN repeat(chr(8226), 8)
-  ELSE left(w, 4) || repeat(chr(8226), least(length(w) - 8, 12)) || right(w, 4) END AS masked
-FROM (SELECT file_path, unnest(string_split(split_part(code, chr(10), 1), ' ')) AS w FROM files)"""))
+@query("mask_middle", with_inputs("files", query=f"""
+SELECT CASE WHEN w = '' THEN '' WHEN length(w) <= 8 THEN repeat(chr(8226), 8)
+  ELSE left(w, 4) || repeat(chr(8226), least(length(w) - 8, 12)) || right(w, 4) END AS masked, count(*) AS n FROM {_WORDS} GROUP BY ALL"""))
 def mask_middle_query(spark, sf_dir):
-    words = inputs.files(spark, sf_dir).select("file_path", F.explode(F.split(F.substring_index("code", "\n", 1), " ", -1)).alias("w"))
-    return words.select("file_path", mask_middle(F.col("w")).alias("masked"))
+    return _words(spark, sf_dir).groupBy(mask_middle(F.col("w")).alias("masked")).agg(F.count("*").alias("n"))
 
 
 _GL_PATCHED = """(SELECT scan_id, file_path, unnest(CASE WHEN shape = 0 THEN ['gl-fp-' || rest, 'gl-0123456789abcdef']

@@ -24,4 +24,5 @@ def export_json(scans: DataFrame) -> DataFrame:
 
 
 def write_json(exported: DataFrame, path: str) -> None:
-    exported.write.mode("overwrite").json(path)
+    """One folder ``scan_id=<id>`` per scan with its JSON text."""
+    exported.select("scan_id", "json").write.mode("overwrite").partitionBy("scan_id").text(path)

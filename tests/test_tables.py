@@ -259,3 +259,12 @@ def test_bad_requests_become_errors(spark):
                    "c": ("ws-scan.python", "", 3, None)}
     assert [json.loads(r.message) for r in streams.error_messages(requests).collect()] == [
         {"error": "invalid request", "scan_id": "b"}]
+
+
+def test_json_files(spark, tmp_path):
+    from codesieve.sinks.export import export_json, write_json
+    scans = spark.sql("SELECT 's' AS scan_id, 'co\"de' AS type, 3L AS n_findings, timestamp'2024-01-02 03:04:05.678' AS ts")
+    write_json(export_json(scans), str(tmp_path / "j"))
+    text = "".join(p.read_text() for p in (tmp_path / "j" / "scan_id=s").glob("part-*"))
+    assert json.loads(text) == {"id": "s", "type": 'co"de', "findings": 3, "timestamp": "2024-01-02T03:04:05.678Z"}
+    assert text.startswith('{\n  "id": "s",\n')
