@@ -78,6 +78,7 @@ def split_inputs(requests: DataFrame) -> DataFrame:
     no_code = F.coalesce("code", F.lit("")) == ""
     no_path = F.coalesce("file_path", F.lit("")) == ""
     secrets = F.col("step") == "secrets"
+    # The reasons given.
     return requests.withColumn(
         "reason",
         F.when(secrets & no_code & no_path, "Provide 'code' or 'file_path'")

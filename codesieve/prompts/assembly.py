@@ -36,6 +36,7 @@ def _line(label: str, value: Column) -> Column:
 def remediation_prompt(*, title: Column, category: Column, severity: Column, description: Column, cwe: Column,
                        owasp: Column, snippet: Column, context: Column, hint: Column, language: Column) -> Column:
     """Labelled lines about a finding; optional parts only when there is a value."""
+    # The labels.
     code_label = F.concat(F.lit("\n**Vulnerable code ("), language, F.lit("):**\n```"), language, F.lit("\n"),
                           F.nullif(snippet, F.lit("")), F.lit("\n```"))
     context_label = F.concat(F.lit("\n**Surrounding context:**\n```"), language, F.lit("\n"),

@@ -95,6 +95,7 @@ def step_messages(requests: DataFrame, findings: DataFrame) -> DataFrame:
         F.bit_count(F.bit_or("bit")).alias("failed"),
         *[F.max(F.array_contains("types", s)).alias(f"asked_{s}") for s in STEPS])
     text = lambda c: c.cast("string")
+    # The wording of the messages.
     messages = {
         "secrets": F.concat(F.lit("Found "), text(F.col("secrets")), F.lit(" secret(s)")),
         "code": F.concat(F.lit("Found "), text(F.col("code")), F.lit(" vulnerability/ies")),
