@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 def groups(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of Arrow batches whose texts together stay small; a single long text is a slice by itself."""
     for batch in batches:
-        sizes = np.asarray(pa.compute.binary_length(batch.column(text)).fill_null(0))
+        sizes = np.asarray(pc.binary_length(batch.column(text)).fill_null(0))
         start = total = 0
         for i, size in enumerate(sizes):
             if i > start and total + size > GROUP_CHARS:
