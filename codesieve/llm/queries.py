@@ -10,6 +10,7 @@ from .common import table
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORD_MODEL = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+END_OF_TEXT = 50256
 
 
 def op1_sentencepiece(spark, sf_dir):
@@ -27,5 +28,31 @@ def op2_best_fit_packing(spark, sf_dir):
     return pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_best_fit_packing)}
+def op5_fingerprints(spark, sf_dir):
+    from .fingerprints import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        "near_edited", "near_next", "common_edited", "common_next")
+
+
+def op6_token_counts(spark, sf_dir):
+    from .token_counts import counts, documents, read_blocks, write_files
+
+    folder = write_files(table(spark, sf_dir, "documents"), BYTE_RANKS, end_id=END_OF_TEXT)
+    return (counts(read_blocks(spark, folder), END_OF_TEXT).join(documents(spark, folder), ["file", "ordinal"])
+            .select("doc_id", "n_tokens"))
+
+
+def op9_grammar_files(spark, sf_dir):
+    from .common import starts
+    from .grammar import decode, encode, read_files, write_files
+
+    files = read_files(spark, write_files(encode(table(spark, sf_dir, "documents"), WORD_MODEL, end_id=1)))
+    chunks = starts(files.select("shard", "chunk", F.col("n_tokens").alias("n")), ["shard", "chunk"], "n").drop("n")
+    return (decode(files).select("shard", "chunk", "at", "doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+            .join(chunks, ["shard", "chunk"]).select("doc_id", (F.col("start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_best_fit_packing, op5_fingerprints, op6_token_counts, op9_grammar_files)}
 ORACLE: dict[str, str] = {}

@@ -22,10 +22,11 @@ _APART = tuple(map(chr, (0x1C, 0x1D, 0x1E, 0x1F, 0x130, 0x3A3)))
 class Words:
     """``encode`` gives the ids of texts as little-endian unsigned 32-bit integers.
 
-    ``remember`` bounds the words kept; words of over 64 characters are never kept.
+    ``remember`` bounds the words kept, twice: when so many are known, they become the older
+    ones, of which those that come again are kept.  Words of over 64 characters are never kept.
     """
 
-    def __init__(self, path: str, remember: int = 500_000):
+    def __init__(self, path: str, remember: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -41,6 +42,7 @@ class Words:
         if ends:
             self.last[[i for token, i in vocab.items() if token.endswith(ends)]] = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.remember = remember
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -73,15 +75,18 @@ class Words:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self._ids(texts)
-        known = self.known
-        if len(known) >= self.remember:
-            known.clear()
+        if len(self.known) >= self.remember:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         apart = [i for i, t in enumerate(texts) if not t.isascii() and not is_normalized("NFC", t) or any(c in t for c in _APART)]
         split = [t.lower().split() for t in texts]
         for i in apart:
             split[i] = []
-        new = list(set().union(*split) - known.keys())
-        self._learn(new)
+        new = set().union(*split) - known.keys()
+        again = new & older.keys()
+        known.update((w, older[w]) for w in again)
+        new -= again
+        self._learn(list(new))
         out = [b"".join(map(known.__getitem__, words)) for words in split]
         if apart:
             for i, ids in zip(apart, self._ids([texts[i] for i in apart])):
