@@ -39,7 +39,7 @@ def cut(df: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col:
         for batch in groups(batches):
             rows = []
             for doc, ids in zip(batch.column("doc_id").to_pylist(), words.encode(batch.column("text").to_pylist())):
-                ids += end
+                ids = words.wide(ids) + end
                 rows += [(doc, i // step, i // 4, len(part) // 4, part) for i in range(0, len(ids), step) for part in [ids[i:i + step]]]
             cols = list(zip(*rows))
             yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()),

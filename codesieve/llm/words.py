@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import string
 from functools import lru_cache
 from unicodedata import is_normalized
 
@@ -20,7 +21,8 @@ _APART = tuple(map(chr, (0x1C, 0x1D, 0x1E, 0x1F, 0x130, 0x3A3)))
 
 
 class Words:
-    """``encode`` gives the ids of texts as little-endian unsigned 32-bit integers.
+    """``encode`` gives the ids of texts as bytes of ``kind``: little-endian unsigned integers of
+    16 bits if all ids fit, else of 32 bits.
 
     ``remember`` bounds the words kept, twice: when so many are known, they become the older
     ones, of which those that come again are kept.  Words of over 64 characters are never kept.
@@ -39,6 +41,7 @@ class Words:
         ends = setup["model"].get("end_of_word_suffix")
         vocab = self.library.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.kind = "<u2" if len(self.last) <= 1 << 16 else "<u4"
         if ends:
             self.last[[i for token, i in vocab.items() if token.endswith(ends)]] = True
         self.known: dict[str, bytes] = {}
@@ -46,29 +49,34 @@ class Words:
         self.remember = remember
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _letters(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters only: each is one run of merges, whose last id ends a word."""
-        ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.kind)
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != len(words):
             return self._ids(words)
-        raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+        raw, at = ids.tobytes(), [0, *(ids.itemsize * ends).tolist()]
         return [raw[a:b] for a, b in zip(at, at[1:])]
 
     def _learn(self, words: list[str]) -> None:
         known, letters, stems, others = self.known, [], [], []
         for w in words:
-            (letters if w.isalpha() else stems if w[-1] in ".," and w[:-1].isalpha() else others).append(w)
-        fresh = {w[:-1] for w in stems} - known.keys()
-        fresh.difference_update(letters)
-        letters += fresh
-        if letters:
-            known.update(zip(letters, self._letters(letters)))
-        if stems:
-            marks = dict(zip(".,", self._ids([".", ","])))
-            known.update((w, known[w[:-1]] + marks[w[-1]]) for w in stems)
+            if w.isalpha():
+                letters.append(w)
+            elif (stem := w.rstrip(string.punctuation)).isalpha():
+                stems.append((w, stem))  # signs after the last letter are one run of their own
+            else:
+                others.append(w)
+        marks = list({w[len(stem):] for w, stem in stems})
+        marks = dict(zip(marks, self._ids(marks)))
+        fresh = {stem for _, stem in stems} - known.keys()
+        fresh.update(letters)
+        if fresh:
+            fresh = list(fresh)
+            known.update(zip(fresh, self._letters(fresh)))
+        known.update([(w, known[stem] + marks[w[len(stem):]]) for w, stem in stems])
         if others:
             known.update(zip(others, self._ids(others)))
 
@@ -91,11 +99,14 @@ class Words:
         if apart:
             for i, ids in zip(apart, self._ids([texts[i] for i in apart])):
                 out[i] = ids
-        for w in new:
-            if len(w) > 64:
-                del known[w]
+        for w in [w for w in new if len(w) > 64]:
+            del known[w]
         return out
 
+    def wide(self, ids: bytes) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        return np.frombuffer(ids, self.kind).astype("<u4").tobytes()
+
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> Words:
