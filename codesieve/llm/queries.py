@@ -28,6 +28,15 @@ def op2_best_fit_packing(spark, sf_dir):
     return pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), capacity=2048)
 
 
+def op4_secret_scans(spark, sf_dir):
+    from .secret_index import BASE_RULES, joined, scan
+
+    found = scan(table(spark, sf_dir, "documents"))
+    base = F.filter("found", lambda s: s["number"] < len(BASE_RULES))
+    counts = [F.size(F.filter(F.col("found.number"), lambda n: n == F.lit(i))).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(BASE_RULES)]
+    return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
+
+
 def op5_fingerprints(spark, sf_dir):
     from .fingerprints import fingerprints
 
@@ -44,6 +53,30 @@ def op6_token_counts(spark, sf_dir):
             .select("doc_id", "n_tokens"))
 
 
+URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+             ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+
+
+def op7_url_filters(spark, sf_dir):
+    from .urls import Rule, judge
+
+    return judge(table(spark, sf_dir, "pages"), [Rule(*r) for r in URL_RULES])
+
+
+def op8_language_id(spark, sf_dir):
+    from .language import held_out, scores, train
+
+    docs = table(spark, sf_dir, "documents")
+    models, _ = train(docs, fold=~held_out(F.col("doc_id")))
+    return scores(docs, models).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op10_dart_minhash(spark, sf_dir):
+    from .darts import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_grammar_files(spark, sf_dir):
     from .common import starts
     from .grammar import decode, encode, read_files, write_files
@@ -54,5 +87,7 @@ def op9_grammar_files(spark, sf_dir):
             .join(chunks, ["shard", "chunk"]).select("doc_id", (F.col("start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_best_fit_packing, op5_fingerprints, op6_token_counts, op9_grammar_files)}
+QUERIES = {f.__name__: f for f in (
+    op1_sentencepiece, op2_best_fit_packing, op4_secret_scans, op5_fingerprints, op6_token_counts,
+    op7_url_filters, op8_language_id, op9_grammar_files, op10_dart_minhash)}
 ORACLE: dict[str, str] = {}
