@@ -55,6 +55,19 @@ def id_bounds(df: DataFrame, id_col: str, rows: int, most: int = 20_000) -> list
     return sorted({int(least), *map(int, cuts)})
 
 
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least node reached by links (a, b) among n nodes, for each node."""
+    root = np.arange(n)
+    while True:
+        new = root.copy()
+        np.minimum.at(new, a, root[b])
+        np.minimum.at(new, b, root[a])
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def components(links: DataFrame, purpose: str = "components") -> DataFrame:
     """Connected components of ``links`` (a, b): rows (id, component), the component's
     least id, for every id that has a link.

@@ -212,6 +212,18 @@ def scores(df: DataFrame, models: Models, id_col: str = "doc_id", text_col: str
             .mapInArrow(run, "doc_id long, lang_pred string, score double, entropy double"))
 
 
+def accepted(df: DataFrame, models: Models, limit: float, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose whole text has letters and a cross-entropy of at most ``limit`` under its best language."""
+    sent = df.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in groups(batches, text_col):
+            bits = [sent.value.cross_entropies(t or "") for t in batch.column(text_col).to_pylist()]
+            yield batch.filter(pa.array([b is not None and float(b.min()) <= limit for b in bits], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether crc32 of the id as text leaves remainder 1 by 3; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1

@@ -28,6 +28,12 @@ def op2_best_fit_packing(spark, sf_dir):
     return pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), capacity=2048)
 
 
+def op3_embedding_near_dedup(spark, sf_dir):
+    from .vectors import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), least=0.95)
+
+
 def op4_secret_scans(spark, sf_dir):
     from .secret_index import BASE_RULES, joined, scan
 
@@ -88,6 +94,6 @@ def op9_grammar_files(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_sentencepiece, op2_best_fit_packing, op4_secret_scans, op5_fingerprints, op6_token_counts,
+    op1_sentencepiece, op2_best_fit_packing, op3_embedding_near_dedup, op4_secret_scans, op5_fingerprints, op6_token_counts,
     op7_url_filters, op8_language_id, op9_grammar_files, op10_dart_minhash)}
 ORACLE: dict[str, str] = {}
