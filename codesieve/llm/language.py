@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codesieve.session import written
+
 from .common import groups
 
 ORDER = 4
@@ -52,15 +54,35 @@ class Counts:
 
     def __init__(self, words: list[tuple[str, int]]):
         self.orders = []
-        texts = [symbols(w) for w, _ in words]
-        times = np.array([n for _, n in words], np.float64)
+        # all words in a row, each with a space before and after it, a zero between them
+        line = "\0".join(f" {w} " for w, _ in words)
+        codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        cuts = np.concatenate(([0], np.cumsum(codes == 0)))
+        times = np.repeat(np.array([n for _, n in words], np.float64), np.diff(np.concatenate(([-1], np.flatnonzero(codes == 0), [len(codes)]))))[:len(codes)]
         for k in range(1, ORDER + 1):
-            grams = np.concatenate([gram_hashes(t, k) for t in texts] or [np.empty(0, np.int64)])
-            weight = np.repeat(times, [max(0, len(t) - k + 1) for t in texts]) if texts else np.empty(0)
-            context = np.concatenate([gram_hashes(t[:-1], k - 1)[:max(0, len(t) - k + 1)] for t in texts] or [np.empty(0, np.int64)])
-            suffix = np.concatenate([gram_hashes(t[1:], k - 1) if k > 1 else np.zeros(len(t), np.int64) for t in texts] or [np.empty(0, np.int64)])
-            key, first, back = np.unique(grams, return_index=True, return_inverse=True)
-            self.orders.append((key, context[first], suffix[first], np.bincount(back, weight, len(key))))
+            n = max(0, len(codes) - k + 1)
+            inside = np.flatnonzero(cuts[k:k + n] == cuts[:n])  # n-grams within one word
+            grams, below = gram_hashes(codes, k), gram_hashes(codes, k - 1)
+            context, suffix = below[inside], below[inside + 1] if k > 1 else np.zeros(len(inside), np.int64)
+            key, first, back = np.unique(grams[inside], return_index=True, return_inverse=True)
+            self.orders.append((key, context[first], suffix[first], np.bincount(back, times[inside], len(key))))
+
+
+class Sorted:
+    """A sorted array of hashes.  The leading bits of a hash tell where to start; from there few steps lead to its place."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(1, int(4 * len(keys)).bit_length())
+        self.shift = 63 - bits
+        self.first = np.searchsorted(keys, np.arange(1 << bits, dtype=np.int64) << self.shift).astype(np.int32)
+        self.keys = np.append(keys, np.iinfo(np.int64).max)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, whether the hash is there)."""
+        at = self.first[hashes >> self.shift]
+        while (below := self.keys[at] < hashes).any():
+            at += below
+        return at, self.keys[at] == hashes
 
 
 class Models:
@@ -73,7 +95,7 @@ class Models:
     def __init__(self, words: dict[str, list[tuple[str, int]]], discount: float = 0.75):
         self.langs = sorted(words)
         sets = {lang: Counts(words[lang]) for lang in self.langs}
-        self.keys, self.logs, self.contexts, self.backoff = [], [], [], []
+        self.keys, self.found, self.logs, self.contexts, self.backoff = [], [], [], [], []
         alphabet = max(2, len(np.unique(np.concatenate([sets[x].orders[0][0] for x in self.langs] or [np.zeros(1)]))))
         self.floor = -math.log(alphabet + 1)
         for k in range(1, ORDER + 1):
@@ -102,43 +124,49 @@ class Models:
                 lower = self._lower(k, below)[:, i]
                 logs[:, i] = np.log(seen / np.maximum(total[c], 1e-12) * (total[c] > 0) + lam[c] * np.exp(lower) + 1e-300)
             self.keys.append(keys)
-            self.logs.append(logs)
-            self.contexts.append(contexts)
-            self.backoff.append(backoff)
+            self.found.append(Sorted(keys))
+            self.logs.append(logs.T.copy())
+            self.contexts.append(Sorted(contexts))
+            self.backoff.append(backoff.T.copy())
 
     def _lower(self, k: int, suffix: np.ndarray) -> np.ndarray:
         if k == 1:
             return np.full((len(suffix), len(self.langs)), self.floor)
         # A suffix of an n-gram that was seen was seen itself.
-        return self.logs[k - 2][np.minimum(np.searchsorted(self.keys[k - 2], suffix), len(self.keys[k - 2]) - 1)]
-
-    def cross_entropies(self, text: str) -> np.ndarray | None:
-        """Nats per character under each language; None for a text without letters."""
-        codes = symbols(text)
-        n = len(codes) - 1  # the space at the start is only context
-        if n < 1 or not self.langs:
-            return None
-        total = np.zeros(len(self.langs))
-        # position i stands for character i + 1, with as much context as the order or the start allows
+        return self.logs[k - 2][:, np.minimum(np.searchsorted(self.keys[k - 2], suffix), len(self.keys[k - 2]) - 1)].T
+
+    def cross_entropies(self, texts: list[str]) -> np.ndarray:
+        """Nats per character of each text under each language; nan for a text without letters."""
+        rows = [symbols(t) for t in texts]
+        out = np.full((len(rows), max(1, len(self.langs))), np.nan)
+        some = [i for i, r in enumerate(rows) if len(r)]
+        if not some or not self.langs:
+            return out
+        size = np.array([len(rows[i]) for i in some])
+        codes, doc = np.concatenate([rows[i] for i in some]), np.repeat(np.arange(len(some)), size)
+        place = np.arange(len(codes))
+        # Contexts begin with the space before a word, as they did in training; the space that starts a text is only context.
+        space = np.maximum.accumulate(np.where(codes == 32, place, 0))
+        reach = np.minimum(ORDER, place - np.concatenate(([0], space[:-1])) + 1)
+        reach[np.cumsum(size) - size] = 0
+        total = np.zeros((len(some), len(self.langs)))
+        missed = np.empty(0, np.int64)
         for k in range(ORDER, 0, -1):
-            if k == ORDER:
-                grams, ends = gram_hashes(codes, k), np.arange(k - 1, n + 1)
-                rest = np.arange(1, min(k - 1, n + 1))  # too close to the start for this order
-            else:
-                ends = np.sort(np.concatenate((missed, rest[rest >= k - 1]))) if k > 1 else np.sort(np.concatenate((missed, rest)))
-                rest = rest[rest < k - 1]
-                grams = gram_hashes(codes, k)[ends - (k - 1)]
-            keys = self.keys[k - 1]
-            at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
-            hit = keys[at] == grams
-            total += self.logs[k - 1][at[hit]].sum(axis=0)
+            ends = np.concatenate((missed, np.flatnonzero(reach == k)))  # the last characters of the n-grams
+            at, hit = self.found[k - 1].find(gram_hashes(codes, k)[ends - (k - 1)])
+            self._add(total, doc[ends[hit]], self.logs[k - 1], at[hit])
             missed = ends[~hit]
             if len(missed):  # unseen in every language: the context's share of the lower order
-                context = gram_hashes(codes[:-1], k - 1)[missed - (k - 1)] if k > 1 else np.full(len(missed), gram_hashes(codes[:0], 0)[0])
-                c = np.minimum(np.searchsorted(self.contexts[k - 1], context), len(self.contexts[k - 1]) - 1)
-                known = self.contexts[k - 1][c] == context
-                total += self.backoff[k - 1][c[known]].sum(axis=0)
-        return -(total + self.floor * len(missed)) / n
+                at, known = self.contexts[k - 1].find(gram_hashes(codes, k - 1)[missed - (k - 1)])
+                self._add(total, doc[missed[known]], self.backoff[k - 1], at[known])
+        total += self.floor * np.bincount(doc[missed], minlength=len(some))[:, None]
+        out[some] = -total / (size - 1)[:, None]
+        return out
+
+    @staticmethod
+    def _add(total: np.ndarray, doc: np.ndarray, logs: np.ndarray, at: np.ndarray) -> None:
+        for i in range(total.shape[1]):
+            total[:, i] += np.bincount(doc, logs[i][at], len(total))
 
 
 def trained_on(lang: Column, fold: Column | None) -> Column:
@@ -175,6 +203,7 @@ def train(df: DataFrame, rows_per_lang: int = 2_000, id_col: str = "doc_id", tex
 
     counted = (sample.where("learn").select("lang", "text").mapInArrow(run, "lang string, word string")
                .where(F.length("word") <= 64).groupBy("lang", "word").count())
+    counted = written(counted, "language-words")
     words = {}
     for lang in sizes:
         top = counted.where(F.col("lang") == lang).orderBy(F.desc("count"), "word").limit(words_per_lang).toPandas()
@@ -197,9 +226,8 @@ def scores(df: DataFrame, models: Models, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in groups(batches):
             rows = []
-            for text in batch.column("text").to_pylist():
-                bits = sent.value.cross_entropies(text or "")
-                if bits is None:
+            for bits in sent.value.cross_entropies([t or "" for t in batch.column("text").to_pylist()]):
+                if np.isnan(bits[0]):
                     rows.append((UNKNOWN, 0.0, None))
                 else:
                     best = int(bits.argmin())
@@ -218,8 +246,8 @@ def accepted(df: DataFrame, models: Models, limit: float, text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in groups(batches, text_col):
-            bits = [sent.value.cross_entropies(t or "") for t in batch.column(text_col).to_pylist()]
-            yield batch.filter(pa.array([b is not None and float(b.min()) <= limit for b in bits], pa.bool_()))
+            bits = sent.value.cross_entropies([t or "" for t in batch.column(text_col).to_pylist()]).min(axis=1)
+            yield batch.filter(pa.array(bits <= limit))  # nan is never below
 
     return df.mapInArrow(run, df.schema)
 
