@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from codesieve.session import written
 
-from .common import components, groups, texts
+from .common import components, forest, groups, texts
 
 BASE = 0x9DDFEA08EB382D69  # odd, so it has an inverse modulo 2^64
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -125,12 +125,38 @@ def weighted(hashes: np.ndarray, weights: str) -> tuple[np.ndarray, np.ndarray]:
     return values, n.astype(float) if weights == "count" else np.ones(len(values))
 
 
-def similarity(a: np.ndarray, b: np.ndarray, weights: str = "set") -> float:
-    """Weighted Jaccard similarity of two sorted arrays of shingle hashes; 0 if one is empty."""
-    (x, m), (y, n) = weighted(a, weights), weighted(b, weights)
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    both = np.minimum(m[i], n[j]).sum()
-    return float(both / (m.sum() + n.sum() - both)) if both else 0.0
+def elements(hashes: np.ndarray, weights: str) -> np.ndarray:
+    """The weighted set as a plain one, sorted: an element of weight n is n elements, so weighted similarity is that of plain sets."""
+    values, first, n = np.unique(hashes, return_index=True, return_counts=True)
+    if weights != "count":
+        return values
+    return np.unique(mix(hashes + (np.arange(len(hashes)) - np.repeat(first, n)).astype(np.uint64) * np.uint64(BASE)))
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted arrays of distinct elements; 0 if one is empty."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if both else 0.0
+
+
+def similarities(left: list[np.ndarray], right: list[np.ndarray], step: int = 4096) -> np.ndarray:
+    """Jaccard similarities of all pairs of two lists of sets, from the elements that both lists hold."""
+    shared = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    rows = []
+    for sets in (left, right):
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(shared, flat), max(0, len(shared) - 1))
+        hit = shared[at] == flat if len(shared) else np.zeros(len(flat), bool)
+        rows.append((owner[hit], at[hit]))
+    both = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, len(shared), step):
+        x, y = (np.zeros((len(sets), step), np.float32) for sets in (left, right))
+        for matrix, (owner, at) in zip((x, y), rows):
+            own = (at >= start) & (at < start + step)
+            matrix[owner[own], at[own] - start] = 1
+        both += x @ y.T
+    size = np.array([len(s) for s in left], float)[:, None] + np.array([len(s) for s in right], float)
+    return both / np.maximum(size - both, 1)
 
 
 def signatures(df: DataFrame, bands: int, rows: int, weights: str = "set", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,12 +185,12 @@ def signatures(df: DataFrame, bands: int, rows: int, weights: str = "set", id_co
     return texts(df, id_col, text_col).mapInArrow(run, schema)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, least: float, weights: str) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose sets (id, hashes) have at least that similarity."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            close = [similarity(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), weights) >= least
-                     for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
+            close = [similarity(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")) >= least
+                     for x, y in zip(batch.column("x"), batch.column("y"))]
             yield batch.select(["a", "b"]).filter(pa.array(close, pa.bool_()))
 
     return (pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a")
@@ -172,6 +198,38 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float, weights: str) -> D
             .select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
 
+def across(placed: DataFrame, sets: DataFrame, least: float, block: int = 256) -> DataFrame:
+    """Links (a, b) between members of different components in the buckets ``placed`` (band, rep, part), as a forest.
+
+    In each bucket, the members outside its largest component are compared with all members that are not in theirs, in blocks of
+    about ``block`` each; pairs are counted inside a block and never become rows.
+    """
+    def run(table: pa.Table) -> pa.Table:
+        probe, reps, parts = (np.asarray(table.column(c)) for c in ("probe", "rep", "part"))
+        found = [np.frombuffer(x.as_py(), "<u8") for x in table.column("hashes")]
+        left, right = np.flatnonzero(probe), np.flatnonzero(~probe)
+        if not len(left) or not len(right):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        close = similarities([found[i] for i in left], [found[i] for i in right]) >= least
+        close &= parts[left][:, None] != parts[right]
+        i, j = np.nonzero(close)
+        ids, at = np.unique(np.concatenate((reps[left], reps[right])), return_inverse=True)
+        root = ids[forest(at[:len(left)][i], at[len(left):][j], len(ids))]
+        some = root != ids
+        return pa.table({"a": pa.array(ids[some]), "b": pa.array(root[some])})
+
+    sizes = placed.groupBy("band", "part").agg(F.count("*").alias("n"))
+    mixed = (sizes.groupBy("band").agg(F.count("*").alias("kinds"), F.sum("n").alias("all"), F.max("n").alias("most"), F.max_by("part", F.struct("n", "part")).alias("main"))
+             .where("kinds > 1")
+             .select("band", "main", F.ceil(F.col("all") / block).alias("members"), F.ceil((F.col("all") - F.col("most")) / block).alias("probes")))
+    rest = placed.join(mixed, "band").withColumns({"m": F.pmod(F.xxhash64("rep"), "members"), "p": F.pmod(F.xxhash64("rep", F.lit(1)), "probes")})
+    last = F.lit(1).cast("long")
+    members = rest.select("band", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("probes") - last)).alias("p"), "rep", "part", F.lit(False).alias("probe"))
+    probes = rest.where("part != main").select("band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("members") - last)).alias("m"), "p", "rep", "part", F.lit(True).alias("probe"))
+    return (members.unionByName(probes).join(sets.select(F.col("id").alias("rep"), "hashes"), "rep")
+            .select("band", "m", "p", "rep", "part", "probe", "hashes").groupBy("band", "m", "p").applyInArrow(run, "a long, b long"))
+
+
 def near_duplicates(df: DataFrame, least: float = 0.8, bands: int = 26, rows: int = 5, weights: str = "set",
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id, kept) for every row: the least doc_id that is reached over links of similarity ``least`` or more, and
@@ -182,8 +240,9 @@ def near_duplicates(df: DataFrame, least: float = 0.8, bands: int = 26, rows: in
     Rows that share a doc_id are one document; a null doc_id has a null class and is not kept.  Null texts are empty.
 
     In each bucket of a band, all members are compared with its least one; then, where a bucket still holds members of
-    different components, those outside its largest component are compared with all that are not in theirs.  So a large group of
-    near copies costs one comparison per member and band, and no candidate pair between components is left out.
+    different components, those outside its largest component are compared with all that are not in theirs.  So most of a large group of
+    near copies costs one comparison per member and band, no candidate pair between components is left out, and no step makes a row for
+    each pair of a bucket.
     """
     spark = df.sparkSession
     base = written(signatures(df, bands, rows, weights, id_col, text_col), "darts")
@@ -198,25 +257,16 @@ def near_duplicates(df: DataFrame, least: float = 0.8, bands: int = 26, rows: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in groups(batches):
-            found = [s.astype("<u8").tobytes() for s in shingles(batch.column("text").to_pylist())]
+            found = [elements(s, weights).astype("<u8").tobytes() for s in shingles(batch.column("text").to_pylist())]
             yield pa.record_batch([batch.column("doc_id"), pa.array(found, pa.binary())], names=["id", "hashes"])
 
     sets = written(texts_of.mapInArrow(run, "id long, hashes binary"), "darts-candidates")
     first = members.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links = written(verified(first, sets, least, weights), "darts-links")
+    links = written(verified(first, sets, least), "darts-links")
     comp = components(links, "darts-components")
-
-    # buckets whose members are not all in one component yet
-    placed = members.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("band", "hub", "rep", F.coalesce("component", "rep").alias("part"))
-    placed = written(placed, "darts-placed")
-    parts = placed.groupBy("band", "part").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("band").agg(F.count("*").alias("kinds"), F.max_by("part", F.struct("n", "part")).alias("main")).where("kinds > 1").select("band", "main")
-    rest = placed.join(mixed, "band")
-    probes = rest.where("part != main").select("band", F.col("rep").alias("p"), F.col("part").alias("own"))
-    second = (rest.join(probes, "band").where("part != own and rep != hub and p != hub")
-              .select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct())
-    more = written(verified(second, sets, least, weights), "darts-links")
-    comp = components(links.unionByName(more), "darts-components")
+    placed = written(members.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("part")), "darts-placed")
+    more = written(across(placed, sets, least), "darts-links")
+    comp = components(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more), "darts-components")
 
     classes = (reps.select("high", "low", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
                .select("high", "low", F.coalesce("component", "rep").alias("class_id")))
