@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 # A query in conjunctive form: all of these sets must have a member all of whose trigrams occur.
 Query = list[frozenset[frozenset[str]]]
 
-# More strings than this are not followed through a pattern.
-MOST_STRINGS = 64
+# More strings than this are not followed through a pattern, nor character classes with more members.
+MOST_STRINGS, MOST_MEMBERS = 64, 8
 
 
 @dataclass(frozen=True)
@@ -54,7 +54,8 @@ def trigrams(text: str) -> frozenset[str]:
 
 def _flush(strings: set[str], query: Query) -> None:
     if strings and all(len(s) >= 3 for s in strings):
-        query.append(frozenset(trigrams(s) for s in strings))
+        choices = {trigrams(s) for s in strings}
+        query.append(frozenset(c for c in choices if not any(other < c for other in choices)))  # a choice that implies another says nothing
 
 
 def _walk(nodes) -> tuple[set[str] | None, Query]:
@@ -66,7 +67,7 @@ def _walk(nodes) -> tuple[set[str] | None, Query]:
             few = {chr(arg).lower()}
         elif name == "IN" and all(str(o) in ("LITERAL", "RANGE") for o, _ in arg):
             ranges = [(a, a) if str(o) == "LITERAL" else a for o, a in arg]
-            if sum(b - a + 1 for a, b in ranges) <= MOST_STRINGS:
+            if sum(b - a + 1 for a, b in ranges) <= MOST_MEMBERS:
                 few = {chr(c).lower() for a, b in ranges for c in range(a, b + 1)}
         elif name == "SUBPATTERN":
             few, more = _walk(arg[3])
