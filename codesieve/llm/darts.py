@@ -237,7 +237,7 @@ def near_duplicates(df: DataFrame, least: float = 0.8, bands: int = 26, rows: in
 
     Texts with equal sets are linked without comparison and stand for each other from then on.  A link of
     similarity 0.8 is missed with a probability of 3e-5, a closer one with less.  Texts without words link with nothing.
-    Rows that share a doc_id are one document; a null doc_id has a null class and is not kept.  Null texts are empty.
+    Rows that share a doc_id are one document; a null doc_id has a null class, belongs to no group and is kept.  Null texts are empty.
 
     In each bucket of a band, all members are compared with its least one; then, where a bucket still holds members of
     different components, those outside its largest component are compared with all that are not in theirs.  So most of a large group of
@@ -272,4 +272,4 @@ def near_duplicates(df: DataFrame, least: float = 0.8, bands: int = 26, rows: in
                .select("high", "low", F.coalesce("component", "rep").alias("class_id")))
     every = base.select("doc_id", "high", "low").join(classes, ["high", "low"], "left")
     return every.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id")) \
-        .withColumn("kept", F.coalesce(F.col("class_id") == F.col("doc_id"), F.lit(False)))
+        .withColumn("kept", F.coalesce(F.col("class_id") == F.col("doc_id"), F.lit(True)))

@@ -174,7 +174,7 @@ def trained_on(lang: Column, fold: Column | None) -> Column:
 
 
 def train(df: DataFrame, rows_per_lang: int = 2_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          fold: Column | None = None, words_per_lang: int = 100_000, rejected: float = 0.001) -> tuple[Models, float]:
+          fold: Column | None = None, words_per_lang: int = 50_000, rejected: float = 0.001) -> tuple[Models, float]:
     """The models, and the cross-entropy above which a text is rejected, from rows with a non-null language (and in ``fold``).
 
     The classifier is fitted on a bounded sample of labelled rows: about ``rows_per_lang`` of each language, those with the
