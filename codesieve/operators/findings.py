@@ -39,9 +39,9 @@ def scan_full(files: DataFrame, scan_types: str | None = None) -> DataFrame:
         "scan_id", "file_path", "code", F.lower(F.coalesce("language", F.lit("python"))).alias("language"),
         *([F.col(scan_types).alias("__types")] if scan_types else []),
     )
-    hits = locate(source, rules, language="language").withColumn("kind", about(0))
-    if scan_types:
-        hits = hits.where(F.array_contains("__types", F.col("kind"))).drop("__types")
+    # A rule that the row does not ask for is not even gated.
+    wanted = [F.array_contains("__types", d[0]) for d in described] if scan_types else None
+    hits = locate(source, rules, language="language", wanted=wanted).withColumn("kind", about(0))
     threshold = F.element_at(F.array(*[F.lit(t) for t in thresholds]), F.col("rule_no") + 1)
     values = F.filter(
         F.array_distinct(hit_values(F.col("line_marked"))),
@@ -106,8 +106,8 @@ def recent_scans(scans: DataFrame, k: int = 5) -> DataFrame:
 
 
 def latest_scan(log: DataFrame, tie_break: str) -> DataFrame:
-    """The last write of every scan id, by (ts, tie_break).  An aggregation and
-    no window: each task keeps one row per scan."""
+    """The last write of every scan id, by (ts, tie_break).  An aggregation by sorting, since its buffer holds
+    strings: each task sorts its rows by scan and sends one row per scan to the shuffle."""
     newest = F.max_by(F.struct(*[c for c in log.columns if c != "scan_id"]), F.struct("ts", tie_break))
     return log.groupBy("scan_id").agg(newest.alias("r")).select("scan_id", "r.*")
 

@@ -12,6 +12,10 @@ shuffle:
 
 A text is processed whole and by itself, so results do not depend on how texts
 are spread over partitions.
+
+Rules with an open ``.*`` would look for its end from every start to the end of the line, which takes
+quadratic time on long lines.  Where the line holds no such end any more, a stop is put before every further start (in
+a copy of the text), and ``.`` does not match stops: each search ends at the next start.
 """
 
 from __future__ import annotations
@@ -29,6 +33,14 @@ from ..rules.model import TextRule
 # Markers put into a copy of the text: Unicode noncharacters, which no text is
 # meant to hold.  Should one occur, it is first replaced by another one.
 _HIT, _VALUE_END, _PLAIN = "\ufdd1", "\ufdd2", "\ufdd3"
+# Stops of the first, second and further open searches of a rule.
+_STOPS = "\ufdd4\ufdd5\ufdd6\ufdd7"
+
+_OVER_STOPS = {
+    r"\s*": rf"[\s\x1c-\x1f{_STOPS}]*",
+    r"\s+": rf"[{_STOPS}]*[\s\x1c-\x1f][\s\x1c-\x1f{_STOPS}]*",
+    r"\w+": rf"\w[\w{_STOPS}]*",
+}
 
 # Characters that equal an ASCII letter when case is ignored but do not
 # lower-case to it, so that a literal test on the lower-cased text misses them.
@@ -42,14 +54,41 @@ def java_pattern(rule: TextRule) -> str:
     Unicode case folding; ``U``: Unicode classes.  The four ASCII separators
     count as white space, as they do for Python strings.
     """
-    flags = "dmuU" + ("i" if rule.ignore_case else "")
-    return f"(?{flags})" + _widen_space(rule.pattern)
+    return _flags(rule) + _widen_space(rule.pattern, stops=len(rule.ends))
+
+
+def _flags(rule: TextRule) -> str:
+    return "(?dmuU" + ("i" if rule.ignore_case else "") + ")"
+
 
+def with_stops(text: Column, rule: TextRule) -> Column:
+    """The text with the stops of a rule's open searches; the text itself if it has none.
 
-def _widen_space(pattern: str) -> str:
-    out, in_class, i = [], False, 0
+    Line by line: up to the last possible end of a search nothing changes; behind it, each start gets a stop.  An end that may go on in
+    the next line counts as possible.
+    """
+    def stopping(start: str, end: str, stop: str):
+        def stopped(line: Column) -> Column:
+            live = F.regexp_extract(line, f"{_flags(rule)}^.*(?:{_widen_space(end)})", 0)
+            dead = F.substring(line, F.length(live) + 1, F.length(line))
+            return F.concat(live, F.regexp_replace(dead, f"{_flags(rule)}(?={start})", stop))
+        return stopped
+
+    for (start, end), stop in zip(rule.ends, _STOPS):
+        text = F.array_join(F.transform(F.split(text, "\n", -1), stopping(start, end, stop)), "\n")
+    return text
+
+
+def _widen_space(pattern: str, stops: int = 0) -> str:
+    """``\\s`` with the ASCII separators; with ``stops``, ``.*`` ends at them, one for each in turn, while
+    white space and words that go on from an earlier line pass over them."""
+    out, in_class, i, seen = [], False, 0, 0
     while i < len(pattern):
         pair = pattern[i:i + 2]
+        if stops and not in_class and pattern[i:i + 3] in _OVER_STOPS:
+            out.append(_OVER_STOPS[pattern[i:i + 3]])
+            i += 3
+            continue
         if pair[0] == "\\":
             space = pair == r"\s"
             out.append((r"\s\x1c-\x1f" if in_class else r"[\s\x1c-\x1f]") if space else pair)
@@ -59,7 +98,11 @@ def _widen_space(pattern: str) -> str:
             in_class = True
         elif pair[0] == "]":
             in_class = False
-        out.append(pair[0])
+        if pair == ".*" and not in_class and seen < stops:
+            out.append(f"[^\\n{_STOPS[seen]}]")
+            seen += 1
+        else:
+            out.append(pair[0])
         i += 1
     return "".join(out)
 
@@ -72,10 +115,10 @@ def _literal_test(rule: TextRule, lowered: Column, has_twins: Column) -> Column
 
 
 def _gate_column(rules: Sequence[TextRule], text: Column, lowered: Column, has_twins: Column,
-                 language: Column | None) -> Column:
+                 language: Column | None, wanted: Sequence[Column] | None = None) -> Column:
     tests = []
     for number, rule in enumerate(rules):
-        parts = []
+        parts = [wanted[number]] if wanted else []
         if "any" not in rule.languages:
             if language is None:
                 raise ValueError(f"rule {rule.rule_id} is for some languages only; name the language column")
@@ -83,7 +126,7 @@ def _gate_column(rules: Sequence[TextRule], text: Column, lowered: Column, has_t
         literal = _literal_test(rule, lowered, has_twins)
         if literal is not None:
             parts.append(literal)
-        parts.append(text.rlike(java_pattern(rule)))
+        parts.append(with_stops(text, rule).rlike(java_pattern(rule)))
         tests.append(F.when(reduce(and_, parts), F.lit(number)))
     # ``filter`` keeps this wide expression out of the fused stage, whose one
     # generated method would grow past the size the JIT compiler accepts
@@ -92,9 +135,11 @@ def _gate_column(rules: Sequence[TextRule], text: Column, lowered: Column, has_t
 
 
 def gate(files: DataFrame, rules: Sequence[TextRule], text: str = "code",
-         language: str | None = None) -> DataFrame:
+         language: str | None = None, wanted: Sequence[Column] | None = None) -> DataFrame:
     """One row per (file, rule) that matches, plus ``rule_no``: its place in ``rules``.
 
+    ``wanted`` says for each rule whether the row asks for it; it is tested before anything else of the rule.
+
     Missing and empty texts match nothing, since no rule matches the empty text.
 
     The test array goes straight into ``explode``.  As a column of its own the
@@ -109,7 +154,7 @@ def gate(files: DataFrame, rules: Sequence[TextRule], text: str = "code",
         .withColumn(twins, twin_test)
     )
     tests = _gate_column(
-        rules, F.col(text), F.col(lowered), F.col(twins), F.col(language) if language else None
+        rules, _without_markers(F.col(text)), F.col(lowered), F.col(twins), F.col(language) if language else None, wanted
     )
     return prepared.select(*files.columns, F.explode(tests).alias("rule_no"))
 
@@ -122,12 +167,13 @@ def _by_rule(values: Sequence[str]) -> Column:
 
 
 def _without_markers(text: Column) -> Column:
-    has_marker = F.contains(text, F.lit(_HIT)) | F.contains(text, F.lit(_VALUE_END))
-    return F.when(has_marker, F.translate(text, _HIT + _VALUE_END, _PLAIN + _PLAIN)).otherwise(text)
+    markers = _HIT + _VALUE_END + _STOPS
+    has_marker = text.rlike(f"[{markers}]")
+    return F.when(has_marker, F.translate(text, markers, _PLAIN * len(markers))).otherwise(text)
 
 
 def locate(files: DataFrame, rules: Sequence[TextRule], text: str = "code",
-           language: str | None = None, keep_lines: bool = False) -> DataFrame:
+           language: str | None = None, keep_lines: bool = False, wanted: Sequence[Column] | None = None) -> DataFrame:
     """One row per (file, rule, line) with a match.
 
     Adds ``rule_no`` (position in ``rules``), ``line_number`` and ``line_marked``,
@@ -135,13 +181,17 @@ def locate(files: DataFrame, rules: Sequence[TextRule], text: str = "code",
     The text itself is dropped here; ``keep_lines`` leaves it as an array
     ``lines``, split once per (file, rule) and not once per match.
     """
-    gated = gate(files, rules, text, language)
+    gated = gate(files, rules, text, language, wanted)
     keys = [c for c in files.columns if c not in (text, language)]
     replacements = [
         f"{_HIT}${r.value_group}{_VALUE_END}$0" if r.value_group else f"{_HIT}$0" for r in rules
     ]
+    prepared = _without_markers(F.col(text))
+    for number, rule in enumerate(rules):
+        if rule.ends:
+            prepared = F.when(F.col("rule_no") == number, with_stops(_without_markers(F.col(text)), rule)).otherwise(prepared)
     marked = F.regexp_replace(
-        _without_markers(F.col(text)),
+        prepared,
         _by_rule([java_pattern(r) for r in rules]),
         _by_rule(replacements),
     )

@@ -76,6 +76,14 @@ def scanner_precedence(external: DataFrame, built_in: DataFrame, successful_runs
     return external.unionByName(built_in.join(done, ["scan_id", "file_path"], "left_anti"))
 
 
+def uncovered(files: DataFrame, successful_runs: DataFrame) -> DataFrame:
+    """The files that the tool has not finished: only these need a scan of our own.
+
+    The join comes before the scan, so covered texts are never searched.  Null paths are never covered.
+    """
+    return files.join(successful_runs.select("scan_id", "file_path").distinct(), ["scan_id", "file_path"], "left_anti")
+
+
 def patch_path(findings: DataFrame, only_if_reported: bool = False) -> DataFrame:
     """Replace the path a tool reported (of a temporary copy) by the original
     ``file_path``; with ``only_if_reported``, only where it named one."""

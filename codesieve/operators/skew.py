@@ -14,8 +14,8 @@ HOT_ROWS = 1_000_000
 def hot_keys(counted: DataFrame, on: Sequence[str], count: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Keys with more than ``hot_rows`` rows, and into how many parts each goes.
 
-    Of n rows at most n / hot_rows keys can be hot, so this table is small for
-    any input and may be broadcast.
+    Of n rows at most n / hot_rows keys can be hot.  Whether that table is small enough to be
+    broadcast is left to Spark, which knows its size.
     """
     parts = F.ceil(F.col(count) / hot_rows).cast("int")
     return counted.where(F.col(count) > hot_rows).select(*on, parts.alias("__parts"))
@@ -37,7 +37,6 @@ def spread_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread_by:
     on = list(on)
     if hot is None:
         hot = hot_keys(big.groupBy(*on).agg(F.count("*").alias("__n")), on, "__n")
-    hot = F.broadcast(hot)
     parts = F.coalesce("__parts", F.lit(1))
     dealt = big.join(hot, on, "left").withColumn("__part", F.pmod(F.xxhash64(*spread_by), parts).cast("int"))
     repeated = small.join(hot, on, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1)))

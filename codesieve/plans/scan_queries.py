@@ -10,7 +10,7 @@ from ..operators import findings as fnd
 from ..operators import summaries
 from ..operators.code_scan import code_scan, deduplicate, rule_apply, rules_for_language, static_review
 from ..operators.owasp import owasp_scan, owasp_status, owasp_totals
-from ..operators.secrets import entropy_candidates, patch_path, scanner_precedence, secret_scan, secret_union
+from ..operators.secrets import entropy_candidates, patch_path, secret_scan, secret_union, uncovered
 from ..rules import CODE_RULES, OWASP_CHECKS, SECRET_RULES
 from ..sources.files import SUFFIXES, decode_files, flag_oversize, language_of, submitted_code
 from ..sources.scanner_reports import parse_bearer, parse_gitleaks, parse_trufflehog
@@ -316,8 +316,8 @@ def scanner_precedence_query(spark, sf_dir):
     reports = inputs.gitleaks(spark, sf_dir)
     external = patch_path(parse_gitleaks(reports)).select("scan_id", "file_path", "id")
     finished = reports.where(F.try_parse_json("report").isNotNull())
-    built_in = secret_scan(inputs.files(spark, sf_dir)).select("scan_id", "file_path", "id")
-    return scanner_precedence(external, built_in, finished)
+    built_in = secret_scan(uncovered(inputs.files(spark, sf_dir), finished)).select("scan_id", "file_path", "id")
+    return external.unionByName(built_in)
 
 
 # --- all scanners ---------------------------------------------------------------------

@@ -14,6 +14,10 @@ class TextRule:
     decides a match on its own; it only spares the regular expression on texts
     that cannot match.  An empty tuple switches the pre-test off.
 
+    ``ends`` has, for each ``.*`` of the pattern in turn, what a search by it may start
+    after, and what ends it on a line (rather too much than too little); see
+    ``operators.matching``.  It changes no match.
+
     ``value_group`` names the capture group that holds the reported value, for
     rules that report one (secrets).
     """
@@ -23,6 +27,7 @@ class TextRule:
     requires: tuple[tuple[str, ...], ...] = ()
     languages: tuple[str, ...] = ("any",)
     ignore_case: bool = True
+    ends: tuple[tuple[str, str], ...] = ()
     value_group: int = 0
 
 

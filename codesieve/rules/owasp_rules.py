@@ -50,9 +50,11 @@ _PATTERNS: tuple[tuple[str, str, str, tuple[tuple[str, ...], ...]], ...] = (
      "Non-cryptographic random used in security context", (("random.rand",),)),
 
     ("A03:2021", r"""(?:execute|query|raw)\s*\(\s*(?:f['""]|['""].*\+)""",
-     "SQL query built with string concatenation", (("execute", "query", "raw"), ("(",), ('"', "'"))),
+     "SQL query built with string concatenation", (("execute", "query", "raw"), ("(",), ('"', "'")),
+     (("execute|query|raw", r"\+"),)),
     ("A03:2021", r"""subprocess\.[a-z_]+\s*\(.*shell\s*=\s*True""",
-     "Subprocess call with shell=True enables command injection", (("subprocess.",), ("shell",))),
+     "Subprocess call with shell=True enables command injection", (("subprocess.",), ("shell",)),
+     ((r"subprocess\.", r"shell\s*(?:=\s*(?:True|$)|$)"),)),
     ("A03:2021", r"""\beval\s*\(""",
      "eval() usage — code injection risk", (("eval",), ("(",))),
     ("A03:2021", r"""\.innerHTML\s*=\s*(?!["']<)""",
@@ -72,7 +74,8 @@ _PATTERNS: tuple[tuple[str, str, str, tuple[tuple[str, ...], ...]], ...] = (
     ("A05:2021", r"""(?i)SHOW_ERRORS\s*=\s*True|DEBUG\s*=\s*True""",
      "Verbose error messages enabled", (("show_errors", "debug"), ("true",))),
     ("A05:2021", r"""(?i)(?:S3|Bucket|Container).*public|ACL\s*=\s*['"]public""",
-     "Cloud storage configured as public", (("s3", "bucket", "container", "acl"), ("public",))),
+     "Cloud storage configured as public", (("s3", "bucket", "container", "acl"), ("public",)),
+     (("S3|Bucket|Container", "public"),)),
     ("A05:2021", r"""chmod\s*\(\s*['""]?0?777['"]?""",
      "File permissions set to world-writable (777)", (("chmod",), ("777",))),
     ("A05:2021", r"""(?i)default_permissions\s*=\s*["'](?:allow|all)["']""",
@@ -97,7 +100,8 @@ _PATTERNS: tuple[tuple[str, str, str, tuple[tuple[str, ...], ...]], ...] = (
     ("A08:2021", r"""(?i)integrity\s*=\s*["']?(?:none|false|0)["']?""",
      "Integrity checking explicitly disabled", (("integrity",), ("=",))),
     ("A08:2021", r"""(?i)(?:from|import)\s+.*?(?:untrusted|unsafe)""",
-     "Import from untrusted source", (("from", "import"), ("untrusted", "unsafe"))),
+     "Import from untrusted source", (("from", "import"), ("untrusted", "unsafe")),
+     (("from|import", "untrusted|unsafe"),)),
 
     ("A09:2021", r"""except\s+(?:Exception|BaseException)?\s*(?:as\s+\w+)?\s*:\s*\n\s*pass""",
      "Exception silently swallowed — security events may be lost", (("except",), ("pass",))),
@@ -113,12 +117,13 @@ _PATTERNS: tuple[tuple[str, str, str, tuple[tuple[str, ...], ...]], ...] = (
 
 def _number(rows) -> tuple[OwaspRule, ...]:
     numbered, seen = [], {}
-    for owasp_id, pattern, text, requires in rows:
+    for owasp_id, pattern, text, requires, *ends in rows:
         seen[owasp_id] = seen.get(owasp_id, 0) + 1
         numbered.append(OwaspRule(
             rule_id=f"{owasp_id}#{seen[owasp_id]}",
             pattern=pattern,
             requires=requires,
+            ends=ends[0] if ends else (),
             owasp_id=owasp_id,
             pattern_no=seen[owasp_id],
             finding_text=text,

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -159,3 +160,42 @@ def test_literals_are_implied_by_the_patterns(spark, files):
 def test_java_pattern_keeps_the_body(rule):
     body = java_pattern(rule)
     assert body.startswith("(?dmuU") and body.replace(r"\x1c-\x1f", "").count("(") >= rule.pattern.count("(")
+
+
+PIECES = ("query(", "raw (", "cursor.execute(", "SELECT ", "update\n", "drop\t", "subprocess.run(", "subprocess.call (", "shell=True", "shell =", " = True", "True", "import ", "from ",
+          "unsafe", "untrusted", "S3", "bucket", "public", "'", '"', "+", "+ x", "% (", "%", "(", "%s", "{x}", "${", ".format", "\n", " ", "f'", "a", "﷔", "﷕", "\x1c")
+
+
+def test_open_searches_equal_brute_force(files):
+    """Many starts, few ends, over several lines: the stops put into the text change no match."""
+    rng = random.Random(11)
+    rows = [(f"f{i}", rng.choice(["python", "php"]), "".join(rng.choice(PIECES) for _ in range(rng.randint(5, 60)))) for i in range(600)]
+    for i, p in enumerate(PIECES):  # one end among many starts
+        rows += [(f"g{i}-{j}", "python", s * 12 + p + s * 12) for j, s in enumerate(("query('a');", "SELECT a ", "subprocess.run(x) ", "import x ", "S3 "))]
+    df = files(*rows)
+    plain = str.maketrans("﷔﷕", "﷓﷓")
+    want = set().union(*(brute.code(path, language, text.translate(plain)) for path, language, text in rows))
+    assert {(r.file_path, r.rule_id, r.line_number) for r in code_scan(df, with_snippet=False).collect()} == want
+    got = sorted((r.file_path, r.owasp_id, r.finding) for r in owasp_scan(df).collect())
+    assert got == sorted(x for path, _, text in rows for x in brute.owasp(path, text.translate(plain)))
+
+
+def test_long_lines_take_linear_time(files):
+    for unit, end in (("query(a);", "+ "), ('query("a");', "x.format "), ("update x ", "{y} "), ("subprocess.run(", "shell=True ")):
+        start = time.time()
+        code_scan(files(("a.py", "python", end + unit * (300_000 // len(unit)))), with_snippet=False).count()
+        assert time.time() - start < 30
+
+
+def test_user_rule_languages_and_patterns(spark, files):
+    table = lambda pattern: spark.createDataFrame([(1, "u1", pattern, ["Python"], None)], "rule_order int, rule_id string, pattern string, languages array<string>, required_literals array<string>")
+    found = code_scan(files(("a.py", "PYTHON", "x = needle")), rules=rules_from_table(table("needle")))
+    assert [r.rule_id for r in found.collect()] == ["u1"]
+    with pytest.raises(ValueError, match="u1"):
+        rules_from_table(table("(needle"))
+
+
+def test_scan_types_are_tested_before_the_rules(spark):
+    df = spark.createDataFrame([("s", "a.py", "python", "eval(x)", ["code"]), ("s", "b.py", "python", "eval(x)", ["owasp"]), ("s", "c.py", "python", "eval(x)", None)],
+                               "scan_id string, file_path string, language string, code string, types array<string>")
+    assert sorted({(r.file_path, r.kind) for r in scan_full(df, "types").collect()}) == [("a.py", "code"), ("b.py", "owasp")]
