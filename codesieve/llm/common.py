@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from codesieve.session import written
 
 # Texts go through Python in groups of at most this many characters (or one text).
-GROUP_CHARS = 1_000_000
+GROUP_CHARS = 300_000
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:

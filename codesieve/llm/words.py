@@ -28,7 +28,7 @@ class Words:
     ones, of which those that come again are kept.  Words of over 64 characters are never kept.
     """
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, remember: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
