@@ -20,22 +20,46 @@ def normal_name(ecosystem: Column, name: Column) -> Column:
     return F.when(F.lower(ecosystem) == "pypi", pypi).otherwise(name)
 
 
-def version_key(version: Column) -> Column:
+def version_key(version: Column, ecosystem: Column | None = None) -> Column:
     """Text that sorts as the version does; null if it does not start with a digit.
 
-    Covers dotted numbers with pre-, post- and development tags.  Build metadata
-    after ``+`` is ignored and trailing zero components do not count.
+    npm versions sort as semantic versions do.  All others are dotted numbers with pre-, post- and development tags
+    and an epoch before ``!``; what follows ``+`` is ignored and trailing zero components do not count.
     """
+    key = _dotted_key(version)
+    return key if ecosystem is None else F.when(F.lower(ecosystem) == "npm", _semantic_key(version)).otherwise(key)
+
+
+def _number(digits: Column) -> Column:
+    """Digits with their length in front, so that they sort as numbers."""
+    short = F.regexp_replace(digits, r"^0+(?=[0-9])", "")
+    return F.concat(F.lpad(F.length(short).cast("string"), 3, "0"), short)
+
+
+def _semantic_key(version: Column) -> Column:
+    """Three numbers, then "A" and the identifiers of a pre-release, or "E": a pre-release lies below its
+    release, numeric identifiers below others, fewer below more.  Build metadata is ignored."""
+    plain = F.regexp_replace(F.substring_index(F.trim(version), "+", 1), r"^[v=\s]+", "")
+    core = F.regexp_extract(plain, r"^[0-9]+(?:\.[0-9]+)*", 0)
+    tag = F.regexp_replace(F.substring(plain, F.length(core) + 1, F.length(plain)), "^[-.]", "")
+    given = F.split(core, r"\.")
+    numbers = F.concat(given, F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 3 - F.size(given))))
+    names = F.transform(F.split(tag, r"\."), lambda x: F.when(x.rlike("^[0-9]+$"), F.concat(F.lit("0"), _number(x))).otherwise(F.concat(F.lit("1"), x)))
+    key = F.concat_ws(" ", F.transform(numbers, lambda x: F.concat(F.lit("N"), _number(x))), F.when(tag == "", F.lit("E")).otherwise(F.concat_ws(" ", F.lit("A"), names)))
+    return F.when(core != "", key)
+
+
+def _dotted_key(version: Column) -> Column:
     plain = F.regexp_replace(F.lower(F.substring_index(F.trim(version), "+", 1)), r"^v", "")
+    epoch = F.regexp_extract(plain, r"^0*([1-9][0-9]*)!", 1)
+    plain = F.regexp_replace(plain, r"^[0-9]+!", "")
     core = F.regexp_replace(plain, r"\.0[.0]*($|[-_.]?[a-z]|[^0-9.])", "$1")
     words = F.create_map(*[F.lit(x) for item in _WORD_RANK.items() for x in item])
 
     def component(part: Column) -> Column:
-        digits = F.regexp_replace(part, r"^0+(?=[0-9])", "")
-        number = F.concat(F.lit("N"), F.lpad(F.length(digits).cast("string"), 3, "0"), digits)
         word = F.coalesce(F.try_element_at(words, part), F.concat(F.lit("A4"), part))
-        return F.when(part.rlike("^[0-9]"), number).otherwise(word)
+        return F.when(part.rlike("^[0-9]"), F.concat(F.lit("N"), _number(part))).otherwise(word)
 
     parts = F.transform(F.regexp_extract_all(core, F.lit("([0-9]+|[a-z]+)"), F.lit(1)), component)
-    key = F.concat_ws(" ", F.array_append(parts, F.lit("E")))
+    key = F.concat_ws(" ", F.when(epoch != "", F.concat(F.lit("Z"), _number(epoch))), F.array_append(parts, F.lit("E")))
     return F.when(plain.rlike("^[0-9]"), key)

@@ -31,10 +31,10 @@ def _keyed(deps: DataFrame) -> DataFrame:
     })
 
 
-def _range_keys(entries: Column) -> Column:
+def _range_keys(entries: Column, ecosystem: Column) -> Column:
     """Comparable bounds of every version range; "0" lies below all versions."""
     def bounds(events: Column, field: str) -> Column:
-        keys = F.transform(events, lambda e: F.when(e[field] == "0", F.lit("")).otherwise(version_key(e[field])))
+        keys = F.transform(events, lambda e: F.when(e[field] == "0", F.lit("")).otherwise(version_key(e[field], ecosystem)))
         return F.filter(keys, lambda k: k.isNotNull())
     ranges = F.filter(
         F.flatten(F.filter(F.transform(entries, lambda a: a["ranges"]), lambda r: r.isNotNull())),
@@ -78,7 +78,7 @@ def advisory_packages(advisories: DataFrame) -> DataFrame:
         "id", "vuln", "p.*", entries.alias("entries"))
     versions = F.flatten(F.filter(F.transform("entries", lambda e: e["versions"]), lambda v: v.isNotNull()))
     return mine.select("id", "vuln", "eco_key", "name_key", versions.alias("versions"),
-                       _range_keys(F.col("entries")).alias("ranges"))
+                       _range_keys(F.col("entries"), F.col("eco_key")).alias("ranges"))
 
 
 def _packages(keyed: DataFrame) -> DataFrame:
@@ -98,7 +98,7 @@ def package_matches(packages: DataFrame, advisories: DataFrame, name_parts: int
     if in a range; no version means any version.
     """
     # ``uses`` stays in the plan so that the hot-key branch can reuse this shuffle.
-    counted = packages.where("uses > 0").withColumn("key", version_key(F.col("version")))
+    counted = packages.where("uses > 0").withColumn("key", version_key(F.col("version"), F.col("eco_key")))
     part = F.pmod(F.xxhash64("version"), F.lit(name_parts)).cast("int")
     entries = advisory_packages(advisories).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(name_parts - 1))))
     joined = counted.withColumn("part", part).join(entries, ["eco_key", "name_key", "part"])
@@ -145,9 +145,16 @@ def dependency_risk(deps: DataFrame, advisories: DataFrame, default_ecosystem: s
 
 
 def risk_of_findings(found: DataFrame) -> DataFrame:
-    """``dependency_risk`` from the rows of ``dependency_findings``."""
-    return found.groupBy("scan_id", "ordinal", "name", "version", "ecosystem").agg(
-        F.count("advisory_id").alias("n_vulns"), risk_score(F.col("severity")).alias("risk_score"))
+    """``dependency_risk`` from the rows of ``dependency_findings``.
+
+    Manifests of a scan may name the same package at the same place.  Each of these equal rows has every advisory once, so the
+    number of rows for one advisory tells how many they are, and each comes out as a row of its own.
+    """
+    key = ["scan_id", "ordinal", "name", "version", "ecosystem"]
+    once = found.groupBy(*key, "advisory_id").agg(F.count("*").alias("rows"), F.first("severity").alias("severity"))
+    scored = once.groupBy(*key).agg(
+        F.count("advisory_id").alias("n_vulns"), risk_score(F.col("severity")).alias("risk_score"), F.max("rows").alias("rows"))
+    return scored.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))).drop("rows", "row")
 
 
 def vulnerable_only(risk: DataFrame) -> DataFrame:

@@ -41,21 +41,29 @@ def decode_files(binary_files: DataFrame) -> DataFrame:
     )
 
 
-def read_directory(spark: SparkSession, root: str, size_cap: int | None = None) -> DataFrame:
-    """Every readable file below ``root``.
-
-    The size test runs on the file listing, before any content is read.
-    """
-    files = (
+def _listing(spark: SparkSession, root: str) -> DataFrame:
+    return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("ignoreCorruptFiles", "true")
         .option("ignoreMissingFiles", "true")
         .load(root)
     )
-    if size_cap is not None:
-        files = files.where(F.col("length") <= size_cap)
-    return decode_files(files)
+
+
+def read_directory(spark: SparkSession, root: str, size_cap: int | None = None) -> DataFrame:
+    """Every readable file below ``root``, of those beyond ``size_cap`` none; :func:`oversize_files` tells which these are.
+
+    The size test runs on the file listing, before any content is read.
+    """
+    files = _listing(spark, root)
+    return decode_files(files if size_cap is None else files.where(F.col("length") <= size_cap))
+
+
+def oversize_files(spark: SparkSession, root: str, size_cap: int = DEFAULT_SIZE_CAP) -> DataFrame:
+    """The files that ``read_directory`` leaves out with that cap: file_path, n_bytes and the reason.  No content is read."""
+    return _listing(spark, root).where(F.col("length") > size_cap).select(
+        F.col("path").alias("file_path"), F.col("length").alias("n_bytes"), F.format_string("larger than %d bytes", F.lit(size_cap)).alias("reason"))
 
 
 def flag_oversize(files: DataFrame, size_cap: int = DEFAULT_SIZE_CAP, text: str = "code") -> DataFrame:

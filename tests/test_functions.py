@@ -85,3 +85,20 @@ def test_severity_normalise(spark):
     df = spark.createDataFrame([("HIGH", None), ("", "Low"), (None, None), (None, "")], "s string, l string")
     got = [r.o for r in df.select(sev.severity_normalise(F.col("s"), F.col("l")).alias("o")).collect()]
     assert got == ["high", "low", "info", "info"]
+
+
+def _order(spark, versions, ecosystem):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(versions)], "i int, v string")
+    keys = {r.i: r.k for r in df.select("i", version_key(F.col("v"), F.lit(ecosystem)).alias("k")).collect()}
+    return sorted(range(len(versions)), key=lambda i: keys[i] or ""), keys
+
+
+def test_published_version_orders(spark):
+    # The examples of the semantic versioning standard, and pre-releases that look like post-releases elsewhere.
+    npm = ["1.0.0-1", "1.0.0-alpha", "1.0.0-alpha.1", "1.0.0-alpha.beta", "1.0.0-beta", "1.0.0-beta.2", "1.0.0-beta.11", "1.0.0-post", "1.0.0-rc.1", "1.0.0", "1.0.1", "1.2.0", "1.10.0", "2.0.0"]
+    assert _order(spark, npm, "npm")[0] == list(range(len(npm)))
+    _, keys = _order(spark, ["1.0.0", "v1.0.0", "1.0", "1.0.0+build.5", "1.0.0+other"], "NPM")
+    assert len(set(keys.values())) == 1
+    pypi = ["1.0.dev1", "1.0a1", "1.0b1", "1.0b2", "1.0rc1", "1.0", "1.0.post1", "1.0.1", "1.10", "2013.10", "1!0.5", "1!1.0", "2!0.1", "10!0.1"]
+    assert _order(spark, pypi, "PyPI")[0] == list(range(len(pypi)))
+    assert _order(spark, ["", "latest", "x"], "npm")[1] == {0: None, 1: None, 2: None}

@@ -1,4 +1,4 @@
-from codesieve.sources.files import decode_files, flag_oversize, read_directory, submitted_code
+from codesieve.sources.files import decode_files, flag_oversize, oversize_files, read_directory, submitted_code
 from codesieve.sources.manifests import parse_package_json, parse_requirements
 from codesieve.sources.scanner_reports import parse_bearer, parse_gitleaks, parse_trufflehog
 
@@ -85,3 +85,12 @@ def test_empty_manifests_are_flagged(spark):
     for text, empty in (("# a\n\n-r b", True), ("", True), (None, True), ("# a\n numpy", False)):
         row = flag_empty_requirements(one(spark, text)).collect()[0]
         assert (row.reason is not None) == empty
+
+
+def test_oversize_files_are_rejects(spark, tmp_path):
+    for name, n in (("a.py", 3), ("b.py", 10), ("c.py", 11)):
+        (tmp_path / name).write_text("x" * n)
+    kept = read_directory(spark, str(tmp_path), size_cap=10).collect()
+    out = oversize_files(spark, str(tmp_path), size_cap=10).collect()
+    assert sorted(len(r.code) for r in kept) == [3, 10]
+    assert [(r.file_path.rsplit("/", 1)[1], r.n_bytes, r.reason) for r in out] == [("c.py", 11, "larger than 10 bytes")]
