@@ -25,13 +25,13 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def groups(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
+def groups(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = GROUP_CHARS) -> Iterator[pa.RecordBatch]:
     """Slices of Arrow batches whose texts together stay small; a single long text is a slice by itself."""
     for batch in batches:
         sizes = np.asarray(pc.binary_length(batch.column(text)).fill_null(0))
         start = total = 0
         for i, size in enumerate(sizes):
-            if i > start and total + size > GROUP_CHARS:
+            if i > start and total + size > chars:
                 yield batch.slice(start, i - start)
                 start, total = i, 0
             total += int(size)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from codesieve.session import written
 
 from .common import groups, texts
-from .words import tokenizer
+from .words import WORD_GROUP, tokenizer
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
@@ -36,7 +36,7 @@ def cut(df: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end, step = tokenizer(path), np.uint32(end_id).tobytes(), 4 * capacity
-        for batch in groups(batches):
+        for batch in groups(batches, chars=WORD_GROUP):
             rows = []
             for doc, ids in zip(batch.column("doc_id").to_pylist(), words.encode(batch.column("text").to_pylist())):
                 ids = words.wide(ids) + end

@@ -20,6 +20,10 @@ import numpy as np
 _APART = tuple(map(chr, (0x1C, 0x1D, 0x1E, 0x1F, 0x130, 0x3A3)))
 
 
+# Characters of the texts that are looked up together: they hold few arrays, so there may be more of them.
+WORD_GROUP = 1_000_000
+
+
 class Words:
     """``encode`` gives the ids of texts as bytes of ``kind``: little-endian unsigned integers of
     16 bits if all ids fit, else of 32 bits.
@@ -28,7 +32,7 @@ class Words:
     ones, of which those that come again are kept.  Words of over 64 characters are never kept.
     """
 
-    def __init__(self, path: str, remember: int = 300_000):
+    def __init__(self, path: str, remember: int = 450_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
