@@ -96,4 +96,27 @@ def op9_grammar_files(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     op1_sentencepiece, op2_best_fit_packing, op3_embedding_near_dedup, op4_secret_scans, op5_fingerprints, op6_token_counts,
     op7_url_filters, op8_language_id, op9_grammar_files, op10_dart_minhash)}
-ORACLE: dict[str, str] = {}
+
+
+def _secrets_sql() -> str:
+    """The spans of every rule from its matches and the texts between them."""
+    from .secret_index import BASE_RULES, RULES
+
+    def spans(i, r):
+        pattern = "'" + r.pattern.replace("'", "''") + "'"
+        return f"""SELECT doc_id, {i} AS number, '{r.kind}' AS kind, start, start + length(m[k]) AS stop FROM (
+  SELECT *, CAST(list_sum(list_transform(p[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) AS BIGINT) AS start
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM (
+    SELECT doc_id, regexp_extract_all(t, {pattern}, 0) AS m, regexp_extract_all(t, {pattern}, {r.group}) AS g, regexp_split_to_array(t, {pattern}) AS p
+    FROM d WHERE regexp_matches(t, {pattern})))) WHERE length(g[k]) >= {r.least}"""
+
+    shown = "kind || ':' || CAST(start AS VARCHAR) || ':' || CAST(stop AS VARCHAR)"
+    counts = ", ".join(f"count(*) FILTER (WHERE number = {i}) AS n_{r.kind}" for i, r in enumerate(BASE_RULES))
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS ({' UNION ALL '.join(spans(i, r) for i, r in enumerate(RULES))})
+SELECT d.doc_id, {counts},
+  sha256(coalesce(string_agg({shown}, ',' ORDER BY start, number) FILTER (WHERE number < {len(BASE_RULES)}), '')) AS base_sha256,
+  coalesce(string_agg({shown}, ',' ORDER BY start, number), '') AS spans
+FROM d LEFT JOIN s ON d.doc_id = s.doc_id GROUP BY d.doc_id"""
+
+
+ORACLE: dict[str, str] = {"op4_secret_scans": _secrets_sql()}
