@@ -14,6 +14,8 @@ from functools import lru_cache
 from unicodedata import is_normalized
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # Texts with these go to the library whole: str.split() cuts at the first four, the
 # tokenizer does not; the last two are lower-cased in another way by str.lower().
@@ -75,7 +77,7 @@ class Words:
                 others.append(w)
         marks = list({w[len(stem):] for w, stem in stems})
         marks = dict(zip(marks, self._ids(marks)))
-        fresh = {stem for _, stem in stems} - known.keys()
+        fresh = {stem for _, stem in stems if stem not in known}
         fresh.update(letters)
         if fresh:
             fresh = list(fresh)
@@ -84,27 +86,49 @@ class Words:
         if others:
             known.update(zip(others, self._ids(others)))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.by_word:
-            return self._ids(texts)
+    def _known(self, words: list[str]) -> list[bytes]:
+        """Ids of different words, from memory where they are there."""
         if len(self.known) >= self.remember:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
+        out = list(map(known.get, words))
+        missing = [i for i, ids in enumerate(out) if ids is None]
+        new = []
+        for i in missing:
+            if (w := words[i]) in older:
+                known[w] = older[w]
+            else:
+                new.append(w)
+        self._learn(new)
+        for i in missing:
+            out[i] = known[words[i]]
+        for w in new:
+            if len(w) > 64:
+                del known[w]
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_word:
+            return self._ids(texts)
+        lower = [t.lower() for t in texts]
         apart = [i for i, t in enumerate(texts) if not t.isascii() and not is_normalized("NFC", t) or any(c in t for c in _APART)]
-        split = [t.lower().split() for t in texts]
         for i in apart:
-            split[i] = []
-        new = set().union(*split) - known.keys()
-        again = new & older.keys()
-        known.update((w, older[w]) for w in again)
-        new -= again
-        self._learn(list(new))
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
+            lower[i] = ""
+        # Each different word is looked up once; its ids are then copied to all its places.
+        split = pc.utf8_split_whitespace(pa.array(lower, pa.large_string()))
+        words = split.flatten().dictionary_encode()
+        ids = self._known(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        flat = np.frombuffer(b"".join(ids), self.kind)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // flat.itemsize
+        first, at = np.cumsum(size) - size, words.indices.to_numpy()
+        n = size[at]
+        ends = np.cumsum(n)
+        raw = flat[np.repeat(first[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        cuts = (np.concatenate(([0], ends))[split.offsets.to_numpy()] * flat.itemsize).tolist()
+        out = [raw[a:b] for a, b in zip(cuts, cuts[1:])]
         if apart:
             for i, ids in zip(apart, self._ids([texts[i] for i in apart])):
                 out[i] = ids
-        for w in [w for w in new if len(w) > 64]:
-            del known[w]
         return out
 
     def wide(self, ids: bytes) -> bytes:
