@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import finding_id, snippet
 from ..rules import CODE_RULES, CodeRule
 from .matching import gate, locate
+from .secrets import patch_path, uncovered
 
 
 def _attribute(rules: Sequence[CodeRule], name: str) -> Column:
@@ -80,3 +81,19 @@ def deduplicate(findings: DataFrame) -> DataFrame:
     several runs.  Rows with the same key are equal, so which one stays does not
     matter and the duplicates already go on the map side."""
     return findings.dropDuplicates(["scan_id", "file_path", "rule_id", "line_number"])
+
+
+REQUEST = ("scan_id", "file_path", "line_number", "id", "title", "description", "severity", "category", "code_snippet",
+           "remediation", "cwe_id", "owasp_category")
+
+
+def code_request(files: DataFrame, external: DataFrame, finished: DataFrame, with_snippet: bool = True) -> DataFrame:
+    """Code findings of requests, each with its ``scanner``: Bearer's where it ``finished`` a file, the code rules' elsewhere.
+
+    ``external`` is a parsed report; a path that it names is that of a temporary copy and is replaced.
+    """
+    columns = [c for c in REQUEST if with_snippet or c != "code_snippet"]
+    own = code_scan(uncovered(files, finished), with_snippet=with_snippet).withColumnRenamed("finding_id", "id")
+    bearer = patch_path(external, only_if_reported=True)
+    return (own.select(*columns, F.lit("built-in").alias("scanner"))
+            .unionByName(bearer.select(*columns, F.lit("bearer").alias("scanner"))))

@@ -90,3 +90,15 @@ def patch_path(findings: DataFrame, only_if_reported: bool = False) -> DataFrame
     path = F.when(F.coalesce("reported_path", F.lit("")) != "", F.col("file_path")) if only_if_reported \
         else F.col("file_path")
     return findings.withColumn("file_path", path).drop("reported_path")
+
+
+def secrets_request(files: DataFrame, external: DataFrame, finished: DataFrame, supplement: DataFrame) -> DataFrame:
+    """All secrets of requests, each with its ``scanner``: gitleaks where it ``finished`` a file, built-in rules elsewhere,
+    followed by what trufflehog found.
+
+    ``external`` and ``supplement`` are parsed reports; their paths of temporary copies are replaced.
+    """
+    built_in = secret_scan(uncovered(files, finished))
+    tagged = [patch_path(df).withColumn("scanner", F.lit(name)).select(*built_in.columns)
+              for df, name in ((external, "gitleaks"), (supplement, "trufflehog"))]
+    return secret_union(built_in.unionByName(tagged[0]), tagged[1])

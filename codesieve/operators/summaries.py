@@ -38,20 +38,28 @@ def scan_risk(findings: DataFrame, scans: DataFrame | None = None) -> DataFrame:
         F.count("severity").alias("n_findings"), risk_score(F.col("severity")).alias("risk_score"))
 
 
-def report_counts(findings: DataFrame, secrets: DataFrame, dep_risk: DataFrame) -> DataFrame:
-    """The six figures at the head of a report, in one aggregation over the
-    tagged union of the three tables."""
-    rows = (
-        findings.select("scan_id", F.col("severity").alias("tag"), F.lit(1).cast("long").alias("n"))
-        .unionByName(secrets.select("scan_id", F.lit("secret").alias("tag"), F.lit(1).cast("long").alias("n")))
-        .unionByName(dep_risk.select("scan_id", F.lit("cve").alias("tag"), F.col("n_vulns").cast("long").alias("n")))
-    )
+def _head_figures(rows: DataFrame, dep_risk: DataFrame) -> DataFrame:
+    rows = rows.select("scan_id", "tag", F.lit(1).cast("long").alias("n")).unionByName(
+        dep_risk.select("scan_id", F.lit("cve").alias("tag"), F.col("n_vulns").cast("long").alias("n")))
     total = lambda tag: F.coalesce(F.sum(F.when(F.col("tag") == tag, F.col("n"))), F.lit(0).cast("long"))
     return rows.groupBy("scan_id").agg(
         *[total(level).alias(f"{level}_count") for level in LEVELS if level != "info"],
         total("secret").alias("secrets_count"), total("cve").alias("dep_vuln_count"))
 
 
+def report_counts(findings: DataFrame, secrets: DataFrame, dep_risk: DataFrame) -> DataFrame:
+    """The six figures at the head of a report, in one aggregation over the
+    tagged union of the three tables."""
+    return _head_figures(findings.select("scan_id", F.col("severity").alias("tag"))
+                         .unionByName(secrets.select("scan_id", F.lit("secret").alias("tag"))), dep_risk)
+
+
+def report_counts_of_scan(found: DataFrame, dep_risk: DataFrame) -> DataFrame:
+    """The same figures from the code and secrets findings of ``scan_full``, for which the texts are read once."""
+    tag = F.when(F.col("kind") == "secrets", "secret").when(F.col("kind") == "code", F.col("severity"))
+    return _head_figures(found.select("scan_id", tag.alias("tag")).where("tag is not null"), dep_risk)
+
+
 def dashboard_stats(findings: DataFrame, scans: DataFrame) -> DataFrame:
     """Scans, critical (with high), warnings and clean scans.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import findings as fnd
 from ..operators import summaries
 from ..operators.code_scan import code_scan
-from ..operators.dependencies import dependency_findings, risk_of_findings
+from ..operators.dependencies import dependency_findings, dependency_risk
 from ..operators.secrets import secret_scan
 from ..prompts import assembly as prompts
 from ..session import few_partitions, shared_folder, written
@@ -43,8 +43,9 @@ FROM (SELECT scan_id, severity AS tag, 1 AS n FROM {_CODE} UNION ALL SELECT scan
 
 @query("report_counts", _report_ctes() + ",\n" + _COUNTS + "\nSELECT * FROM counts")
 def report_counts(spark, sf_dir):
-    found, secrets, packages = _report_inputs(spark, sf_dir)
-    return summaries.report_counts(found, secrets, risk_of_findings(packages))
+    files = inputs.files(spark, sf_dir).withColumn("types", F.array(F.lit("code"), F.lit("secrets")))
+    risk = dependency_risk(inputs.report_deps(spark, sf_dir), parse_osv(inputs.osv_records(spark, sf_dir)))
+    return summaries.report_counts_of_scan(fnd.scan_full(files, scan_types="types"), risk)
 
 
 def _fill_sql(name: str, /, **columns: str) -> str:

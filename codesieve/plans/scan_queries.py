@@ -8,9 +8,9 @@ from ..functions.severity import severity_color, severity_normalise
 from ..functions.text import line_number, mask_middle, mask_tail, sha1_short
 from ..operators import findings as fnd
 from ..operators import summaries
-from ..operators.code_scan import code_scan, deduplicate, rule_apply, rules_for_language, static_review
+from ..operators.code_scan import code_request, code_scan, deduplicate, rule_apply, rules_for_language, static_review
 from ..operators.owasp import owasp_scan, owasp_status, owasp_totals
-from ..operators.secrets import entropy_candidates, patch_path, secret_scan, secret_union, uncovered
+from ..operators.secrets import entropy_candidates, patch_path, secret_scan, secret_union, secrets_request, uncovered
 from ..rules import CODE_RULES, OWASP_CHECKS, SECRET_RULES
 from ..sources.files import SUFFIXES, decode_files, flag_oversize, language_of, submitted_code
 from ..sources.scanner_reports import parse_bearer, parse_gitleaks, parse_trufflehog
@@ -66,19 +66,22 @@ def src_size_cap(spark, sf_dir):
     return flagged.groupBy("within_cap").agg(F.count("*").alias("n_files"), F.sum("n_bytes").alias("n_bytes"))
 
 
-@query("src_gitleaks", with_inputs("gitleaks", query=f"""
+_GITLEAKS = f"""
 SELECT scan_id, file_path, 'gl-' || coalesce(f->>'Fingerprint', substr(coalesce(f->>'Match', ''), 1, 16)) AS id,
   coalesce(f->>'RuleID', 'unknown') AS type,
   coalesce(f->>'Description', f->>'RuleID', 'Secret detected by gitleaks') AS description,
   {sql.mask_tail("coalesce(f->>'Secret', '')")} AS masked_value, f->>'File' AS reported_path,
   CAST(f->>'StartLine' AS INT) AS line_number, 'critical' AS severity, CAST(0.95 AS DOUBLE) AS confidence
 FROM (SELECT scan_id, file_path, unnest(CASE WHEN NOT json_valid(report) THEN [] WHEN json_type(report) = 'ARRAY'
-  THEN json_extract(report, '$[*]') ELSE [CAST(report AS JSON)] END) AS f FROM gitleaks)"""))
+  THEN json_extract(report, '$[*]') ELSE [CAST(report AS JSON)] END) AS f FROM gitleaks)"""
+
+
+@query("src_gitleaks", with_inputs("gitleaks", query=_GITLEAKS))
 def src_gitleaks(spark, sf_dir):
     return parse_gitleaks(inputs.gitleaks(spark, sf_dir))
 
 
-@query("src_trufflehog", with_inputs("trufflehog", query=f"""
+_TRUFFLEHOG = f"""
 SELECT scan_id, file_path, 'th-' || coalesce(f->'StructuredData'->>'id', nullif(substr(raw, 1, 16), ''), 'unknown') AS id,
   coalesce(f->>'DetectorName', 'Unknown') AS type,
   'TruffleHog detected: ' || coalesce(f->>'DetectorName', 'Unknown') AS description,
@@ -90,12 +93,15 @@ FROM (SELECT *, coalesce(f->>'Raw', f->>'RawV2', '') AS raw, f->'SourceMetadata'
     f->'SourceMetadata'->'Data'->'Git' AS git
   FROM (SELECT scan_id, file_path, CAST(line AS JSON) AS f
     FROM (SELECT scan_id, file_path, unnest(string_split(report, chr(10))) AS line FROM trufflehog)
-    WHERE trim(line) <> '' AND json_valid(line)))"""))
+    WHERE trim(line) <> '' AND json_valid(line)))"""
+
+
+@query("src_trufflehog", with_inputs("trufflehog", query=_TRUFFLEHOG))
 def src_trufflehog(spark, sf_dir):
     return parse_trufflehog(inputs.trufflehog(spark, sf_dir))
 
 
-@query("src_bearer", with_inputs("bearer", query="""
+_BEARER = """
 SELECT scan_id, file_path, 'bearer-' || coalesce(f->>'id', f->>'rule_id', 'unknown') AS id,
   coalesce(f->>'title', f->>'rule_id', 'Bearer finding') AS title, coalesce(f->>'description', '') AS description,
   CASE lower(k) WHEN 'critical' THEN 'critical' WHEN 'high' THEN 'high' WHEN 'medium' THEN 'medium'
@@ -107,7 +113,10 @@ SELECT scan_id, file_path, 'bearer-' || coalesce(f->>'id', f->>'rule_id', 'unkno
 FROM (SELECT scan_id, file_path, k, unnest(json_extract(json_extract(report, '$."' || k || '"'), '$[*]')) AS f
   FROM (SELECT scan_id, file_path, report, unnest(json_keys(report)) AS k
     FROM (SELECT * FROM bearer WHERE json_valid(report)) WHERE json_type(report) = 'OBJECT')
-  WHERE json_type(report, '$."' || k || '"') = 'ARRAY')"""))
+  WHERE json_type(report, '$."' || k || '"') = 'ARRAY')"""
+
+
+@query("src_bearer", with_inputs("bearer", query=_BEARER))
 def src_bearer(spark, sf_dir):
     return parse_bearer(inputs.bearer(spark, sf_dir))
 
@@ -320,6 +329,31 @@ def scanner_precedence_query(spark, sf_dir):
     return external.unionByName(built_in)
 
 
+@query("scan_secrets_request", with_inputs("files", "gitleaks", "trufflehog", query=f"""
+SELECT * FROM {_SECRET} WHERE file_path NOT IN (SELECT file_path FROM gitleaks WHERE shape <> 3)
+UNION ALL BY NAME SELECT * EXCLUDE (reported_path), 'gitleaks' AS scanner FROM ({_GITLEAKS})
+UNION ALL BY NAME SELECT * EXCLUDE (reported_path), 'trufflehog' AS scanner FROM ({_TRUFFLEHOG})"""))
+def scan_secrets_request(spark, sf_dir):
+    """A gitleaks report that is no JSON stands for a failed run."""
+    reports = inputs.gitleaks(spark, sf_dir)
+    return secrets_request(inputs.files(spark, sf_dir), parse_gitleaks(reports), reports.where(F.try_parse_json("report").isNotNull()),
+                           parse_trufflehog(inputs.trufflehog(spark, sf_dir)))
+
+
+@query("scan_code_request", with_inputs("files", "bearer", query=f"""
+SELECT scan_id, file_path, line_number, {sql.finding_id()} AS id, title, description, severity, category, remediation, cwe_id,
+  owasp_category, 'built-in' AS scanner
+FROM {_CODE} JOIN {sql.code_rule_values('title', 'description', 'category', 'remediation', 'cwe_id', 'owasp_category')} USING (rule_id)
+WHERE file_path NOT IN (SELECT file_path FROM bearer WHERE shape <> 4)
+UNION ALL BY NAME SELECT scan_id, CASE WHEN coalesce(reported_path, '') <> '' THEN file_path END AS file_path, line_number, id, title,
+  description, severity, category, remediation, cwe_id, owasp_category, 'bearer' AS scanner FROM ({_BEARER})"""))
+def scan_code_request(spark, sf_dir):
+    """A Bearer report that is no JSON stands for a failed run; JSON that is no object, for one that found nothing."""
+    reports = inputs.bearer(spark, sf_dir)
+    finished = reports.where(F.try_parse_json("report").isNotNull())
+    return code_request(inputs.files(spark, sf_dir), parse_bearer(reports), finished, with_snippet=False)
+
+
 # --- all scanners ---------------------------------------------------------------------
 
 _FULL = f"""(SELECT scan_id, file_path, 'code' AS kind, rule_id, severity, line_number, 1 AS occurrence FROM {_CODE}
