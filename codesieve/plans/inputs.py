@@ -192,6 +192,22 @@ def bearer(spark, sf_dir):
     return _reports(spark, sf_dir, _BEARER)
 
 
+# --- user rules, one per word of the part names: words that begin like it -------------
+
+SQL["user_rules"] = """SELECT 'word-' || w AS rule_id, left(w, 2) AS head, CASE WHEN length(w) > 4 THEN 'high' ELSE 'low' END AS severity,
+  'Like ' || w AS title, CASE WHEN length(w) = 4 THEN 'python' ELSE 'any' END AS rule_language
+FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part)"""
+
+
+def user_rules(spark, sf_dir):
+    word, head = F.col("w"), F.left("w", F.lit(2))
+    words = table(spark, sf_dir, "part", "p_name").select(F.explode(F.split("p_name", " ")).alias("w")).distinct()
+    return words.select(
+        word.alias("rule_order"), _concat("word-", word).alias("rule_id"), _concat(r"(^|[ (])", head).alias("pattern"),
+        F.when(F.length(word) > 4, "high").otherwise("low").alias("severity"), _concat("Like ", word).alias("title"),
+        F.array(F.when(F.length(word) == 4, "Python").otherwise("any")).alias("languages"), F.array(head).alias("required_literals"))
+
+
 # --- manifests, one per order ---------------------------------------------
 
 _REQUIREMENTS = ("requests==2.", "{a}", ".0\n# comment\n\n-r base.txt\nflask>=1.", "{a}",

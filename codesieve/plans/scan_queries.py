@@ -11,7 +11,7 @@ from ..operators import summaries
 from ..operators.code_scan import code_request, code_scan, deduplicate, rule_apply, rules_for_language, static_review
 from ..operators.owasp import owasp_scan, owasp_status, owasp_totals
 from ..operators.secrets import entropy_candidates, patch_path, secret_scan, secret_union, secrets_request, uncovered
-from ..rules import CODE_RULES, OWASP_CHECKS, SECRET_RULES
+from ..rules import CODE_RULES, OWASP_CHECKS, SECRET_RULES, rules_from_table
 from ..sources.files import SUFFIXES, decode_files, flag_oversize, language_of, submitted_code
 from ..sources.scanner_reports import parse_bearer, parse_gitleaks, parse_trufflehog
 from . import inputs, sql
@@ -237,6 +237,17 @@ FROM (SELECT DISTINCT {unit} FROM files) CROSS JOIN {_CHECKS}
 LEFT JOIN (SELECT {unit}, owasp_id, sum(n_hits) AS n FROM ({sql.owasp_hits()}) GROUP BY ALL) USING ({unit}, owasp_id))"""
 
 
+@query("user_rules", with_inputs("files", "user_rules", query="""
+SELECT scan_id, file_path, rule_id, CAST(line_number AS INT) AS line_number, severity, title
+FROM (SELECT scan_id, file_path, language, lower(unnest(p)) AS line, unnest(range(1, len(p) + 1)) AS line_number
+  FROM (SELECT *, string_split(code, chr(10)) AS p FROM files)) JOIN user_rules ON rule_language IN ('any', language)
+WHERE starts_with(line, head) OR contains(line, ' ' || head) OR contains(line, '(' || head)"""))
+def user_rules(spark, sf_dir):
+    rules = rules_from_table(inputs.user_rules(spark, sf_dir))
+    found = code_scan(inputs.files(spark, sf_dir), rules=rules, with_snippet=False)
+    return found.select("scan_id", "file_path", "rule_id", "line_number", "severity", "title")
+
+
 @query("owasp_status", with_inputs("files", query=f"SELECT * FROM {_status_sql('scan_id')}"))
 def owasp_status_query(spark, sf_dir):
     return owasp_status(inputs.files(spark, sf_dir))
