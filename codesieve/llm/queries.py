@@ -93,9 +93,16 @@ def op9_grammar_files(spark, sf_dir):
             .join(chunks, ["shard", "chunk"]).select("doc_id", (F.col("start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32"))
 
 
+def op13_warc(spark, sf_dir):
+    from .warc import convert, pages, write_arc
+
+    return pages(spark, convert(spark, write_arc(table(spark, sf_dir, "pages")), least_bytes=1000)).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_sentencepiece, op2_best_fit_packing, op3_embedding_near_dedup, op4_secret_scans, op5_fingerprints, op6_token_counts,
-    op7_url_filters, op8_language_id, op9_grammar_files, op10_dart_minhash)}
+    op7_url_filters, op8_language_id, op9_grammar_files, op10_dart_minhash, op13_warc)}
 
 
 def _secrets_sql() -> str:
@@ -119,4 +126,10 @@ SELECT d.doc_id, {counts},
 FROM d LEFT JOIN s ON d.doc_id = s.doc_id GROUP BY d.doc_id"""
 
 
-ORACLE: dict[str, str] = {"op4_secret_scans": _secrets_sql()}
+WARC_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+q AS (SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, sha1(t) AS payload_digest, max(page_id) OVER (PARTITION BY t) AS kept FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id != kept THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id != kept THEN kept END AS refers_to, true AS verified FROM q"""
+
+ORACLE: dict[str, str] = {"op4_secret_scans": _secrets_sql(), "op13_warc": WARC_SQL}
