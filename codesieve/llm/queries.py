@@ -93,6 +93,18 @@ def op9_grammar_files(spark, sf_dir):
             .join(chunks, ["shard", "chunk"]).select("doc_id", (F.col("start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32"))
 
 
+def op11_spelling(spark, sf_dir):
+    from .spelling import variants, word_counts
+
+    return variants(word_counts(table(spark, sf_dir, "documents"), least_chars=5, least_n=3, slip=97), factor=2)
+
+
+def op12_whitening(spark, sf_dir):
+    from .whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"), components=8).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def op13_warc(spark, sf_dir):
     from .warc import convert, pages, write_arc
 
@@ -102,7 +114,7 @@ def op13_warc(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_sentencepiece, op2_best_fit_packing, op3_embedding_near_dedup, op4_secret_scans, op5_fingerprints, op6_token_counts,
-    op7_url_filters, op8_language_id, op9_grammar_files, op10_dart_minhash, op13_warc)}
+    op7_url_filters, op8_language_id, op9_grammar_files, op10_dart_minhash, op11_spelling, op12_whitening, op13_warc)}
 
 
 def _secrets_sql() -> str:
