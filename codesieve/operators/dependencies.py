@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.advisory import cve_id_pick, reference_urls, summary_or_default
 from ..functions.severity import advisory_severity, risk_score
 from ..functions.versions import normal_name, version_key
+from ..session import written
 from .skew import HOT_ROWS, hot_keys, spread_join
 
 _PACKAGE = ["eco_key", "name_key", "version"]
-
-# Tasks that the versions of one name are dealt to.
-NAME_PARTS = 8
+_ABOVE_ALL = "\uffff"  # above all version keys
 
 
 def with_ecosystem(deps: DataFrame, default: str = "PyPI") -> DataFrame:
@@ -31,29 +30,32 @@ def _keyed(deps: DataFrame) -> DataFrame:
     })
 
 
-def _range_keys(entries: Column, ecosystem: Column) -> Column:
-    """Comparable bounds of every version range; "0" lies below all versions."""
-    def bounds(events: Column, field: str) -> Column:
-        keys = F.transform(events, lambda e: F.when(e[field] == "0", F.lit("")).otherwise(version_key(e[field], ecosystem)))
-        return F.filter(keys, lambda k: k.isNotNull())
+def _intervals(entries: Column, ecosystem: Column) -> Column:
+    """Half-open intervals [low, high) of keys that the version ranges cover; "0" lies below all versions.
+
+    An introduced version opens an interval; the next event at or after it ends it: a fix before itself, a last
+    affected version behind itself.  Ranges that nothing opens cover nothing.
+    """
+    def keys(events: Column, field: str) -> Column:
+        found = F.transform(events, lambda e: F.when(e[field] == "0", F.lit("")).otherwise(version_key(e[field], ecosystem)))
+        return F.filter(found, lambda k: k.isNotNull())
+
     ranges = F.filter(
         F.flatten(F.filter(F.transform(entries, lambda a: a["ranges"]), lambda r: r.isNotNull())),
         lambda r: F.coalesce(r["type"], F.lit("")) != "GIT",
     )
-    return F.transform(ranges, lambda r: F.struct(
-        bounds(r["events"], "introduced").alias("introduced"),
-        bounds(r["events"], "fixed").alias("fixed"),
-        bounds(r["events"], "last_affected").alias("last_affected"),
-    ))
 
+    def of_range(r: Column) -> Column:
+        opened = F.array_distinct(keys(r["events"], "introduced"))
+        ends = F.concat(keys(r["events"], "fixed"), F.transform(keys(r["events"], "last_affected"), lambda k: F.concat(k, F.lit("\0"))))
+
+        def interval(low: Column) -> Column:
+            after = F.concat(F.filter(ends, lambda e: e >= low), F.filter(opened, lambda o: o > low))
+            return F.struct(low.alias("low"), F.coalesce(F.array_min(after), F.lit(_ABOVE_ALL)).alias("high"))
+        return F.transform(opened, interval)
 
-def _in_range(r: Column, key: Column) -> Column:
-    """The last event at or before the version opened the range."""
-    opened = F.array_max(F.filter(r["introduced"], lambda k: k <= key))
-    fixed = F.array_max(F.filter(r["fixed"], lambda k: k <= key))
-    ended = F.array_max(F.filter(r["last_affected"], lambda k: k < key))
-    return F.coalesce(
-        opened.isNotNull() & (fixed.isNull() | (fixed < opened)) & (ended.isNull() | (ended < opened)), F.lit(False))
+    found = F.flatten(F.transform(ranges, of_range))
+    return F.filter(found, lambda i: i["low"] < i["high"])
 
 
 def advisory_packages(advisories: DataFrame) -> DataFrame:
@@ -77,8 +79,13 @@ def advisory_packages(advisories: DataFrame) -> DataFrame:
     mine = named.where("p.eco_key is not null and p.name_key is not null").select(
         "id", "vuln", "p.*", entries.alias("entries"))
     versions = F.flatten(F.filter(F.transform("entries", lambda e: e["versions"]), lambda v: v.isNotNull()))
-    return mine.select("id", "vuln", "eco_key", "name_key", versions.alias("versions"),
-                       _range_keys(F.col("entries"), F.col("eco_key")).alias("ranges"))
+    return mine.select("id", "vuln", "eco_key", "name_key", F.array_distinct(versions).alias("versions"),
+                       _intervals(F.col("entries"), F.col("eco_key")).alias("intervals"))
+
+
+def advisory_entries(advisories: DataFrame) -> DataFrame:
+    """:func:`advisory_packages` as a table, each row with a number of its own, ``entry``."""
+    return written(advisory_packages(advisories).withColumn("entry", F.monotonically_increasing_id()), "advisories")
 
 
 def _packages(keyed: DataFrame) -> DataFrame:
@@ -87,25 +94,70 @@ def _packages(keyed: DataFrame) -> DataFrame:
     return named.groupBy(*_PACKAGE).agg(F.count("*").alias("uses"))
 
 
-def package_matches(packages: DataFrame, advisories: DataFrame, name_parts: int = NAME_PARTS) -> DataFrame:
-    """Advisories of each distinct (ecosystem, name, version).
+def _covering(low: Column, high: Column, levels: int) -> Column:
+    """The fewest aligned blocks of 2^level places that together are the places [low, high)."""
+    def at(level: Column) -> Column:
+        first = F.call_function("shiftright", low + F.call_function("shiftleft", F.lit(1).cast("long"), level) - 1, level)
+        stop = F.call_function("shiftright", high, level)
+        some = first < stop
+        return F.array(F.when(some & (first % 2 == 1), F.struct(level.alias("level"), first.alias("block"))),
+                       F.when(some & (stop % 2 == 1), F.struct(level.alias("level"), (stop - 1).alias("block"))))
+    every = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), at))
+    return F.filter(every, lambda b: b.isNotNull())
+
+
+def _range_matches(packages: DataFrame, entries: DataFrame) -> DataFrame:
+    """(package, entry) for versions within an interval of an entry, by an interval index.
+
+    Versions and the ends of intervals are sorted together, over all names, by ranges, so that a name with most
+    of the versions is many tasks' work.  The places of an interval are cut into aligned blocks of
+    powers of two, at most two of a size; a version lies in one block of each size.  Joined by block, a version meets
+    an entry only where the entry covers it, whatever else is known of the name.
+    """
+    intervals = entries.select("eco_key", "name_key", "entry", F.posexplode("intervals").alias("no", "i"))
+    versions = packages.withColumn("key", version_key(F.col("version"), F.col("eco_key"))).where("key is not null") \
+        .join(intervals.select("eco_key", "name_key").distinct(), ["eco_key", "name_key"], "left_semi")
+    none = F.lit(None)
+    ends = intervals.select("eco_key", "name_key", F.explode(F.array("i.low", "i.high")).alias("key"))
+    # Ends come before versions of the same key: the first place of an interval is that of the first version in it.
+    points = ends.distinct().select("eco_key", "name_key", "key", F.lit(0).alias("kind"), none.cast("string").alias("version")) \
+        .unionByName(versions.select("eco_key", "name_key", "key", F.lit(1).alias("kind"), "version"))
+    order = ["eco_key", "name_key", "key", "kind", "version"]
+    places = written(points.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()), "version-places")
+
+    # Spark numbers rows as (partition, row) with 33 bits for the row; drop the bits that no row uses.
+    row = F.col("place").bitwiseAND((1 << 33) - 1)
+    most = places.agg(F.max(row).alias("row"), F.max(F.call_function("shiftright", "place", F.lit(33))).alias("part")).first()
+    bits = max(1, int(most.row or 0).bit_length())
+    levels = bits + int(most.part or 0).bit_length()
+    places = places.withColumn("place", F.call_function("shiftleft", F.call_function("shiftright", "place", F.lit(33)), F.lit(bits)) + row)
+
+    at = places.where("kind = 0").select("eco_key", "name_key", "key", "place")
+    low = at.select("eco_key", "name_key", F.col("key").alias("low"), F.col("place").alias("first"))
+    high = at.select("eco_key", "name_key", F.col("key").alias("high"), F.col("place").alias("stop"))
+    blocks = (intervals.select("eco_key", "name_key", "entry", "i.low", "i.high").join(low, ["eco_key", "name_key", "low"])
+              .join(high, ["eco_key", "name_key", "high"])
+              .select("eco_key", "name_key", "entry", F.explode(_covering(F.col("first"), F.col("stop"), levels)).alias("b"))
+              .select("eco_key", "name_key", "entry", "b.level", "b.block"))
+    used = blocks.groupBy("eco_key", "name_key").agg(F.collect_set("level").alias("levels"))  # at most 64 of a name
+    of_versions = (places.where("kind = 1").join(used, ["eco_key", "name_key"])
+                   .select(*_PACKAGE, "place", F.explode("levels").alias("level"))
+                   .select(*_PACKAGE, "level", F.call_function("shiftright", "place", F.col("level")).alias("block")))
+    return of_versions.join(blocks.select("entry", "level", "block"), ["level", "block"]).select(*_PACKAGE, "entry")
+
+
+def package_matches(packages: DataFrame, entries: DataFrame) -> DataFrame:
+    """(package, entry): the entries of :func:`advisory_entries` for each distinct (ecosystem, name, version).
 
     Dependencies are reduced to distinct packages first, on the map side, so a
-    package that a third of all manifests name is matched once.  Each version is
-    tested against each advisory of its name; so that one name is no single
-    task's work, its versions are dealt to ``name_parts`` parts and the advisories,
-    by far the smaller table, are repeated.  A version is affected if listed, or
-    if in a range; no version means any version.
+    package that a third of all manifests name is matched once.  A version is affected if an entry lists
+    it or has it in a range; no version means any version.  Each way is a join by equality whose rows are matches.
     """
-    # ``uses`` stays in the plan so that the hot-key branch can reuse this shuffle.
-    counted = packages.where("uses > 0").withColumn("key", version_key(F.col("version"), F.col("eco_key")))
-    part = F.pmod(F.xxhash64("version"), F.lit(name_parts)).cast("int")
-    entries = advisory_packages(advisories).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(name_parts - 1))))
-    joined = counted.withColumn("part", part).join(entries, ["eco_key", "name_key", "part"])
-    listed = F.array_contains(F.coalesce("versions", F.array().cast("array<string>")), F.col("version"))
-    in_range = F.exists("ranges", lambda r: _in_range(r, F.col("key")))
-    affected = (F.col("version") == "") | F.coalesce(listed, F.lit(False)) | F.coalesce(in_range, F.lit(False))
-    return joined.where(affected).select(*_PACKAGE, "id", "vuln")
+    listed = packages.join(entries.select("eco_key", "name_key", "entry", F.explode("versions").alias("version")), _PACKAGE)
+    any_version = packages.where("version = ''").join(entries.select("eco_key", "name_key", "entry"), ["eco_key", "name_key"])
+    ways = [listed, any_version, _range_matches(packages.where("version != ''"), entries)]
+    pairs = [w.select(*_PACKAGE, "entry") for w in ways]
+    return pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).distinct()
 
 
 def _back_to_dependencies(keyed: DataFrame, packages: DataFrame, found: DataFrame, hot_rows: int) -> DataFrame:
@@ -117,9 +169,10 @@ def dependency_findings(deps: DataFrame, advisories: DataFrame, default_ecosyste
                         hot_rows: int = HOT_ROWS) -> DataFrame:
     """Every dependency with each of its vulnerabilities, or with nulls if none."""
     keyed = _keyed(with_ecosystem(deps, default_ecosystem))
-    packages = _packages(keyed)
-    joined = _back_to_dependencies(keyed, packages, package_matches(packages, advisories), hot_rows)
-    return joined.select(
+    packages, entries = written(_packages(keyed), "packages"), advisory_entries(advisories)
+    joined = _back_to_dependencies(keyed, packages, package_matches(packages, entries), hot_rows)
+    # What advisories say is joined last, so that no other step moves their texts.
+    return joined.join(entries.select("entry", "id", "vuln"), "entry", "left").select(
         "scan_id", "ordinal", "name", "version", "ecosystem",
         F.col("id").alias("advisory_id"),
         *[F.col(f"vuln.{c}").alias(c) for c in ("cve_id", "summary", "severity", "published", "references")],
@@ -133,9 +186,9 @@ def dependency_risk(deps: DataFrame, advisories: DataFrame, default_ecosystem: s
     Packages that no advisory knows, or whose lookup found nothing, have none.
     """
     keyed = _keyed(with_ecosystem(deps, default_ecosystem))
-    packages = _packages(keyed)
-    scored = package_matches(packages, advisories).groupBy(*_PACKAGE).agg(
-        F.count("*").alias("n_vulns"), risk_score(F.col("vuln.severity")).alias("risk_score"))
+    packages, entries = written(_packages(keyed), "packages"), advisory_entries(advisories)
+    rated = package_matches(packages, entries).join(entries.select("entry", "vuln.severity"), "entry")
+    scored = rated.groupBy(*_PACKAGE).agg(F.count("*").alias("n_vulns"), risk_score(F.col("severity")).alias("risk_score"))
     joined = _back_to_dependencies(keyed, packages, scored, hot_rows)
     return joined.select(
         "scan_id", "ordinal", "name", "version", "ecosystem",

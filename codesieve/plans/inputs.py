@@ -281,6 +281,58 @@ def deps(spark, sf_dir):
         F.when(line == 7, F.lit(None)).when(part % 2 == 0, "PyPI").otherwise("npm").alias("ecosystem"))
 
 
+# One name with the versions of all order lines, and an advisory for each part with a range of its versions.
+SQL["one_name"] = """SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT) AS a, l_partkey % 100 AS b, l_linenumber AS c FROM lineitem"""
+SQL["one_name_ranges"] = """SELECT 'GHSA-' || CAST(p_partkey AS VARCHAR) AS advisory_id, p_partkey % 50 + 1 AS a, p_partkey * 7 % 100 AS b,
+  p_partkey % 50 + 1 + p_partkey % 3 // 2 AS to_a, p_partkey * 7 % 100 + 1 AS to_b, p_partkey % 2 = 0 AS fixed FROM part"""
+
+
+def one_name_deps(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    return spread(lines, "l_orderkey", "l_linenumber").select(
+        F.concat(F.lit("order-"), _text("l_orderkey")).alias("scan_id"), F.col("l_linenumber").alias("ordinal"), F.lit("hot").alias("name"),
+        F.concat_ws(".", _text(F.col("l_quantity").cast("int")), _text(F.col("l_partkey") % 100), _text("l_linenumber")).alias("version"),
+        F.lit("npm").alias("ecosystem"))
+
+
+def one_name_advisories(spark, sf_dir):
+    p = F.col("p_partkey")
+    upper = F.when(p % 3 == 2, p % 50 + 2).otherwise(p % 50 + 1)
+    return table(spark, sf_dir, "part", "p_partkey").select(_concat(
+        '{"id":"GHSA-', _text(p), '","affected":[{"package":{"ecosystem":"npm","name":"hot"},"ranges":[{"type":"SEMVER","events":[{"introduced":"',
+        _text(p % 50 + 1), ".", _text(p * 7 % 100), '.2"},{"', F.when(p % 2 == 0, "fixed").otherwise("last_affected"), '":"',
+        _text(upper), ".", _text(p * 7 % 100 + 1), '.1"}]}]}]}').alias("record"))
+
+
+# Versions in their published order, fixed values; those of one inner tuple are equal.
+VERSION_ORDERS = {
+    "Maven": (("1.0-alpha-1", "1-alpha1", "1.0.a1"), ("1.0-beta-2",), ("1.0-milestone-1", "1.0-m1"), ("1.0-rc1", "1.0-cr1"), ("1.0-SNAPSHOT",),
+              ("1.0", "1", "1.0.0", "1.0.Final", "1.0-ga", "1.0.RELEASE"), ("1.0-sp1",), ("1.0-jre",), ("1.0-xyz",), ("1-1", "1.0-1"), ("1.0.1",),
+              ("1.2",), ("1.10",), ("31.1-jre",), ("32.0.0-android",), ("32.0.0-jre",), ("32.0.1-jre",)),
+    "Go": (("v0.0.0-20190101000000-aaaaaaaaaaaa",), ("v0.0.0-20191109021931-daa7c04131f5",), ("v0.1.0",), ("v1.2.3-pre",),
+           ("v1.2.3-pre.0.20191109021931-daa7c04131f5",), ("v1.2.3",), ("v1.2.4-0.20191109021931-daa7c04131f5",), ("v1.2.4",),
+           ("v2.0.0+incompatible", "v2.0.0"), ("v10.0.0",)),
+    "RubyGems": (("1.0.a",), ("1.0.a.2",), ("1.0.a10",), ("1.0.b1",), ("1.0-rc1", "1.0.pre.rc1"), ("1.0.rc1",), ("1.0", "1", "1.0.0"), ("1.0.1",),
+                 ("1.2.pre1",), ("1.2",), ("1.10",), ("2.0.0.rc2",), ("2",)),
+    "NuGet": (("1.0.0-alpha", "1.0.0-ALPHA"), ("1.0.0-alpha.1",), ("1.0.0-beta.2",), ("1.0.0-beta.11",), ("1.0.0-rc.1",),
+              ("1.0.0", "1.0", "1.0.0.0", "1.0.0+metadata"), ("1.0.0.1",), ("1.0.1",), ("1.10.0",), ("2.0.0-preview1",), ("2.0.0",)),
+    "npm": (("1.0.0-alpha",), ("1.0.0-alpha.1",), ("1.0.0-alpha.beta",), ("1.0.0-beta",), ("1.0.0-beta.2",), ("1.0.0-beta.11",), ("1.0.0-rc.1",),
+            ("1.0.0", "v1.0.0"), ("1.0.1",), ("1.10.0",)),
+    "PyPI": (("1.0.dev1",), ("1.0a1",), ("1.0b1",), ("1.0rc1", "1.0.c1"), ("1.0", "1"), ("1.0.post1", "1.0-r1"), ("1.0.1",), ("1.10",), ("1!0.5",)),
+}
+_ORDERED = [(eco, v, i + 1) for eco, order in VERSION_ORDERS.items() for i, equal in enumerate(order) for v in equal]
+
+SQL["ordered_versions"] = ("SELECT o_orderkey, ecosystem, version, rank FROM (SELECT o_orderkey, o_orderkey % " + str(len(_ORDERED)) + " AS k FROM orders) JOIN (VALUES "
+                           + ", ".join(f"({i}, {quote(e)}, {quote(v)}, {r})" for i, (e, v, r) in enumerate(_ORDERED)) + ") AS t(k, ecosystem, version, rank) USING (k)")
+
+
+def ordered_versions(spark, sf_dir):
+    """(ecosystem, version) for each order, dealt from the lists above."""
+    at = F.col("o_orderkey")
+    return spread(table(spark, sf_dir, "orders", "o_orderkey"), "o_orderkey").select(
+        _choose([e for e, _, _ in _ORDERED], at).alias("ecosystem"), _choose([v for _, v, _ in _ORDERED], at).alias("version"))
+
+
 # Packages of the report queries: one per part, in the scans of the documents.
 SQL["report_deps"] = """SELECT 'scan-src' || CAST(p_partkey % 20 AS VARCHAR) AS scan_id, p_partkey AS ordinal,
   'pkg-' || CAST(p_partkey // 3 AS VARCHAR) AS name,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import advisory as adv
@@ -167,6 +168,16 @@ def version_order(spark, sf_dir):
     return versions.withColumn("version_key", version_key(F.col("version")))
 
 
+@query("ecosystem_version_order", with_inputs("ordered_versions", query="""
+SELECT ecosystem, version, CAST(dense_rank() OVER (PARTITION BY ecosystem ORDER BY rank) AS INT) AS position, n
+FROM (SELECT ecosystem, version, rank, count(*) AS n FROM ordered_versions GROUP BY ALL)"""))
+def ecosystem_version_order(spark, sf_dir):
+    """Positions of the versions that occur, in the order of their ecosystem."""
+    found = inputs.ordered_versions(spark, sf_dir).groupBy("ecosystem", "version").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("ecosystem").orderBy(version_key(F.col("version"), F.col("ecosystem")))
+    return found.select("ecosystem", "version", F.dense_rank().over(order).alias("position"), "n")
+
+
 @query("ecosystem_default", with_inputs("deps", query="""
 SELECT scan_id, coalesce(ecosystem, 'npm') AS ecosystem, count(*) AS n FROM deps GROUP BY ALL"""))
 def ecosystem_default(spark, sf_dir):
@@ -183,6 +194,16 @@ def dep_advisory_join(spark, sf_dir):
     return found.withColumn("refs", F.array_join("references", ",")).drop("references")
 
 
+@query("dep_one_name", with_inputs("one_name", "one_name_ranges", query="""
+SELECT CAST(v.a AS VARCHAR) || '.' || CAST(v.b AS VARCHAR) || '.' || CAST(v.c AS VARCHAR) AS version, advisory_id, n
+FROM (SELECT a, b, c, count(*) AS n FROM one_name GROUP BY ALL) v JOIN one_name_ranges r
+  ON (v.a, v.b, v.c) >= (r.a, r.b, 2) AND ((v.a, v.b, v.c) < (r.to_a, r.to_b, 1) OR NOT fixed AND (v.a, v.b, v.c) = (r.to_a, r.to_b, 1))"""))
+def dep_one_name(spark, sf_dir):
+    """All dependencies and all advisories of one package name."""
+    found = dependencies.dependency_findings(inputs.one_name_deps(spark, sf_dir), parse_osv(inputs.one_name_advisories(spark, sf_dir)))
+    return found.where("advisory_id is not null").groupBy("version", "advisory_id").agg(F.count("*").alias("n"))
+
+
 def _risk(spark, sf_dir):
     return dependencies.dependency_risk(inputs.deps(spark, sf_dir), _osv(spark, sf_dir))
 

@@ -8,6 +8,7 @@ from codesieve.functions import severity as sev
 from codesieve.functions import text as tx
 from codesieve.functions.advisory import valid_cve_id
 from codesieve.functions.versions import normal_name, version_key
+from codesieve.plans.inputs import VERSION_ORDERS
 
 
 def column(spark, values, kind, expr):
@@ -102,3 +103,13 @@ def test_published_version_orders(spark):
     pypi = ["1.0.dev1", "1.0a1", "1.0b1", "1.0b2", "1.0rc1", "1.0", "1.0.post1", "1.0.1", "1.10", "2013.10", "1!0.5", "1!1.0", "2!0.1", "10!0.1"]
     assert _order(spark, pypi, "PyPI")[0] == list(range(len(pypi)))
     assert _order(spark, ["", "latest", "x"], "npm")[1] == {0: None, 1: None, 2: None}
+
+
+@pytest.mark.parametrize("ecosystem", list(VERSION_ORDERS))
+def test_orders_of_ecosystems(spark, ecosystem):
+    order = VERSION_ORDERS[ecosystem]
+    versions = [v for equal in order for v in equal]
+    _, keys = _order(spark, versions, ecosystem)
+    ranks = sorted(set(keys.values()))
+    assert None not in ranks and len(ranks) == len(order)
+    assert {v: ranks.index(keys[i]) for i, v in enumerate(versions)} == {v: i for i, equal in enumerate(order) for v in equal}

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -55,12 +56,51 @@ def test_hot_package_gives_the_same(spark):
         assert sorted(map(str, plain.collect())) == sorted(map(str, dealt.collect()))
 
 
-def test_parts_of_a_name_give_the_same(spark):
-    rows = [("requests", f"2.{i}", "PyPI") for i in range(60)] + [("other", "1", "PyPI")]
-    packages = dependencies._packages(dependencies._keyed(dependencies.with_ecosystem(deps(spark, *rows))))
-    plain, dealt = (dependencies.package_matches(packages, osv(spark, ADVISORY), n) for n in (1, 7))
-    assert sorted(map(str, plain.collect())) == sorted(map(str, dealt.collect()))
-    assert {r.version for r in plain.collect()} == {f"2.{i}" for i in range(60) if i < 3 or 10 <= i < 31}
+def affected(version, entries):
+    """By the events as they are written, versions as lists of numbers."""
+    number = lambda v: [int(x) for x in v.split(".")]
+    v = number(version)
+    for events in entries:
+        now = False
+        for kind, at in sorted(((k, number(a)) for e in events for k, a in e.items()), key=lambda e: (e[1], e[0] != "introduced")):
+            # at one version an introduction comes before a fix, and a last affected version is itself affected
+            if at <= v if kind != "last_affected" else at < v:
+                now = kind == "introduced"
+        if now:
+            return True
+    return False
+
+
+def test_interval_index(spark):
+    rng = random.Random(6)
+    version = lambda: f"{rng.randrange(4)}.{rng.randrange(30)}.{rng.randrange(1, 9)}"
+    ranges, records = {}, []
+    for n in range(60):
+        name, events = rng.choice(["hot", "hot", "hot", "p1", "p2"]), []
+        for _ in range(rng.randint(1, 2)):
+            one = [{"introduced": rng.choice(["0", version()])}]
+            for _ in range(rng.randrange(3)):
+                one += [{rng.choice(["fixed", "last_affected"]): version()}, {"introduced": version()}][:rng.randint(1, 2)]
+            events.append(one)
+        ranges[f"G{n}"] = (name, events)
+        records.append({"id": f"G{n}", "affected": [{"package": {"ecosystem": "PyPI", "name": name}, "ranges": [{"type": "ECOSYSTEM", "events": e} for e in events]}]})
+    packages = {(rng.choice(["hot"] * 8 + ["p1", "p2", "p3"]), version()) for _ in range(900)}
+    keyed = dependencies._keyed(dependencies.with_ecosystem(deps(spark, *((*p, "PyPI") for p in packages))))
+    distinct, entries = dependencies._packages(keyed), dependencies.advisory_entries(osv(spark, *records))
+    want = sorted((name, v, i) for i, (of, events) in ranges.items() for name, v in packages if name == of and affected(v, events))
+    found = dependencies.package_matches(distinct, entries).join(entries.select("entry", "id"), "entry")
+    assert sorted((r.name_key, r.version, r.id) for r in found.collect()) == want
+    # every row of the join is a match: entries of two ranges may give one twice, nothing else comes up
+    rows = dependencies._range_matches(distinct, entries)
+    assert rows.distinct().count() == len(want) and rows.count() <= 2 * len(want)
+
+
+@pytest.mark.parametrize("low,high", [(0, 0), (0, 1), (3, 4), (3, 5), (0, 64), (5, 61), (1, 2 ** 40 + 7), (2 ** 33 - 1, 2 ** 33 + 1)])
+def test_blocks_cover_exactly(spark, low, high):
+    found = spark.range(1).select(F.explode(dependencies._covering(F.lit(low).cast("long"), F.lit(high).cast("long"), 45)).alias("b")).select("b.*").collect()
+    spans = sorted((r.block << r.level, (r.block + 1) << r.level) for r in found)
+    assert sum(b - a for a, b in spans) == high - low and all(x[1] == y[0] for x, y in zip(spans, spans[1:]))
+    assert not spans or (spans[0][0], spans[-1][1]) == (low, high)
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
