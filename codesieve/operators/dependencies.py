@@ -30,34 +30,6 @@ def _keyed(deps: DataFrame) -> DataFrame:
     })
 
 
-def _intervals(entries: Column, ecosystem: Column) -> Column:
-    """Half-open intervals [low, high) of keys that the version ranges cover; "0" lies below all versions.
-
-    An introduced version opens an interval; the next event at or after it ends it: a fix before itself, a last
-    affected version behind itself.  Ranges that nothing opens cover nothing.
-    """
-    def keys(events: Column, field: str) -> Column:
-        found = F.transform(events, lambda e: F.when(e[field] == "0", F.lit("")).otherwise(version_key(e[field], ecosystem)))
-        return F.filter(found, lambda k: k.isNotNull())
-
-    ranges = F.filter(
-        F.flatten(F.filter(F.transform(entries, lambda a: a["ranges"]), lambda r: r.isNotNull())),
-        lambda r: F.coalesce(r["type"], F.lit("")) != "GIT",
-    )
-
-    def of_range(r: Column) -> Column:
-        opened = F.array_distinct(keys(r["events"], "introduced"))
-        ends = F.concat(keys(r["events"], "fixed"), F.transform(keys(r["events"], "last_affected"), lambda k: F.concat(k, F.lit("\0"))))
-
-        def interval(low: Column) -> Column:
-            after = F.concat(F.filter(ends, lambda e: e >= low), F.filter(opened, lambda o: o > low))
-            return F.struct(low.alias("low"), F.coalesce(F.array_min(after), F.lit(_ABOVE_ALL)).alias("high"))
-        return F.transform(opened, interval)
-
-    found = F.flatten(F.transform(ranges, of_range))
-    return F.filter(found, lambda i: i["low"] < i["high"])
-
-
 def advisory_packages(advisories: DataFrame) -> DataFrame:
     """One row per (advisory, package), each advisory naming a package once."""
     a = advisories.select(
@@ -79,8 +51,8 @@ def advisory_packages(advisories: DataFrame) -> DataFrame:
     mine = named.where("p.eco_key is not null and p.name_key is not null").select(
         "id", "vuln", "p.*", entries.alias("entries"))
     versions = F.flatten(F.filter(F.transform("entries", lambda e: e["versions"]), lambda v: v.isNotNull()))
-    return mine.select("id", "vuln", "eco_key", "name_key", F.array_distinct(versions).alias("versions"),
-                       _intervals(F.col("entries"), F.col("eco_key")).alias("intervals"))
+    ranges = F.flatten(F.filter(F.transform("entries", lambda e: e["ranges"]), lambda r: r.isNotNull()))
+    return mine.select("id", "vuln", "eco_key", "name_key", F.array_distinct(versions).alias("versions"), ranges.alias("ranges"))
 
 
 def advisory_entries(advisories: DataFrame) -> DataFrame:
@@ -88,10 +60,40 @@ def advisory_entries(advisories: DataFrame) -> DataFrame:
     return written(advisory_packages(advisories).withColumn("entry", F.monotonically_increasing_id()), "advisories")
 
 
-def _packages(keyed: DataFrame) -> DataFrame:
-    """Distinct packages with the number of rows that name them."""
+def version_intervals(entries: DataFrame) -> DataFrame:
+    """(eco_key, name_key, entry, low, high): the half-open intervals of version keys that the ranges cover.
+
+    An introduced version opens an interval; the next event at or after it ends it: a fix before itself, a last
+    affected version behind itself.  "0" lies below all versions.  Ranges that nothing opens cover nothing.
+    """
+    of = ["eco_key", "name_key", "entry", "no"]
+    events = (entries.select("eco_key", "name_key", "entry", F.posexplode("ranges").alias("no", "r"))
+              .where(F.coalesce("r.type", F.lit("")) != "GIT").select(*of, F.explode("r.events").alias("e"))
+              .select(*of, F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"e.{k}").alias("version"))
+                                               for k in ("introduced", "fixed", "last_affected")])).alias("e"))
+              .where("e.version is not null").select(*of, "e.*"))
+    key = F.when(F.col("version") == "0", F.lit("")).otherwise(version_key(F.col("version"), F.col("eco_key")))
+    ends = F.when(F.col("kind") == "fixed", F.col("key")).when(F.col("kind") == "last_affected", F.concat("key", F.lit("\0")))
+    ranges = events.withColumn("key", key).where("key is not null").groupBy(*of).agg(
+        F.collect_set(F.when(F.col("kind") == "introduced", F.col("key"))).alias("opened"), F.collect_set(ends).alias("ends"))
+
+    def interval(low: Column) -> Column:
+        after = F.concat(F.filter("ends", lambda e: e >= low), F.filter("opened", lambda o: o > low))
+        return F.struct(low.alias("low"), F.coalesce(F.array_min(after), F.lit(_ABOVE_ALL)).alias("high"))
+
+    return (ranges.select("eco_key", "name_key", "entry", F.explode(F.transform("opened", interval)).alias("i"))
+            .select("eco_key", "name_key", "entry", "i.low", "i.high").where("low < high"))
+
+
+def _packages(keyed: DataFrame, entries: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Distinct packages whose names have advisories, with the number of rows that name them and their version keys;
+    also those of more than ``hot_rows`` rows, without a key."""
     named = keyed.where(F.col("eco_key").isNotNull() & F.col("name_key").isNotNull())
-    return named.groupBy(*_PACKAGE).agg(F.count("*").alias("uses"))
+    counted = named.groupBy(*_PACKAGE).agg(F.count("*").alias("uses"))
+    known = entries.select("eco_key", "name_key").distinct().withColumn("known", F.lit(True))
+    found = counted.join(known, ["eco_key", "name_key"], "left").where((F.col("uses") > hot_rows) | F.col("known"))
+    key = F.when(F.col("known") & (F.col("version") != ""), version_key(F.col("version"), F.col("eco_key")))
+    return written(found.select(*_PACKAGE, "uses", key.alias("key")), "packages")
 
 
 def _covering(low: Column, high: Column, levels: int) -> Column:
@@ -114,14 +116,12 @@ def _range_matches(packages: DataFrame, entries: DataFrame) -> DataFrame:
     powers of two, at most two of a size; a version lies in one block of each size.  Joined by block, a version meets
     an entry only where the entry covers it, whatever else is known of the name.
     """
-    intervals = entries.select("eco_key", "name_key", "entry", F.posexplode("intervals").alias("no", "i"))
-    versions = packages.withColumn("key", version_key(F.col("version"), F.col("eco_key"))).where("key is not null") \
-        .join(intervals.select("eco_key", "name_key").distinct(), ["eco_key", "name_key"], "left_semi")
+    intervals = written(version_intervals(entries), "intervals")
     none = F.lit(None)
-    ends = intervals.select("eco_key", "name_key", F.explode(F.array("i.low", "i.high")).alias("key"))
+    ends = intervals.select("eco_key", "name_key", F.explode(F.array("low", "high")).alias("key"))
     # Ends come before versions of the same key: the first place of an interval is that of the first version in it.
     points = ends.distinct().select("eco_key", "name_key", "key", F.lit(0).alias("kind"), none.cast("string").alias("version")) \
-        .unionByName(versions.select("eco_key", "name_key", "key", F.lit(1).alias("kind"), "version"))
+        .unionByName(packages.where("key is not null").select("eco_key", "name_key", "key", F.lit(1).alias("kind"), "version"))
     order = ["eco_key", "name_key", "key", "kind", "version"]
     places = written(points.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()), "version-places")
 
@@ -135,7 +135,7 @@ def _range_matches(packages: DataFrame, entries: DataFrame) -> DataFrame:
     at = places.where("kind = 0").select("eco_key", "name_key", "key", "place")
     low = at.select("eco_key", "name_key", F.col("key").alias("low"), F.col("place").alias("first"))
     high = at.select("eco_key", "name_key", F.col("key").alias("high"), F.col("place").alias("stop"))
-    blocks = (intervals.select("eco_key", "name_key", "entry", "i.low", "i.high").join(low, ["eco_key", "name_key", "low"])
+    blocks = (intervals.join(low, ["eco_key", "name_key", "low"])
               .join(high, ["eco_key", "name_key", "high"])
               .select("eco_key", "name_key", "entry", F.explode(_covering(F.col("first"), F.col("stop"), levels)).alias("b"))
               .select("eco_key", "name_key", "entry", "b.level", "b.block"))
@@ -155,7 +155,7 @@ def package_matches(packages: DataFrame, entries: DataFrame) -> DataFrame:
     """
     listed = packages.join(entries.select("eco_key", "name_key", "entry", F.explode("versions").alias("version")), _PACKAGE)
     any_version = packages.where("version = ''").join(entries.select("eco_key", "name_key", "entry"), ["eco_key", "name_key"])
-    ways = [listed, any_version, _range_matches(packages.where("version != ''"), entries)]
+    ways = [listed, any_version, _range_matches(packages, entries)]
     pairs = [w.select(*_PACKAGE, "entry") for w in ways]
     return pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).distinct()
 
@@ -169,7 +169,8 @@ def dependency_findings(deps: DataFrame, advisories: DataFrame, default_ecosyste
                         hot_rows: int = HOT_ROWS) -> DataFrame:
     """Every dependency with each of its vulnerabilities, or with nulls if none."""
     keyed = _keyed(with_ecosystem(deps, default_ecosystem))
-    packages, entries = written(_packages(keyed), "packages"), advisory_entries(advisories)
+    entries = advisory_entries(advisories)
+    packages = _packages(keyed, entries, hot_rows)
     joined = _back_to_dependencies(keyed, packages, package_matches(packages, entries), hot_rows)
     # What advisories say is joined last, so that no other step moves their texts.
     return joined.join(entries.select("entry", "id", "vuln"), "entry", "left").select(
@@ -186,7 +187,8 @@ def dependency_risk(deps: DataFrame, advisories: DataFrame, default_ecosystem: s
     Packages that no advisory knows, or whose lookup found nothing, have none.
     """
     keyed = _keyed(with_ecosystem(deps, default_ecosystem))
-    packages, entries = written(_packages(keyed), "packages"), advisory_entries(advisories)
+    entries = advisory_entries(advisories)
+    packages = _packages(keyed, entries, hot_rows)
     rated = package_matches(packages, entries).join(entries.select("entry", "vuln.severity"), "entry")
     scored = rated.groupBy(*_PACKAGE).agg(F.count("*").alias("n_vulns"), risk_score(F.col("severity")).alias("risk_score"))
     joined = _back_to_dependencies(keyed, packages, scored, hot_rows)

@@ -86,7 +86,8 @@ def test_interval_index(spark):
         records.append({"id": f"G{n}", "affected": [{"package": {"ecosystem": "PyPI", "name": name}, "ranges": [{"type": "ECOSYSTEM", "events": e} for e in events]}]})
     packages = {(rng.choice(["hot"] * 8 + ["p1", "p2", "p3"]), version()) for _ in range(900)}
     keyed = dependencies._keyed(dependencies.with_ecosystem(deps(spark, *((*p, "PyPI") for p in packages))))
-    distinct, entries = dependencies._packages(keyed), dependencies.advisory_entries(osv(spark, *records))
+    entries = dependencies.advisory_entries(osv(spark, *records))
+    distinct = dependencies._packages(keyed, entries)
     want = sorted((name, v, i) for i, (of, events) in ranges.items() for name, v in packages if name == of and affected(v, events))
     found = dependencies.package_matches(distinct, entries).join(entries.select("entry", "id"), "entry")
     assert sorted((r.name_key, r.version, r.id) for r in found.collect()) == want
