@@ -42,17 +42,25 @@ def groups(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = G
 def id_bounds(df: DataFrame, id_col: str, rows: int, most: int = 20_000) -> list[int]:
     """First ids of contiguous id ranges of about ``rows`` rows each, the smallest id first.
 
-    Every bound is an id that occurs.  ``most`` bounds the list that the driver
-    and the tasks hold; beyond it ranges get longer, and no row is left out.
-    Ids are exact up to 2^53.
+    Every bound is an id that occurs, whatever its size: quantiles only say where to cut, and the bound is the
+    least id of a cut.  ``most`` bounds the list that the driver and the tasks hold; beyond it ranges get longer, and no row is left out.
     """
     ids = df.select(F.col(id_col).cast("long").alias("id")).where("id is not null")
-    n, least = ids.agg(F.count("*"), F.min("id")).first()
+    n = ids.count()
     if not n:
         return []
     parts = max(1, min(most, -(-n // rows)))
-    cuts = ids.stat.approxQuantile("id", [i / parts for i in range(1, parts)], 1 / (8 * parts)) if parts > 1 else []
-    return sorted({int(least), *map(int, cuts)})
+    cuts = np.unique(ids.stat.approxQuantile("id", [i / parts for i in range(1, parts)], 1 / (8 * parts))) if parts > 1 else np.zeros(0)
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                values = np.sort(np.asarray(batch.column("id")))
+                part = np.searchsorted(cuts, values.astype(float), side="right")  # rounding to doubles keeps the order
+                first = np.flatnonzero(np.diff(part, prepend=-1))
+                yield pa.record_batch([pa.array(part[first].astype(np.int64)), pa.array(values[first])], names=["part", "id"])
+
+    return sorted(r.id for r in ids.mapInArrow(least, "part long, id long").groupBy("part").agg(F.min("id").alias("id")).collect())
 
 
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:

@@ -178,12 +178,14 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 if part < 0:
                     out.append(row(doc, *this, "", Prefixes(""), EMPTY))
                     continue
-                if last and last[0] == part:
-                    out.append(row(*last[1:], *this))
+                if last:
+                    out.append(row(*last[1:], *(this if last[0] == part else ("", Prefixes(""), EMPTY))))
                 # the rows that are not its own come after all others of a range; only the first of them follows anything
                 last = (part, doc, *this) if own else None
             if out:
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out), ARROW)], schema=ARROW)
+        if last:  # no row may be lost, though every range ends with the first row of the next
+            yield pa.record_batch([pa.array([c], f.type) for c, f in zip(row(*last[1:], "", Prefixes(""), EMPTY), ARROW)], schema=ARROW)
 
     dealt = texts(df, id_col, text_col).mapInArrow(deal, "part int, own boolean, doc_id long, text string")
     return (dealt.repartition("part").sortWithinPartitions("part", F.col("own").desc(), "doc_id", "text")

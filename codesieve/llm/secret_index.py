@@ -157,8 +157,9 @@ def find(text: Column, rule: SecretRule, number: int) -> Column:
     return F.when(text.rlike(rule.pattern), spans).otherwise(empty)
 
 
-def scan(df: DataFrame, rules: tuple[SecretRule, ...] = RULES, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``carry`` columns, the text, and ``found``: its spans (start, number of the rule, end) sorted by start, then rule.
+def scan(df: DataFrame, rules: tuple[SecretRule, ...] = RULES, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",),
+         found: str = "found") -> DataFrame:
+    """The ``carry`` columns, the text, and ``found`` (under that name): its spans (start, number of the rule, end) sorted by start, then rule.
 
     One row per input row: null texts are empty ones, and empty texts have no spans; null ids and repeated rows
     are kept.  Texts are scanned whole.  A document is known by the hash of its columns and text, so equal rows
@@ -181,7 +182,7 @@ def scan(df: DataFrame, rules: tuple[SecretRule, ...] = RULES, text_col: str = "
     spans = [find(F.col("text"), r, i) if r.kind in full
              else F.when(F.coalesce(F.array_contains("kinds", r.kind), F.lit(False)), find(F.col("text"), r, i)).otherwise(empty)
              for i, r in enumerate(rules)]
-    return docs.select(*(F.col(h).alias(c) for c, h in zip(carry, held)), "text", F.array_sort(F.concat(*spans)).alias("found"))
+    return docs.select(*(F.col(h).alias(c) for c, h in zip(carry, held)), "text", F.array_sort(F.concat(*spans)).alias(found))
 
 
 def joined(found: Column, rules: tuple[SecretRule, ...] = RULES) -> Column:

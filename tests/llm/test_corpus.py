@@ -323,5 +323,15 @@ def test_stages_take_empty_tables(spark):
         assert stage(spark, table, SF).collect() == []
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    """Extra columns under the names that operators use within."""
+    names = "found key kinds class_id at share _0 part score entropy lang_pred held_out kept component id root".split()
+    table = spark.read.parquet(f"{SF}/documents.parquet").limit(40).withColumns({n: F.lit(n) for n in names})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        table = stage(spark, table, SF)
+        assert {tuple(r) for r in table.select(names).distinct().collect()} == {tuple(names)}
+    assert corpus_pipeline.STAGES[-1][1](spark, table, SF).count() > 0
+
+
 def test_every_operator_is_registered():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))

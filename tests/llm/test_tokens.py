@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from codesieve.llm import fingerprints as fp
 from codesieve.llm import grammar, packing, pieces, token_counts
-from codesieve.llm.common import starts
+from codesieve.llm.common import id_bounds, starts
 from codesieve.llm.queries import BYTE_RANKS, END_OF_TEXT, PIECE_MODEL, WORD_MODEL
 from codesieve.llm.words import Words
 
@@ -236,3 +236,17 @@ def test_query_digests(spark):
     out = pieces.encode_decode(table(spark, [(1, "Aé")]), PIECE_MODEL).select(F.sha2("ids", 256).alias("a"), F.sha2(F.col("decoded").cast("binary"), 256).alias("b")).first()
     ids = pieces.Pieces(PIECE_MODEL).library.encode("Aé", add_bos=True, add_eos=True)
     assert out.a == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest() and out.b == hashlib.sha256("Aé".encode()).hexdigest()
+
+
+@pytest.mark.parametrize("start,step", [(2 ** 61, 1), (-2 ** 63, 3), (2 ** 63 - 900, 2), (0, 2 ** 54 + 1)])
+def test_no_document_is_lost_whatever_its_id(spark, start, step):
+    """Also ids that doubles cannot tell apart, repeated ones at the bounds, and rows without any."""
+    rng = random.Random(step)
+    ids = [start + step * i for i in range(300)] + [start] * 3 + [start + step * 299] * 3 + [None] * 2
+    rows = [(i, "".join(rng.choices("ab ", k=rng.randrange(9)))) for i in ids]
+    got = fp.fingerprints(table(spark, rows).repartition(3), range_rows=8).collect()
+    placed = sorted((i, t) for i, t in rows if i is not None)
+    want = [(i, fp.edited(t, placed[(k + 1) % len(placed)][1])) for k, (i, t) in enumerate(placed)] + [(i, fp.edited(t, "")) for i, t in rows if i is None]
+    assert sorted(((r.doc_id, r.edited) for r in got), key=repr) == sorted(want, key=repr)
+    bounds = id_bounds(table(spark, rows), "doc_id", 8)
+    assert bounds == sorted(set(bounds)) and set(bounds) <= set(ids) and bounds[0] == start
