@@ -27,8 +27,11 @@ def near_duplicates(spark, docs, sf_dir):
 
 def secret_scan(spark, docs, sf_dir):
     """All documents, with the secrets in their texts masked and n_chars counted anew."""
-    found = secret_index.scan(docs, carry=tuple(c for c in docs.columns if c != "text"))
-    text = secret_index.masked(F.col("text"), F.col("found"))
+    spans = "found"
+    while spans in map(str.lower, docs.columns):
+        spans += "_"
+    found = secret_index.scan(docs, carry=tuple(c for c in docs.columns if c != "text"), found=spans)
+    text = secret_index.masked(F.col("text"), F.col(spans))
     return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
