@@ -17,7 +17,6 @@ import base64
 import hashlib
 import re
 import uuid
-import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -111,7 +110,7 @@ def pieces(spark, folder: str, separator: bytes) -> DataFrame:
 def write_pieces(rows: DataFrame, folder: str, separator: bytes) -> str:
     """Write a binary column, every value followed by the separator, as one compressed file per task."""
     rows.select(F.col(rows.columns[0]).cast("string").alias("value")).write.option("lineSep", separator.decode()) \
-        .option("compression", "gzip").text(folder)
+        .option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(folder)
     return folder
 
 
@@ -224,7 +223,7 @@ def read_arc(spark, folder: str, payloads: bool = True) -> DataFrame:
 
     ``record_id`` follows from the file's name and the record's place in it, ``type`` from the document: the version
     block is a warcinfo, HTTP responses are responses, all else is a resource.  ``payload_digest`` is SHA-1 in hex.
-    With ``payloads`` the documents come along: ``head`` as it is, ``payload`` deflated, as it crosses a shuffle.
+    With ``payloads`` the documents come along: ``head`` and ``payload``, as they are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +235,7 @@ def read_arc(spark, folder: str, payloads: bool = True) -> DataFrame:
             doc_id = field(doc[:cut], ID_FIELD)
             rows.append((file, at, f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name}#{at}')}", kind, parts[0], parts[1], iso_date(parts[2]), parts[3],
                          int(doc_id) if doc_id and re.fullmatch("-?[0-9]{1,19}", doc_id) else None, len(payload), hashlib.sha1(payload).hexdigest(), short,
-                         doc[:cut] if payloads else None, zlib.compress(payload, 1) if payloads else None))
+                         doc[:cut] if payloads else None, payload if payloads else None))
             size += len(doc) if payloads else 200
             if size > 4_000_000:
                 yield as_batch(rows, ARC_RECORDS)
@@ -284,7 +283,7 @@ def convert(spark, arc_folder: str, least_bytes: int = 1000, folder: str | None
     """Write the records of ARC files as WARC files, one per task; returns the folder.
 
     Every file opens with a warcinfo record of its own; version blocks become warcinfo records as well.  A first
-    pass over the archives reads digests only and settles the revisits; documents are moved once, deflated.
+    pass over the archives reads digests only and settles the revisits; documents are moved once.
     """
     index = read_arc(spark, arc_folder, payloads=False).drop("head", "payload")
 
@@ -308,7 +307,7 @@ def convert(spark, arc_folder: str, least_bytes: int = 1000, folder: str | None
 def render(r: dict) -> bytes:
     """The WARC record of an ARC record."""
     again = r["refers_to"] is not None
-    payload = b"" if again else zlib.decompress(r["payload"])
+    payload = b"" if again else r["payload"]
     address = r["ip"] if r["ip"] != "0.0.0.0" and re.fullmatch("[0-9a-fA-F.:]+", r["ip"]) else None
     kind = {"warcinfo": "application/warc-fields", "response": "application/http; msgtype=response"}.get(r["type"], r["mime"])
     return warc_record([
