@@ -13,6 +13,7 @@ from ..prompts import assembly as prompts
 from ..session import few_partitions, shared_folder, written
 from ..sinks import export, report, store
 from ..sources.advisories import parse_osv
+from ..streaming import scan_events
 from ..streaming import scan_stream as streams
 from . import inputs, sql
 from .inputs import quote, with_inputs
@@ -237,6 +238,22 @@ def chat_fallback(spark, sf_dir):
 # --- streaming --------------------------------------------------------------------------------
 
 _DOCUMENTS = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
+_PERIOD = "(day(ts) - 1) // 8"  # 0 to 3: the events span January
+
+
+def _period():
+    return F.floor((F.dayofmonth("ts") - 1) / 8).cast("int")
+
+
+def _in_batches(df, batch, batches: int = 4, files: int = 4) -> str:
+    """The rows of each batch as ``files`` files, one batch after another, so that a stream of that many files per trigger takes them in turn."""
+    folder = shared_folder(df.sparkSession, "stream-input")
+    df = df.withColumn("__batch", batch)
+    for i in range(batches):
+        df.where(F.col("__batch") == i).drop("__batch").repartition(files).write.mode("append").parquet(folder)
+    return folder
+
+
 _EVENTS = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
 
@@ -318,3 +335,69 @@ def stream_dedup(spark, sf_dir):
         F.concat(F.lit("scan-"), F.col("user_id").cast("string")).alias("scan_id"), F.col("event_type").alias("file_path"),
         F.get_json_object("props", "$.k").alias("rule_id"), (F.col("event_id") % 7).cast("int").alias("line_number"), "ts")
     return _run(spark, streams.first_findings(found, "400 days").drop("ts"), "stream-dedup")
+
+
+@query("stream_dedup_late", f"""
+SELECT DISTINCT 'scan-' || CAST(user_id AS VARCHAR) || '-' || CAST({_PERIOD} AS VARCHAR) AS scan_id, event_type AS file_path, json_extract_string(props, '$.k') AS rule_id,
+  CAST(event_id % 7 AS INT) AS line_number FROM events WHERE NOT (day(ts) <= 5 AND event_id % 50 = 0)""")
+def stream_dedup_late(spark, sf_dir):
+    """Four batches of eight days each.  Some findings are sent again in the next batch, where only the state knows them; some of the
+    first five days come in the last batch, behind the watermark (that of two batches before, as Spark has it for late rows), and are dropped."""
+    events, period = inputs.table(spark, sf_dir, "events"), _period()
+    found = events.select(
+        F.concat(F.lit("scan-"), F.col("user_id").cast("string"), F.lit("-"), period.cast("string")).alias("scan_id"), F.col("event_type").alias("file_path"),
+        F.get_json_object("props", "$.k").alias("rule_id"), (F.col("event_id") % 7).cast("int").alias("line_number"), "ts", "event_id", period.alias("period"))
+    late = (F.dayofmonth("ts") <= 5) & (F.col("event_id") % 50 == 0)
+    batch = F.when(late, F.array(F.lit(3))).when(F.col("event_id") % 20 == 1, F.array("period", F.col("period") + 1)).otherwise(F.array("period"))
+    rows = found.withColumn("batch", F.explode(batch))
+    folder = _in_batches(rows.drop("event_id", "period"), F.col("batch"))
+    schema = "scan_id string, file_path string, rule_id string, line_number int, ts timestamp"
+    stream = streams.read_table_stream(spark, folder, "*.parquet", schema, files_per_batch=4)
+    return _run(spark, streams.first_findings(stream, "10 days").drop("ts"), "stream-dedup-late")
+
+
+@query("stream_store", with_inputs("scan_log", query=_LATEST))
+def stream_store(spark, sf_dir):
+    """The scan log as a stream of four batches, upserted into the buckets of the store."""
+    log = inputs.scan_log(spark, sf_dir)
+    stream = streams.read_table_stream(spark, _in_batches(log, _period()), "*.parquet", _LOG, files_per_batch=4)
+    path = shared_folder(spark, "bucket-store")
+    streams.write_batches(stream, store.upsert_writer(path, buckets=16), shared_folder(spark, "bucket-store-checkpoint")).awaitTermination()
+    return store.read_latest_view(spark, path, log.schema)
+
+
+_LOG = "scan_id string, ts timestamp, seq long, type string, n_findings long"
+_FOUND = "'[' || coalesce(string_agg('\"' || rule_id || ':' || CAST(line_number AS VARCHAR) || '\"', ',' ORDER BY '\"' || rule_id || ':' || CAST(line_number AS VARCHAR) || '\"')"
+_STEPS_OF_FILES = f"""(SELECT file_path, asked, CAST(len(asked) AS DOUBLE) AS total, list_contains(asked, 'secrets') AS s, list_contains(asked, 'code') AS c, list_contains(asked, 'owasp') AS o,
+  'Found ' || CAST(secrets AS VARCHAR) || ' secret(s)' AS secrets_said, 'Found ' || CAST(code AS VARCHAR) || ' vulnerability/ies' AS code_said,
+  'OWASP: ' || CAST(10 - failed AS VARCHAR) || '/10 passed' AS owasp_said, secrets_found, code_found,
+  '{{"passed":' || CAST(10 - failed AS VARCHAR) || ',"failed":' || CAST(failed AS VARCHAR) || ',"total":10}}' AS owasp_found
+  FROM (SELECT file_path, {_ASKED} AS asked, count(*) FILTER (WHERE kind = 'secrets') AS secrets, count(*) FILTER (WHERE kind = 'code') AS code,
+      count(DISTINCT CASE WHEN kind = 'owasp' THEN split_part(rule_id, '#', 1) END) AS failed,
+      {_FOUND} FILTER (WHERE kind = 'secrets'), '') || ']' AS secrets_found, {_FOUND} FILTER (WHERE kind = 'code'), '') || ']' AS code_found
+    FROM files LEFT JOIN {_FULL} USING (file_path) GROUP BY file_path))"""
+
+
+@query("stream_progress", with_inputs("files", query=f"""
+SELECT file_path AS scan_id, CAST(e.seq AS INT) AS seq, e.step AS step, e.phase AS phase, e.progress AS progress, e.message AS message, e.payload AS payload FROM (SELECT file_path, unnest([
+  CASE WHEN s THEN {{'seq': 0, 'step': 'secrets', 'phase': 'start', 'progress': 10, 'message': 'Scanning for secrets and credentials...', 'payload': NULL}} END,
+  CASE WHEN s THEN {{'seq': 1, 'step': 'secrets', 'phase': 'end', 'progress': CAST(trunc(1.0 / total * 90) AS INT) + 5, 'message': secrets_said, 'payload': secrets_found}} END,
+  CASE WHEN c THEN {{'seq': 2, 'step': 'code', 'phase': 'start', 'progress': CAST(trunc(s::INT / total * 90) AS INT) + 5, 'message': 'Running static analysis...', 'payload': NULL}} END,
+  CASE WHEN c THEN {{'seq': 3, 'step': 'code', 'phase': 'end', 'progress': CAST(trunc((s::INT + 1) / total * 90) AS INT) + 5, 'message': code_said, 'payload': code_found}} END,
+  CASE WHEN o THEN {{'seq': 4, 'step': 'owasp', 'phase': 'start', 'progress': CAST(trunc((s::INT + c::INT) / total * 90) AS INT) + 5, 'message': 'Running OWASP Top 10 checks...', 'payload': NULL}} END,
+  CASE WHEN o THEN {{'seq': 5, 'step': 'owasp', 'phase': 'end', 'progress': 95, 'message': owasp_said, 'payload': owasp_found}} END,
+  {{'seq': 6, 'step': 'complete', 'phase': 'end', 'progress': 100, 'message': 'Scan complete', 'payload': '{{"scan_id":"' || file_path || '"'
+    || CASE WHEN s THEN ',"secrets":' || secrets_found ELSE '' END || CASE WHEN c THEN ',"code":' || code_found ELSE '' END || CASE WHEN o THEN ',"owasp":' || owasp_found ELSE '' END || '}}'}}]) AS e
+  FROM {_STEPS_OF_FILES}) WHERE e IS NOT NULL"""))
+def stream_progress(spark, sf_dir):
+    """Every file is one request.  Requests come in three batches, the results of their steps in three others, so that some scans
+    wait for results and some results for their requests."""
+    number = F.regexp_extract("file_path", "([0-9]+)", 1).cast("long")
+    requests = inputs.files(spark, sf_dir).withColumns({"scan_id": F.col("file_path"), "scan_types": _asked(number), "ts": F.lit("2026-01-01").cast("timestamp")})
+    results = scan_events.step_results(streams.scan_stream(requests), requests).withColumn("ts", F.lit("2026-01-01").cast("timestamp"))
+    asked = _in_batches(requests.select("scan_id", "ts", "scan_types"), F.pmod(F.xxhash64("scan_id"), F.lit(3)), 3, 2)
+    told = _in_batches(written(results, "step-results"), F.pmod(F.xxhash64("scan_id", "step"), F.lit(3)), 3, 2)
+    events = scan_events.scan_events(
+        streams.read_table_stream(spark, asked, "*.parquet", "scan_id string, ts timestamp, scan_types array<string>", files_per_batch=2),
+        streams.read_table_stream(spark, told, "*.parquet", "scan_id string, ts timestamp, step string, message string, payload string", files_per_batch=2))
+    return _run(spark, events, "stream-progress")

@@ -6,6 +6,8 @@ do on a table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -118,8 +120,22 @@ def first_findings(findings: DataFrame, watermark: str = "1 hour", time: str = "
     return findings.dropDuplicates(key)
 
 
+# State lives in RocksDB, so it may outgrow the memory, and a checkpoint holds what changed instead of a whole copy.
+DURABLE_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+def keep_state_durable(spark: SparkSession) -> None:
+    """Set what streams with state need; a stream that has a checkpoint keeps the store it was started with."""
+    for key, value in DURABLE_STATE.items():
+        spark.conf.set(key, value)
+
+
 def write_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append to parquet files, exactly once; runs until the input is used up."""
+    keep_state_durable(stream.sparkSession)
     return (
         stream.writeStream.format("parquet").outputMode("append")
         .option("path", path).option("checkpointLocation", checkpoint)
@@ -127,6 +143,13 @@ def write_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     )
 
 
+def write_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Hand every micro-batch to ``write`` with its number; runs until the input is used up."""
+    keep_state_durable(stream.sparkSession)
+    return (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
 def read_table_stream(spark: SparkSession, folder: str, file_name: str, schema: str,
                       files_per_batch: int = 1000) -> DataFrame:
     """A folder of parquet files as a stream."""
