@@ -208,6 +208,24 @@ def user_rules(spark, sf_dir):
         F.array(F.when(F.length(word) == 4, "Python").otherwise("any")).alias("languages"), F.array(head).alias("required_literals"))
 
 
+# --- one rule per part: words that begin with three letters, and what follows --------
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_LETTER_SQL = "substr('" + _LETTERS + "', CAST({} AS INT) % 26 + 1, 1)"
+SQL["rule_table"] = ("SELECT 'part-' || CAST(p_partkey AS VARCHAR) AS rule_id, " + " || ".join(_LETTER_SQL.format(f"(p_partkey * 7919 // {d})") for d in (1, 26, 676))
+                     + " AS head, ['code', 'owasp', 'secrets'][p_partkey % 3 + 1] AS kind, p_partkey % 5 = 0 AS python_only FROM part")
+
+
+def rule_table(spark, sf_dir):
+    p = F.col("p_partkey")
+    head = F.concat(*[F.substring(F.lit(_LETTERS), (F.floor(p * 7919 / d) % 26 + 1).cast("int"), F.lit(1)) for d in (1, 26, 676)])
+    kind = _choose(("code", "owasp", "secrets"), p)
+    return table(spark, sf_dir, "part", "p_partkey").select(
+        _concat("part-", _text(p)).alias("rule_id"), kind.alias("kind"),
+        F.when(kind == "secrets", _concat(r"\b(", head, r"[a-z]{3,})(?=\W|_|\d|$)")).otherwise(_concat(r"\b", head, r"\w*")).alias("pattern"),
+        F.array(F.when(p % 5 == 0, "Python").otherwise("any")).alias("languages"), F.when(kind == "secrets", 1).otherwise(0).alias("value_group"))
+
+
 # --- manifests, one per order ---------------------------------------------
 
 _REQUIREMENTS = ("requests==2.", "{a}", ".0\n# comment\n\n-r base.txt\nflask>=1.", "{a}",

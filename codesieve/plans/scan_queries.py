@@ -10,6 +10,7 @@ from ..operators import findings as fnd
 from ..operators import summaries
 from ..operators.code_scan import code_request, code_scan, deduplicate, rule_apply, rules_for_language, static_review
 from ..operators.owasp import owasp_scan, owasp_status, owasp_totals
+from ..operators.rule_index import scan_with_table
 from ..operators.secrets import entropy_candidates, patch_path, secret_scan, secret_union, secrets_request, uncovered
 from ..rules import CODE_RULES, OWASP_CHECKS, SECRET_RULES, rules_from_table
 from ..sources.files import SUFFIXES, decode_files, flag_oversize, language_of, submitted_code
@@ -248,6 +249,19 @@ def user_rules(spark, sf_dir):
     return found.select("scan_id", "file_path", "rule_id", "line_number", "severity", "title")
 
 
+@query("user_rules_index", with_inputs("files", "rule_table", query="""
+SELECT scan_id, file_path, kind, rule_id, line_number, CAST(CASE kind WHEN 'code' THEN 1 WHEN 'owasp' THEN count(*) ELSE count(DISTINCT word) END AS INT) AS n_hits
+FROM (SELECT scan_id, file_path, language, CAST(line_number AS INT) AS line_number, unnest(regexp_extract_all(line, '[\\p{L}\\p{M}\\p{N}_]+')) AS word
+  FROM (SELECT scan_id, file_path, language, unnest(p) AS line, unnest(range(1, len(p) + 1)) AS line_number
+    FROM (SELECT *, string_split(code, chr(10)) AS p FROM files))) JOIN rule_table ON lower(left(word, 3)) = head
+WHERE (NOT python_only OR language = 'python') AND (kind <> 'secrets' OR regexp_full_match(word, '[A-Za-z]{6,}'))
+GROUP BY scan_id, file_path, kind, rule_id, line_number"""))
+def user_rules_index(spark, sf_dir):
+    """A rule for every part, by the rule index."""
+    found = scan_with_table(inputs.files(spark, sf_dir), inputs.rule_table(spark, sf_dir))
+    return found.select("scan_id", "file_path", "kind", "rule_id", "line_number", "n_hits")
+
+
 @query("owasp_status", with_inputs("files", query=f"SELECT * FROM {_status_sql('scan_id')}"))
 def owasp_status_query(spark, sf_dir):
     return owasp_status(inputs.files(spark, sf_dir))
