@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.severity import LEVELS
 from ..operators import findings as fnd
+from ..operators import increments
 from ..operators import summaries
 from ..operators.code_scan import code_scan
 from ..operators.dependencies import dependency_findings, dependency_risk
@@ -366,6 +368,40 @@ def stream_store(spark, sf_dir):
     return store.read_latest_view(spark, path, log.schema)
 
 
+# Findings in two sendings of every scan, each in two batches: seq is the half of the month.
+_SENT = """SELECT 'scan-' || CAST(user_id AS VARCHAR) AS scan_id, CAST((day(ts) - 1) // 15 AS BIGINT) AS seq,
+  CASE WHEN user_id % 10 = 0 THEN NULL ELSE ['critical', 'high', 'medium', 'low', 'info', NULL][CASE WHEN user_id % 3 = 0 THEN 3 + event_id % 4 ELSE 1 + event_id % 6 END] END AS severity FROM events"""
+_SENT_COUNTS = "SELECT scan_id, " + ", ".join(f"count(*) FILTER (WHERE severity = '{s}') AS {s}" for s in LEVELS) + f""" FROM (
+  SELECT * FROM ({_SENT}) QUALIFY seq = max(seq) OVER (PARTITION BY scan_id)) GROUP BY scan_id"""
+
+
+def _sent(spark, sf_dir) -> str:
+    """The store of counts after a stream of four batches."""
+    e, user = F.col("event_id"), F.col("user_id")
+    levels = F.array(*[F.lit(s) for s in ("critical", "high", "medium", "low", "info")], F.lit(None).cast("string"))
+    at = F.when(user % 3 == 0, e % 4 + 2).otherwise(e % 6).cast("int")
+    rows = inputs.table(spark, sf_dir, "events").select(
+        F.concat(F.lit("scan-"), user.cast("string")).alias("scan_id"), F.floor((F.dayofmonth("ts") - 1) / 15).cast("long").alias("seq"),
+        F.when(user % 10 != 0, F.get(levels, at)).alias("severity"), (e % 2).alias("part"))
+    folder = _in_batches(rows, 2 * F.col("seq") + F.col("part"))
+    stream = streams.read_table_stream(spark, folder, "*.parquet", "scan_id string, seq long, severity string", files_per_batch=4)
+    path = shared_folder(spark, "scan-counts")
+    streams.write_batches(stream, increments.stats_writer(path, buckets=8), shared_folder(spark, "scan-counts-checkpoint")).awaitTermination()
+    return path
+
+
+@query("stream_dashboard", f"""
+SELECT count(*) AS scans, CAST(sum(critical + high) AS BIGINT) AS critical, CAST(coalesce(sum(CASE WHEN critical + high = 0 THEN medium END), 0) AS BIGINT) AS warnings,
+  count(*) FILTER (WHERE critical + high + medium + low + info = 0) AS clean FROM ({_SENT_COUNTS})""")
+def stream_dashboard(spark, sf_dir):
+    return increments.dashboard(spark, _sent(spark, sf_dir))
+
+
+@query("stream_severity_summary", _SENT_COUNTS)
+def stream_severity_summary(spark, sf_dir):
+    return increments.scan_counts(spark, _sent(spark, sf_dir))
+
+
 _LOG = "scan_id string, ts timestamp, seq long, type string, n_findings long"
 _FOUND = "'[' || coalesce(string_agg('\"' || rule_id || ':' || CAST(line_number AS VARCHAR) || '\"', ',' ORDER BY '\"' || rule_id || ':' || CAST(line_number AS VARCHAR) || '\"')"
 _STEPS_OF_FILES = f"""(SELECT file_path, asked, CAST(len(asked) AS DOUBLE) AS total, list_contains(asked, 'secrets') AS s, list_contains(asked, 'code') AS c, list_contains(asked, 'owasp') AS o,

@@ -13,7 +13,8 @@ from ..operators.owasp import owasp_scan, owasp_status, owasp_totals
 from ..operators.rule_index import scan_with_table
 from ..operators.secrets import entropy_candidates, patch_path, secret_scan, secret_union, secrets_request, uncovered
 from ..rules import CODE_RULES, OWASP_CHECKS, SECRET_RULES, rules_from_table
-from ..sources.files import SUFFIXES, decode_files, flag_oversize, language_of, submitted_code
+from ..session import shared_folder
+from ..sources.files import SUFFIXES, decode_files, flag_oversize, language_of, scan_directory, submitted_code
 from ..sources.scanner_reports import parse_bearer, parse_gitleaks, parse_trufflehog
 from . import inputs, sql
 from .inputs import quote, with_inputs
@@ -141,6 +142,27 @@ def input_rejects(spark, sf_dir):
     return fnd.split_inputs(steps).where("reason is not null").select("scan_id", "doc_id", "step", "reason")
 
 
+_BUCKET = "CASE WHEN doc_id % 3 = 0 THEN 0 ELSE doc_id % 200 END"
+_FILE_CAP = 60_000
+
+
+@query("src_directory_files", f"""
+SELECT bucket, n_bytes, status, reason, language, code_hash FROM (
+  SELECT bucket, CAST(strlen(code) AS BIGINT) AS n_bytes, 'text' AS language,
+    CASE WHEN strlen(code) <= {_FILE_CAP} THEN 'text' ELSE 'oversize' END AS status,
+    CASE WHEN strlen(code) > {_FILE_CAP} THEN 'larger than {_FILE_CAP} bytes' END AS reason, CASE WHEN strlen(code) <= {_FILE_CAP} THEN sha256(code) END AS code_hash
+  FROM (SELECT CAST({_BUCKET} AS INT) AS bucket, string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id) AS code FROM documents GROUP BY 1))""")
+def src_directory_files(spark, sf_dir):
+    """Real files of mixed sizes, written from the documents: listed, read or rejected."""
+    folder = shared_folder(spark, "directory")
+    docs = inputs.table(spark, sf_dir, "documents", "doc_id", "text").withColumn("bucket", F.expr(_BUCKET).cast("int"))
+    (docs.repartition("bucket").sortWithinPartitions("bucket", "doc_id").select("bucket", F.coalesce("text", F.lit("")).alias("value"))
+     .write.partitionBy("bucket").text(folder))
+    found = scan_directory(spark, folder, _FILE_CAP).where(F.col("file_path").rlike("/bucket=[0-9]+/"))
+    return found.select(F.regexp_extract("file_path", "/bucket=([0-9]+)/", 1).cast("int").alias("bucket"), "n_bytes", "status", "reason", "language",
+                        F.sha2(F.col("code").cast("binary"), 256).alias("code_hash"))
+
+
 # --- code rules --------------------------------------------------------------------
 
 @query("rule_language_filter", with_inputs("files", query="SELECT language, count(*) AS n_files, CASE language "

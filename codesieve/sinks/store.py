@@ -48,6 +48,11 @@ def _current(spark: SparkSession, path: str) -> tuple[int, dict[int, int]]:
     return last, {r.bucket: r.version for r in rows if r.bucket >= 0}
 
 
+def last_commit(spark: SparkSession, path: str) -> int:
+    """Number of the last batch that a store has taken in, -1 if none."""
+    return _current(spark, path)[0]
+
+
 def _paths(path: str, versions: dict[int, int]) -> list[str]:
     return [f"{path}/data/version={v}/bucket={b}" for b, v in sorted(versions.items())]
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import decode_utf8
+from ..session import written
 
 # File suffix of each language.
 SUFFIXES = {
@@ -66,6 +67,34 @@ def oversize_files(spark: SparkSession, root: str, size_cap: int = DEFAULT_SIZE_
         F.col("path").alias("file_path"), F.col("length").alias("n_bytes"), F.format_string("larger than %d bytes", F.lit(size_cap)).alias("reason"))
 
 
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """Every file below ``root`` as (file_path, n_bytes), as a table; no content is read."""
+    return written(_listing(spark, root).select(F.col("path").alias("file_path"), F.col("length").alias("n_bytes")), "listing")
+
+
+def scan_directory(spark: SparkSession, root: str, size_cap: int = DEFAULT_SIZE_CAP, listing: DataFrame | None = None) -> DataFrame:
+    """Every listed file with what became of it: (file_path, n_bytes, language, code, status, reason).
+
+    ``status`` is ``text``, ``oversize`` (beyond the cap, never opened) or ``unreadable`` (listed, but gone or not to be read
+    afterwards); code is null for the last two.  A listing that was taken before may be given.  Files are dealt to tasks by their bytes, with
+    a charge for opening each (``spark.sql.files.maxPartitionBytes`` and ``openCostInBytes``), so neither millions of small files nor a few
+    large ones make a long task.  Contents are read once and kept in the shared folder.
+    """
+    listing = list_files(spark, root) if listing is None else listing
+    readable = _listing(spark, root).where(F.col("length") <= size_cap).withColumn("n_bytes", F.col("length"))
+    texts = written(readable.select(
+        F.col("path").alias("file_path"), "n_bytes", F.coalesce(language_of(F.col("path")), F.lit("text")).alias("language"),
+        decode_utf8(F.col("content")).alias("code")), "texts")
+    none = F.lit(None).cast("string")
+    shape = lambda df, code, status, reason: df.select(
+        "file_path", "n_bytes", F.coalesce(language_of(F.col("file_path")), F.lit("text")).alias("language"), code.alias("code"),
+        F.lit(status).alias("status"), reason.alias("reason"))
+    kept = shape(texts.join(listing.select("file_path"), "file_path", "left_semi"), F.col("code"), "text", none)
+    large = shape(listing.where(F.col("n_bytes") > size_cap), none, "oversize", F.format_string("larger than %d bytes", F.lit(size_cap)))
+    lost = listing.where(F.col("n_bytes") <= size_cap).join(texts.select("file_path"), "file_path", "left_anti")
+    return kept.unionByName(large).unionByName(shape(lost, none, "unreadable", F.lit("listed but not readable")))
+
+
 def flag_oversize(files: DataFrame, size_cap: int = DEFAULT_SIZE_CAP, text: str = "code") -> DataFrame:
     """Add ``n_bytes`` and ``within_cap``; nothing is dropped here."""
     size = F.octet_length(F.col(text))
