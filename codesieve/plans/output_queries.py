@@ -13,7 +13,7 @@ from ..operators.dependencies import dependency_findings, dependency_risk
 from ..operators.secrets import secret_scan
 from ..prompts import assembly as prompts
 from ..session import few_partitions, shared_folder, written
-from ..sinks import export, report, store
+from ..sinks import export, ranges, report, store
 from ..sources.advisories import parse_osv
 from ..streaming import scan_events
 from ..streaming import scan_stream as streams
@@ -124,6 +124,34 @@ def sink_json_export(spark, sf_dir):
     return export.export_json(inputs.scan_log(spark, sf_dir))
 
 
+@query("sink_json_ranges", with_inputs("scan_log", query="""
+SELECT scan_id, '{"id":"' || scan_id || '","type":"' || type || '","findings":' || CAST(n_findings AS VARCHAR) || ',"seq":' || CAST(seq AS VARCHAR) || '}' AS json
+FROM scan_log"""))
+def sink_json_ranges(spark, sf_dir):
+    """The log of every scan as JSON lines in few files, read back through the index."""
+    path = shared_folder(spark, "json-ranges")
+    fields = F.struct(F.col("scan_id").alias("id"), "type", F.col("n_findings").alias("findings"), "seq")
+    ranges.write_ranges(inputs.scan_log(spark, sf_dir).withColumn("json", F.to_json(fields)), path, "json", ["ts", "seq"])
+    texts = ranges.read_texts(spark, path)
+    # Every text ends with a newline, behind which nothing comes.
+    lines = texts.select(F.col("key").alias("scan_id"), F.explode(F.split("text", "\n", -1)).alias("json"))
+    return lines.where("json != ''")
+
+
+@query("sink_report_ranges", f"""
+SELECT scan_id, CAST(sum(strlen(html) + 1) AS BIGINT) AS n_bytes, count(*) AS n_lines FROM ({_report_sql()}) GROUP BY scan_id""")
+def sink_report_ranges(spark, sf_dir):
+    """HTML reports of all scans in few files: their sizes, as the index and the files have them."""
+    found, secrets, packages = _report_inputs(spark, sf_dir)
+    path = shared_folder(spark, "report-ranges")
+    lines = report.report_lines(written(found, "findings"), written(secrets, "secrets"), written(packages, "packages"), AS_OF)
+    lines = written(lines, "report-lines")
+    ranges.write_ranges(lines, path, "html", report.ORDER)
+    texts = ranges.read_texts(spark, path).groupBy("key").agg(F.sum(F.octet_length("text")).alias("n_bytes"))
+    counted = lines.groupBy("scan_id").agg(F.count("*").alias("n_lines"))
+    return texts.withColumnRenamed("key", "scan_id").join(counted, "scan_id")
+
+
 _LATEST = """SELECT scan_id, ts, seq, type, n_findings FROM scan_log
 QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY ts DESC, seq DESC) = 1"""
 

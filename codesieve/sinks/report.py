@@ -18,6 +18,8 @@ from ..functions.severity import risk_band, risk_label, severity_color
 from ..functions.text import html_escape
 from ..operators.dependencies import risk_of_findings
 
+# The order of the lines of a report.
+ORDER = ("part", "kind", "k1", "k2", "k3")
 HEAD, FINDINGS, SECRETS, PACKAGES, FOOT = 0, 1, 2, 3, 4
 OPEN, ROW, CLOSE = 0, 1, 2
 
@@ -67,7 +69,7 @@ TEMPLATES = {
     ),
     "cve": "<code>{cve}</code> ",
     "close": "</table>",
-    "foot": "<p>For authorized security testing only. {generated}</p></body></html>",
+    "foot": "<p>Made for owners of the code named above. {generated}</p></body></html>",
 }
 DASH = "—"
 
@@ -187,10 +189,10 @@ def report_lines(findings: DataFrame, secrets: DataFrame, packages: DataFrame, g
 
 
 def write_reports(lines: DataFrame, path: str) -> None:
-    """One folder ``scan_id=<id>`` per scan; its files in name order are the report.
+    """For few scans (``ranges.write_ranges`` with :data:`ORDER` is for many): one folder ``scan_id=<id>`` per scan; its files in name order are the report.
 
     Ranges are cut by all sort keys, so one scan's lines may go to many tasks.
     """
-    keys = ["scan_id", "part", "kind", "k1", "k2", "k3"]
+    keys = ["scan_id", *ORDER]
     ordered = lines.repartitionByRange(*keys).sortWithinPartitions(*keys)
     ordered.select("scan_id", "html").write.mode("overwrite").partitionBy("scan_id").option("lineSep", "\n").text(path)

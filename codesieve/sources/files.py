@@ -68,7 +68,7 @@ def oversize_files(spark: SparkSession, root: str, size_cap: int = DEFAULT_SIZE_
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """Every file below ``root`` as (file_path, n_bytes), as a table; no content is read."""
+    """Every file below ``root`` as (file_path, n_bytes), as a table; no content is read.  Spark's file sources pass over empty files."""
     return written(_listing(spark, root).select(F.col("path").alias("file_path"), F.col("length").alias("n_bytes")), "listing")
 
 

@@ -56,13 +56,13 @@ def test_directory_with_rejects(spark, tmp_path):
     (tmp_path / "gone.go").write_text("soon away")
     (tmp_path / "no-suffix").write_text("z")
     listing = list_files(spark, str(tmp_path))
-    assert listing.count() == 5
+    assert listing.count() == 4  # not the empty one
     (tmp_path / "gone.go").unlink()
     (tmp_path / "late.py").write_text("written after the listing")
     got = {r.file_path.rsplit("/", 1)[1]: (r.n_bytes, r.language, r.code, r.status, r.reason)
            for r in scan_directory(spark, str(tmp_path), size_cap=1000, listing=listing).collect()}
     assert got == {
-        "x.py": (7, "python", "ok é", "text", None), "empty.js": (0, "javascript", "", "text", None), "no-suffix": (1, "text", "z", "text", None),
+        "x.py": (7, "python", "ok é", "text", None), "no-suffix": (1, "text", "z", "text", None),
         "big.c": (5000, "c", None, "oversize", "larger than 1000 bytes"), "gone.go": (9, "go", None, "unreadable", "listed but not readable")}
     whole = scan_directory(spark, str(tmp_path), size_cap=1000)
-    assert whole.count() == 5 and whole.where(F.col("status") == "text").count() == 4
+    assert whole.count() == 4 and whole.where(F.col("status") == "text").count() == 3
