@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codesieve.session import written
@@ -89,10 +89,11 @@ class Models:
     """The models of all languages.
 
     ``counts`` has for each language its words with their numbers.  probability(order, gram) is interpolated with the
-    next lower order; an n-gram that no language has seen takes its context's share of the lower order.
+    next lower order; an n-gram that no language has seen takes its context's share of the lower order.  The discount of
+    an order is n1 / (n1 + 2 n2) of its counts, or ``usual`` where one of them is missing.
     """
 
-    def __init__(self, words: dict[str, list[tuple[str, int]]], discount: float = 0.75):
+    def __init__(self, words: dict[str, list[tuple[str, int]]], usual: float = 0.75):
         self.langs = sorted(words)
         sets = {lang: Counts(words[lang]) for lang in self.langs}
         self.keys, self.found, self.logs, self.contexts, self.backoff = [], [], [], [], []
@@ -108,11 +109,15 @@ class Models:
                 at = np.searchsorted(keys, key)
                 parent[at], below[at] = context, suffix
             for i, x in enumerate(self.langs):
-                key, context, _, n = sets[x].orders[k - 1]
+                key, context, _, raw = sets[x].orders[k - 1]
+                n = raw
                 if k < ORDER:  # how many different characters precede it
                     longer = sets[x].orders[k][2]
                     n = np.bincount(np.searchsorted(key, longer[np.isin(longer, key)]), minlength=len(key)).astype(float)
-                    n = np.maximum(n, 1.0)  # what stands only at the start of words
+                    # What begins with the space before a word has no predecessor and keeps its number.
+                    n = np.where(n > 0, n, raw)
+                once, twice = np.count_nonzero(n == 1), np.count_nonzero(n == 2)
+                discount = once / (once + 2 * twice) if once and twice else usual
                 where = np.searchsorted(contexts, context)
                 total = np.bincount(where, n, len(contexts))
                 kinds = np.bincount(where, minlength=len(contexts))
@@ -174,17 +179,19 @@ def trained_on(lang: Column, fold: Column | None) -> Column:
 
 
 def train(df: DataFrame, rows_per_lang: int = 2_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          fold: Column | None = None, words_per_lang: int = 50_000, rejected: float = 0.001) -> tuple[Models, float]:
+          fold: Column | None = None, words_per_lang: int = 50_000, rejected: float = 0.001,
+          words_in_all: int = 5_000_000) -> tuple[Models, float]:
     """The models, and the cross-entropy above which a text is rejected, from rows with a non-null language (and in ``fold``).
 
     The classifier is fitted on a bounded sample of labelled rows: about ``rows_per_lang`` of each language, those with the
-    least hashes of id and text, whole texts; of their words the ``words_per_lang`` most frequent of each language.  So the models have a bounded size and are
+    least hashes of id and text, whole texts; of their words (of up to 64 characters) the ``words_per_lang`` most frequent of each
+    language, or fewer if all languages together had over ``words_in_all``.  So the models have a bounded size and are
     broadcast.  Half as many other rows, also by hash, calibrate the rejection: the threshold leaves out a share of ``rejected`` of them, and
     lies at least a tenth above the highest of the rest.
     """
     df = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), trained_on(F.col(lang_col), fold).alias("use")) \
         .where("use and text is not null")
-    sizes = {r["lang"]: r["count"] for r in df.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()}
+    sizes = {r["lang"]: r["count"] for r in df.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()}
     if not sizes:
         return Models({}), math.inf
     unit = 1_000_000
@@ -204,10 +211,11 @@ def train(df: DataFrame, rows_per_lang: int = 2_000, id_col: str = "doc_id", tex
     counted = (sample.where("learn").select("lang", "text").mapInArrow(run, "lang string, word string")
                .where(F.length("word") <= 64).groupBy("lang", "word").count())
     counted = written(counted, "language-words")
-    words = {}
-    for lang in sizes:
-        top = counted.where(F.col("lang") == lang).orderBy(F.desc("count"), "word").limit(words_per_lang).toPandas()
-        words[lang] = list(zip(top["word"], top["count"].tolist()))
+    most = max(1, min(words_per_lang, words_in_all // len(sizes)))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
+    words: dict[str, list[tuple[str, int]]] = {}
+    for lang, word, n in counted.withColumn("place", place).where(F.col("place") <= most).orderBy("lang", "place").select("lang", "word", "count").toPandas().itertuples(index=False):
+        words.setdefault(lang, []).append((word, n))
     models = Models({x: w for x, w in words.items() if w})
     fits = scores(sample.where("not learn").select("id", "text"), models, "id").where("entropy is not null")
     high = fits.agg(F.expr(f"percentile_approx(entropy, {1 - rejected}, 10000)")).first()[0]

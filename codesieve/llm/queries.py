@@ -73,8 +73,9 @@ def op8_language_id(spark, sf_dir):
     from .language import held_out, scores, train
 
     docs = table(spark, sf_dir, "documents")
-    models, _ = train(docs, fold=~held_out(F.col("doc_id")))
-    return scores(docs, models).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    models, limit = train(docs, fold=~held_out(F.col("doc_id")))
+    return scores(docs, models).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "entropy",
+                                       F.coalesce(F.col("entropy") <= limit, F.lit(False)).alias("accepted"))
 
 
 def op10_dart_minhash(spark, sf_dir):

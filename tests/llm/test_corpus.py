@@ -268,6 +268,51 @@ def test_sorted_arrays():
     assert not language.Sorted(np.empty(0, np.int64)).find(np.array([5]))[1].any()
 
 
+def plain_kneser_ney(words):
+    """P(character | up to three before it) of one language, from the definition; counts of n-grams at the start of words as they are."""
+    raw = [None, *({} for _ in range(language.ORDER))]
+    for w, n in words:
+        for k in range(1, language.ORDER + 1):
+            for i in range(len(w) + 3 - k):
+                g = f" {w} "[i:i + k]
+                raw[k][g] = raw[k].get(g, 0) + n
+    count = [None, *({} for _ in range(language.ORDER))]
+    for k in range(1, language.ORDER + 1):
+        for g, n in raw[k].items():
+            before = len({x[0] for x in raw[k + 1] if x[1:] == g}) if k < language.ORDER else n
+            count[k][g] = before or n
+    alphabet = len(raw[1])
+
+    def p(g):
+        if not g:
+            return 1 / (alphabet + 1)
+        same = [n for h, n in count[len(g)].items() if h[:-1] == g[:-1]]
+        if not same:
+            return p(g[1:])
+        once, twice = (list(count[len(g)].values()).count(i) for i in (1, 2))
+        d = once / (once + 2 * twice) if once and twice else 0.75
+        return max(count[len(g)].get(g, 0) - d, 0) / sum(same) + d * len(same) / sum(same) * p(g[1:])
+    return p, sorted(raw[1])
+
+
+def test_language_model_is_kneser_ney():
+    rng = random.Random(11)
+    words = [("".join(rng.choices("abcdé", k=rng.randint(1, 6))), rng.randint(1, 4)) for _ in range(60)] + [("the", 100), ("zoo", 1)]
+    words = list(dict(words).items())
+    models, (p, letters) = language.Models({"x": words, "y": [("other", 1)]}), plain_kneser_ney(words)
+    single = language.Models({"x": words})
+    for text in ("the", "zoo", "abcde", "dé ab", "qqq", "zothe", "a", "ecbaécd cab"):
+        padded, want = f" {text} ", 0.0
+        for i in range(1, len(padded)):
+            start = padded.rfind(" ", 0, i)
+            want -= math.log(p(padded[max(start, i - language.ORDER + 1):i + 1]))
+        assert single.cross_entropies([text])[0, 0] == pytest.approx(want / (len(padded) - 1), rel=1e-9)
+        assert abs(models.cross_entropies([text])[0, 0] - want / (len(padded) - 1)) < 0.2  # a larger alphabet only
+    for context in ("", " ", " t", " th", "abc", "é", "xyz"):
+        assert sum(p(context + c) for c in (*letters, "?")) == pytest.approx(1, abs=1e-12)
+    assert p(" t") > 10 * p(" z")
+
+
 def test_language_id(spark):
     table = spark.read.parquet(f"{SF}/../sf0.01/documents.parquet")
     models, limit = language.train(table, fold=~language.held_out(F.col("doc_id")))
