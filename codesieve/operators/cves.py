@@ -19,8 +19,8 @@ def check_requests(requests: DataFrame) -> DataFrame:
 def cve_sources(osv: DataFrame, nvd: DataFrame) -> DataFrame:
     """One record per CVE: the OSV record, else the NVD one.
 
-    The NVD table holds one row per id, so records that OSV has are dropped with
-    an anti join before both are put together.
+    Of records that share an id, in any case, the one that was modified last counts.  Records that OSV has are dropped
+    from NVD's with an anti join before both are put together.
     """
     from_osv = osv.where(valid_cve_id(F.col("id"))).select(
         F.upper("id").alias("cve_id"),
@@ -37,9 +37,17 @@ def cve_sources(osv: DataFrame, nvd: DataFrame) -> DataFrame:
         F.lit("UNKNOWN").alias("severity"), F.lit(None).cast("double").alias("cvss_score"),
         none.alias("references"), none.alias("affected"),
     )
+    from_osv, from_nvd = _newest(from_osv), _newest(from_nvd)
     return from_osv.unionByName(from_nvd.join(from_osv.select("cve_id"), "cve_id", "left_anti"))
 
 
+def _newest(records: DataFrame) -> DataFrame:
+    """One record per CVE: the last modified, of equals the last published, then the last by summary."""
+    fields = [c for c in records.columns if c != "cve_id"]
+    newest = F.max_by(F.struct(*fields), F.struct("modified", "published", "summary"))
+    return records.groupBy("cve_id").agg(newest.alias("r")).select("cve_id", "r.*").select(*records.columns)
+
+
 def explain_records(requests: DataFrame, osv: DataFrame, nvd: DataFrame) -> DataFrame:
     """Every request with the record of its CVE.
 

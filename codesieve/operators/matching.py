@@ -54,7 +54,11 @@ def java_pattern(rule: TextRule) -> str:
     Unicode case folding; ``U``: Unicode classes.  The four ASCII separators
     count as white space, as they do for Python strings.
     """
-    return _flags(rule) + _widen_space(rule.pattern, stops=len(rule.ends))
+    pattern = rule.pattern
+    for _, end, *absent in rule.ends:
+        if absent:  # a stop behind a word is no end of the word: the start that it stands before goes on with it
+            pattern = pattern.replace(end, f"{end}(?![{_STOPS}])")
+    return _flags(rule) + _widen_space(pattern, stops=len(rule.ends))
 
 
 def _flags(rule: TextRule) -> str:
@@ -65,17 +69,21 @@ def with_stops(text: Column, rule: TextRule) -> Column:
     """The text with the stops of a rule's open searches; the text itself if it has none.
 
     Line by line: up to the last possible end of a search nothing changes; behind it, each start gets a stop.  An end that may go on in
-    the next line counts as possible.
+    the next line counts as possible.  Where the end is one that must not come, starts before it cannot match and are taken out.  A line with one start is searched once, so only texts where some line holds
+    two are copied at all.
     """
-    def stopping(start: str, end: str, stop: str):
+    def stopping(start: str, end: str, stop: str, absent: bool):
         def stopped(line: Column) -> Column:
             live = F.regexp_extract(line, f"{_flags(rule)}^.*(?:{_widen_space(end)})", 0)
             dead = F.substring(line, F.length(live) + 1, F.length(line))
+            if absent:
+                live = F.regexp_replace(live, f"{_flags(rule)}{start}", _PLAIN)
             return F.concat(live, F.regexp_replace(dead, f"{_flags(rule)}(?={start})", stop))
         return stopped
 
-    for (start, end), stop in zip(rule.ends, _STOPS):
-        text = F.array_join(F.transform(F.split(text, "\n", -1), stopping(start, end, stop)), "\n")
+    for (start, end, *absent), stop in zip(rule.ends, _STOPS):
+        several = text.rlike(f"{_flags(rule)}(?={start})[^\n]+(?={start})")
+        text = F.when(several, F.array_join(F.transform(F.split(text, "\n", -1), stopping(start, end, stop, bool(absent))), "\n")).otherwise(text)
     return text
 
 

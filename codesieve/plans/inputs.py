@@ -299,6 +299,17 @@ def deps(spark, sf_dir):
         F.when(line == 7, F.lit(None)).when(part % 2 == 0, "PyPI").otherwise("npm").alias("ecosystem"))
 
 
+SQL["dep_requests"] = """SELECT 'order-' || CAST(o_orderkey AS VARCHAR) AS scan_id, CASE o_orderkey % 5 WHEN 0 THEN [] WHEN 1 THEN NULL
+  ELSE ['pkg-' || CAST(o_custkey AS VARCHAR)] END AS dependencies FROM orders"""
+
+
+def dep_requests(spark, sf_dir):
+    key = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").select(
+        _concat("order-", _text(key)).alias("scan_id"),
+        F.when(key % 5 == 0, F.array().cast("array<string>")).when(key % 5 != 1, F.array(_concat("pkg-", _text("o_custkey")))).alias("dependencies"))
+
+
 # One name with the versions of all order lines, and an advisory for each part with a range of its versions.
 SQL["one_name"] = """SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT) AS a, l_partkey % 100 AS b, l_linenumber AS c FROM lineitem"""
 SQL["one_name_ranges"] = """SELECT 'GHSA-' || CAST(p_partkey AS VARCHAR) AS advisory_id, p_partkey % 50 + 1 AS a, p_partkey * 7 % 100 AS b,

@@ -10,7 +10,7 @@ from ..functions import severity as sev
 from ..functions.versions import version_key
 from ..operators import cves, dependencies
 from ..sources.advisories import parse_nvd, parse_osv
-from ..sources.manifests import SECTIONS, SEPARATORS, flag_empty_requirements, parse_package_json, parse_requirements
+from ..sources.manifests import SECTIONS, SEPARATORS, flag_empty_dependencies, flag_empty_requirements, parse_package_json, parse_requirements
 from . import inputs, sql
 from .inputs import quote, with_inputs
 from .registry import query
@@ -168,6 +168,12 @@ def version_order(spark, sf_dir):
     return versions.withColumn("version_key", version_key(F.col("version")))
 
 
+@query("dependency_rejects", with_inputs("dep_requests", query="""
+SELECT scan_id, CASE WHEN coalesce(len(dependencies), 0) = 0 THEN 'Provide at least one dependency' END AS reason FROM dep_requests"""))
+def dependency_rejects(spark, sf_dir):
+    return flag_empty_dependencies(inputs.dep_requests(spark, sf_dir)).select("scan_id", "reason")
+
+
 @query("ecosystem_version_order", with_inputs("ordered_versions", query="""
 SELECT ecosystem, version, CAST(dense_rank() OVER (PARTITION BY ecosystem ORDER BY rank) AS INT) AS position, n
 FROM (SELECT ecosystem, version, rank, count(*) AS n FROM ordered_versions GROUP BY ALL)"""))

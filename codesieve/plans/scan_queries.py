@@ -461,6 +461,16 @@ def findings_top30(spark, sf_dir):
     return top.select("scan_id", "file_path", "rule_id", "line_number", "position")
 
 
+@query("findings_top30_large", with_inputs("files", query=f"""
+SELECT {_KEY}, position FROM (SELECT *, CAST(row_number() OVER (PARTITION BY scan_id ORDER BY rule_order, file_path, line_number) AS INT) AS position
+  FROM (SELECT * REPLACE (CASE WHEN file_path LIKE '%.py' THEN 'scan-py' ELSE 'scan-rest' END AS scan_id) FROM {_CODE})) WHERE position <= 30"""))
+def findings_top30_large(spark, sf_dir):
+    """The same over two large scans, of which each has more findings than are shown."""
+    files = inputs.files(spark, sf_dir).withColumn("scan_id", F.when(F.col("file_path").endswith(".py"), "scan-py").otherwise("scan-rest"))
+    top = fnd.top_findings(code_scan(files, with_snippet=False), ["rule_order", "file_path", "line_number"], 30)
+    return top.select("scan_id", "file_path", "rule_id", "line_number", "position")
+
+
 @query("prioritise", with_inputs("files", query=f"""
 SELECT {_KEY}, severity FROM {_CODE} ORDER BY CASE severity WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3
   WHEN 'low' THEN 2 WHEN 'info' THEN 1 ELSE 0 END DESC, scan_id, file_path, line_number, rule_id"""))

@@ -16,7 +16,7 @@ class TextRule:
 
     ``ends`` has, for each ``.*`` of the pattern in turn, what a search by it may start
     after, and what ends it on a line (rather too much than too little); see
-    ``operators.matching``.  It changes no match.
+    ``operators.matching``.  A third entry says that the end must not come (a negative look-ahead).  It changes no match.
 
     ``value_group`` names the capture group that holds the reported value, for
     rules that report one (secrets).
@@ -27,7 +27,7 @@ class TextRule:
     requires: tuple[tuple[str, ...], ...] = ()
     languages: tuple[str, ...] = ("any",)
     ignore_case: bool = True
-    ends: tuple[tuple[str, str], ...] = ()
+    ends: tuple[tuple[str, ...], ...] = ()
     value_group: int = 0
 
 

@@ -89,7 +89,8 @@ _PATTERNS: tuple[tuple[str, str, str, tuple[tuple[str, ...], ...]], ...] = (
     ("A07:2021", r"""(?i)password\s*==\s*["'][^"']{1,20}["']""",
      "Hardcoded password comparison", (("password",), ("==",))),
     ("A07:2021", r"""(?i)session\.permanent\s*=\s*True(?!.*\blifetime\b)""",
-     "Permanent session without explicit timeout", (("session.permanent",),)),
+     "Permanent session without explicit timeout", (("session.permanent",),),
+     ((r"session\.permanent", r"\blifetime\b", "absent"),)),
     ("A07:2021", r"""(?i)(?:min_length|min_password_length)\s*=\s*[0-7]\b""",
      "Weak minimum password length (< 8 characters)", (("min_length", "min_password_length"),)),
     ("A07:2021", r"""(?i)brute.?force|rate.?limit(?!\s*=\s*\d)""",

@@ -48,15 +48,31 @@ def parse_requirements(manifests: DataFrame, content: str = "content") -> DataFr
     )
 
 
+def _last_of_each(entries: Column) -> Column:
+    """One entry for each key: in the place of its first, with the value of its last."""
+    names = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+    last = F.transform(names, lambda n: F.element_at(F.filter(entries, lambda e: e["key"] == n), -1))
+    return F.when(F.size(names) < F.size(entries), last).otherwise(entries)
+
+
+def flag_empty_dependencies(requests: DataFrame, dependencies: str = "dependencies") -> DataFrame:
+    """Add ``reason`` for requests whose list of dependencies is missing or empty."""
+    some = F.coalesce(F.size(F.col(dependencies)), F.lit(0)) > 0
+    return requests.withColumn("reason", F.when(~some, "Provide at least one dependency"))
+
+
 def parse_package_json(manifests: DataFrame, content: str = "content") -> DataFrame:
-    """package.json texts to one row per entry of the three sections, in order."""
+    """package.json texts to one row per name of each of the three sections, in order.
+
+    A name that is repeated within a section keeps its first place and its last version, as JSON readers have it.
+    """
     keys = [c for c in manifests.columns if c != content]
     schema = ", ".join(f"{s} MAP<STRING, STRING>" for s in SECTIONS)
     parsed = F.from_json(F.col(content), schema)
 
     def entries(position: int, section: str) -> Column:
-        listed = F.coalesce(F.map_entries(F.col("__m")[section]),
-                            F.array().cast("array<struct<key:string,value:string>>"))
+        listed = _last_of_each(F.coalesce(F.map_entries(F.col("__m")[section]),
+                                          F.array().cast("array<struct<key:string,value:string>>")))
         return F.transform(listed, lambda e: F.struct(
             F.lit(position).alias("section_no"), F.lit(section).alias("section"),
             e["key"].alias("name"), e["value"].alias("raw")))

@@ -163,7 +163,8 @@ def test_java_pattern_keeps_the_body(rule):
 
 
 PIECES = ("query(", "raw (", "cursor.execute(", "SELECT ", "update\n", "drop\t", "subprocess.run(", "subprocess.call (", "shell=True", "shell =", " = True", "True", "import ", "from ",
-          "unsafe", "untrusted", "S3", "bucket", "public", "'", '"', "+", "+ x", "% (", "%", "(", "%s", "{x}", "${", ".format", "\n", " ", "f'", "a", "﷔", "﷕", "\x1c")
+          "unsafe", "untrusted", "S3", "bucket", "public", "'", '"', "+", "+ x", "% (", "%", "(", "%s", "{x}", "${", ".format", "\n", " ", "f'", "a", "﷔", "﷕", "\x1c",
+          "session.permanent", "session.permanent = True", "=True", "lifetime", "lifetimes")
 
 
 def test_open_searches_equal_brute_force(files):
@@ -171,7 +172,7 @@ def test_open_searches_equal_brute_force(files):
     rng = random.Random(11)
     rows = [(f"f{i}", rng.choice(["python", "php"]), "".join(rng.choice(PIECES) for _ in range(rng.randint(5, 60)))) for i in range(600)]
     for i, p in enumerate(PIECES):  # one end among many starts
-        rows += [(f"g{i}-{j}", "python", s * 12 + p + s * 12) for j, s in enumerate(("query('a');", "SELECT a ", "subprocess.run(x) ", "import x ", "S3 "))]
+        rows += [(f"g{i}-{j}", "python", s * 12 + p + s * 12) for j, s in enumerate(("query('a');", "SELECT a ", "subprocess.run(x) ", "import x ", "S3 ", "session.permanent=True "))]
     df = files(*rows)
     plain = str.maketrans("﷔﷕", "﷓﷓")
     want = set().union(*(brute.code(path, language, text.translate(plain)) for path, language, text in rows))
@@ -185,6 +186,11 @@ def test_long_lines_take_linear_time(files):
         start = time.time()
         code_scan(files(("a.py", "python", end + unit * (300_000 // len(unit)))), with_snippet=False).count()
         assert time.time() - start < 30
+    unit = "session.permanent=True "
+    for text, n in ((unit * 12_000, 12_000), (unit * 12_000 + "lifetime", 0), ("lifetime " + unit * 12_000, 12_000)):
+        start = time.time()
+        assert owasp_scan(files(("a.py", "python", text))).count() == n
+        assert time.time() - start < 30
 
 
 def test_user_rule_languages_and_patterns(spark, files):

@@ -19,6 +19,9 @@ def test_package_json(spark):
     text = '{"dependencies":{"a":"^1.2.0"},"devDependencies":{"a":"~2","b":">=1 <2"},"peerDependencies":{"c":"*"}}'
     got = [(r.name, r.version, r.ecosystem) for r in parse_package_json(one(spark, text)).orderBy("ordinal").collect()]
     assert got == [("a", "1.2.0", "npm"), ("a", "2", "npm"), ("b", "1 <2", "npm"), ("c", "*", "npm")]
+    repeated = '{"dependencies":{"a":"^1","b":"2","a":"3"},"devDependencies":{"a":"4"}}'
+    assert [(r.name, r.version, r.section) for r in parse_package_json(one(spark, repeated)).orderBy("ordinal").collect()] == [
+        ("a", "3", "dependencies"), ("b", "2", "dependencies"), ("a", "4", "devDependencies")]
     assert parse_package_json(one(spark, "{broken")).count() == 0
     assert parse_package_json(one(spark, '{"name":"x"}')).count() == 0
 

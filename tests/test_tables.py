@@ -149,6 +149,14 @@ def test_cve_records(spark):
     assert got[4].error == "Invalid CVE ID format: nope" and got[4].cve_id is None and got[5].error is not None
 
 
+def test_newest_record_of_a_cve(spark):
+    both = osv(spark, {"id": "CVE-2020-0001", "summary": "old", "modified": "2020-01-01"}, {"id": "cve-2020-0001", "summary": "new", "modified": "2021-01-01"})
+    nvd = parse_nvd(spark.createDataFrame([], "response string"))
+    requests = spark.createDataFrame([(1, "CVE-2020-0001"), (2, "cve-2020-0001")], "request_id long, cve_id string")
+    got = cves.explanation(cves.explain_records(requests, both, nvd)).collect()
+    assert sorted((r.request_id, r.summary) for r in got) == [(1, "new"), (2, "new")]
+
+
 def test_summaries(spark):
     rows = [("a", "critical"), ("a", "medium"), ("b", "medium"), ("b", "low"), ("c", None)]
     found = spark.createDataFrame([r for r in rows if r[1]], "scan_id string, severity string")
