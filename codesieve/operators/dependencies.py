@@ -86,14 +86,19 @@ def version_intervals(entries: DataFrame) -> DataFrame:
 
 
 def _packages(keyed: DataFrame, entries: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Distinct packages whose names have advisories, with the number of rows that name them and their version keys;
-    also those of more than ``hot_rows`` rows, without a key."""
+    """Distinct packages whose names have advisories (``known``), with the number of rows that name them; also those of
+    more than ``hot_rows`` rows."""
     named = keyed.where(F.col("eco_key").isNotNull() & F.col("name_key").isNotNull())
     counted = named.groupBy(*_PACKAGE).agg(F.count("*").alias("uses"))
     known = entries.select("eco_key", "name_key").distinct().withColumn("known", F.lit(True))
     found = counted.join(known, ["eco_key", "name_key"], "left").where((F.col("uses") > hot_rows) | F.col("known"))
-    key = F.when(F.col("known") & (F.col("version") != ""), version_key(F.col("version"), F.col("eco_key")))
-    return written(found.select(*_PACKAGE, "uses", key.alias("key")), "packages")
+    return written(found.select(*_PACKAGE, "uses", "known"), "packages")
+
+
+def _with_keys(versions: DataFrame) -> DataFrame:
+    """Packages with the keys of their versions; few versions are shared by many names, so each is parsed once."""
+    keys = versions.select("eco_key", "version").distinct().withColumn("key", version_key(F.col("version"), F.col("eco_key")))
+    return versions.join(keys.where("key is not null"), ["eco_key", "version"])
 
 
 def _covering(low: Column, high: Column, levels: int) -> Column:
@@ -121,7 +126,7 @@ def _range_matches(packages: DataFrame, entries: DataFrame) -> DataFrame:
     ends = intervals.select("eco_key", "name_key", F.explode(F.array("low", "high")).alias("key"))
     # Ends come before versions of the same key: the first place of an interval is that of the first version in it.
     points = ends.distinct().select("eco_key", "name_key", "key", F.lit(0).alias("kind"), none.cast("string").alias("version")) \
-        .unionByName(packages.where("key is not null").select("eco_key", "name_key", "key", F.lit(1).alias("kind"), "version"))
+        .unionByName(_with_keys(packages.where("known and version != ''")).select("eco_key", "name_key", "key", F.lit(1).alias("kind"), "version"))
     order = ["eco_key", "name_key", "key", "kind", "version"]
     places = written(points.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()), "version-places")
 
