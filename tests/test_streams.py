@@ -137,3 +137,17 @@ def test_buckets_of_the_store(spark, tmp_path):
     assert view() == sorted([(k, t) for k, t in want if k != "s4"] + [("s4", "whole")])
     write(batch(), 3)
     assert ("s4", "whole") in view() and len(view()) == 21
+
+
+@pytest.mark.parametrize("n_files", [1, 3])
+def test_stream_of_a_table_that_is_a_folder(spark, tmp_path, n_files):
+    """A table may be one file or a folder of files; the stream has all its rows."""
+    table = spark.range(10).repartition(n_files)
+    if n_files == 1:
+        table.toPandas().to_parquet(tmp_path / "numbers.parquet")
+    else:
+        table.write.parquet(str(tmp_path / "numbers.parquet"))
+    spark.range(100, 105).toPandas().to_parquet(tmp_path / "others.parquet")
+    stream = streams.read_table_stream(spark, str(tmp_path), "numbers.parquet", "id long", 1)
+    streams.write_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(10))
