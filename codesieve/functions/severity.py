@@ -97,6 +97,13 @@ def risk_score(severity: Column) -> Column:
     return F.least(F.lit(10.0), F.coalesce(mean, F.lit(0.0)))
 
 
+def risk_score_of(severities: Column) -> Column:
+    """:func:`risk_score` of an array."""
+    weights = F.transform(F.filter(severities, lambda s: s.isNotNull()), lambda s: risk_weight(s).cast("double"))
+    mean = F.aggregate(weights, F.lit(0.0), lambda total, w: total + w) / F.nullif(F.size(weights), F.lit(0))
+    return F.least(F.lit(10.0), F.coalesce(mean, F.lit(0.0)))
+
+
 def risk_band(score: Column) -> Column:
     return (F.when(score >= 7, "critical").when(score >= 4, "high")
             .when(score >= 1, "medium").otherwise("low"))

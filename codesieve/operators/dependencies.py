@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.advisory import cve_id_pick, reference_urls, summary_or_default
-from ..functions.severity import advisory_severity, risk_score
+from ..functions.severity import advisory_severity, risk_score, risk_score_of
 from ..functions.versions import normal_name, version_key
 from ..session import written
 from .skew import HOT_ROWS, hot_keys, spread_join
 
-_PACKAGE = ["eco_key", "name_key", "version"]
+_NAME = ["eco_key", "name_key"]
+_PACKAGE = [*_NAME, "version"]
+# Intervals, listed versions and entries of a name up to which a dependency is compared with each of them.
+FEW = 64
 _ABOVE_ALL = "\uffff"  # above all version keys
 
 
@@ -113,20 +118,31 @@ def _covering(low: Column, high: Column, levels: int) -> Column:
     return F.filter(every, lambda b: b.isNotNull())
 
 
-def _range_matches(packages: DataFrame, entries: DataFrame) -> DataFrame:
-    """(package, entry) for versions within an interval of an entry, by an interval index.
+def _disjoint(intervals: DataFrame) -> DataFrame:
+    """The intervals of each entry with those that meet put together."""
+    earlier = Window.partitionBy("entry").orderBy("low", "high").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy("entry").orderBy("low", "high").rowsBetween(Window.unboundedPreceding, 0)
+    opens = F.coalesce(F.col("low") > F.max("high").over(earlier), F.lit(True))
+    return (intervals.withColumn("opens", opens).withColumn("no", F.count_if("opens").over(so_far))
+            .groupBy(*_NAME, "entry", "no").agg(F.min("low").alias("low"), F.max("high").alias("high")).drop("no"))
+
+
+def _range_matches(packages: DataFrame, entries: DataFrame, of_package: Sequence[str] = (), of_entry: Sequence[str] = ()) -> DataFrame:
+    """(package, entry), each once, for versions within an interval of an entry, by an interval index.
 
     Versions and the ends of intervals are sorted together, over all names, by ranges, so that a name with most
     of the versions is many tasks' work.  The places of an interval are cut into aligned blocks of
     powers of two, at most two of a size; a version lies in one block of each size.  Joined by block, a version meets
-    an entry only where the entry covers it, whatever else is known of the name.
+    an entry only where the entry covers it, whatever else is known of the name.  That join comes last and moves only what goes in.
     """
-    intervals = written(version_intervals(entries), "intervals")
+    intervals = written(_disjoint(version_intervals(entries)), "intervals")
     none = F.lit(None)
+    known = packages.where("known and version != ''")
     ends = intervals.select("eco_key", "name_key", F.explode(F.array("low", "high")).alias("key"))
     # Ends come before versions of the same key: the first place of an interval is that of the first version in it.
-    points = ends.distinct().select("eco_key", "name_key", "key", F.lit(0).alias("kind"), none.cast("string").alias("version")) \
-        .unionByName(_with_keys(packages.where("known and version != ''")).select("eco_key", "name_key", "key", F.lit(1).alias("kind"), "version"))
+    points = ends.distinct().select("eco_key", "name_key", "key", F.lit(0).alias("kind"), none.cast("string").alias("version"),
+                                     *[none.cast(known.schema[c].dataType).alias(c) for c in of_package]) \
+        .unionByName(_with_keys(known).select("eco_key", "name_key", "key", F.lit(1).alias("kind"), "version", *of_package))
     order = ["eco_key", "name_key", "key", "kind", "version"]
     places = written(points.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()), "version-places")
 
@@ -146,23 +162,73 @@ def _range_matches(packages: DataFrame, entries: DataFrame) -> DataFrame:
               .select("eco_key", "name_key", "entry", "b.level", "b.block"))
     used = blocks.groupBy("eco_key", "name_key").agg(F.collect_set("level").alias("levels"))  # at most 64 of a name
     of_versions = (places.where("kind = 1").join(used, ["eco_key", "name_key"])
-                   .select(*_PACKAGE, "place", F.explode("levels").alias("level"))
-                   .select(*_PACKAGE, "level", F.call_function("shiftright", "place", F.col("level")).alias("block")))
-    return of_versions.join(blocks.select("entry", "level", "block"), ["level", "block"]).select(*_PACKAGE, "entry")
+                   .select(*_PACKAGE, *of_package, "place", F.explode("levels").alias("level"))
+                   .select(*_PACKAGE, *of_package, "level", F.call_function("shiftright", "place", F.col("level")).alias("block")))
+    if of_entry:
+        blocks = blocks.join(entries.select("entry", *of_entry), "entry")
+    return of_versions.join(blocks.select("entry", *of_entry, "level", "block"), ["level", "block"]).select(*_PACKAGE, *of_package, "entry", *of_entry)
+
+
+def _within(spans: Column, key: Column) -> Column:
+    return F.coalesce(F.exists(spans, lambda s: (s["low"] <= key) & (key < s["high"])), F.lit(False))
+
+
+def _with_spans(entries: DataFrame) -> DataFrame:
+    """Entries with their intervals as an array, ``spans``."""
+    spans = version_intervals(entries).groupBy("entry").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    return entries.join(spans, "entry", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<low:string,high:string>>")))
 
 
-def package_matches(packages: DataFrame, entries: DataFrame) -> DataFrame:
-    """(package, entry): the entries of :func:`advisory_entries` for each distinct (ecosystem, name, version).
+def package_matches(packages: DataFrame, entries: DataFrame, of_package: Sequence[str] = (), of_entry: Sequence[str] = ()) -> DataFrame:
+    """(package, entry), each once: the entries of :func:`advisory_entries` for each distinct (ecosystem, name, version).
+    Further columns of either side may come along.
 
     Dependencies are reduced to distinct packages first, on the map side, so a
     package that a third of all manifests name is matched once.  A version is affected if an entry lists
     it or has it in a range; no version means any version.  Each way is a join by equality whose rows are matches.
     """
-    listed = packages.join(entries.select("eco_key", "name_key", "entry", F.explode("versions").alias("version")), _PACKAGE)
-    any_version = packages.where("version = ''").join(entries.select("eco_key", "name_key", "entry"), ["eco_key", "name_key"])
-    ways = [listed, any_version, _range_matches(packages, entries)]
-    pairs = [w.select(*_PACKAGE, "entry") for w in ways]
-    return pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).distinct()
+    listing = _with_spans(entries.where(F.size("versions") > 0)).select(*_NAME, "entry", *of_entry, "spans", F.explode("versions").alias("version"))
+    listed = packages.where("version != ''").join(listing, _PACKAGE).where(~_within(F.col("spans"), version_key(F.col("version"), F.col("eco_key"))))
+    any_version = packages.where("version = ''").join(entries.select(*_NAME, "entry", *of_entry), _NAME)
+    ways = [listed, any_version, _range_matches(packages, entries, of_package, of_entry)]
+    pairs = [w.select(*_PACKAGE, *of_package, "entry", *of_entry) for w in ways]
+    return pairs[0].unionByName(pairs[1]).unionByName(pairs[2])
+
+
+def package_findings(deps: DataFrame, advisories: DataFrame, default_ecosystem: str = "PyPI") -> DataFrame:
+    """Every distinct package with each of its vulnerabilities, and ``uses``, the number of dependencies that name it.
+
+    These are the rows of :func:`dependency_findings` that have a vulnerability, counted and not written out.
+    """
+    entries = advisory_entries(advisories)
+    packages = _packages(_keyed(with_ecosystem(deps, default_ecosystem)), entries)
+    found = package_matches(packages.where("known"), entries, ["uses"], ["id"])
+    return found.select(*_PACKAGE, F.col("id").alias("advisory_id"), "uses")
+
+
+def _by_length(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries with ``spans``, and the names that have more than :data:`FEW` of them, their intervals and listed versions."""
+    sized = written(_with_spans(entries), "spans")
+    weight = F.sum(1 + F.size("versions") + F.size("spans"))
+    return sized, written(sized.groupBy(*_NAME).agg(weight.alias("weight")).where(F.col("weight") > FEW).select(*_NAME), "long-names")
+
+
+def _with_entries(keyed: DataFrame, sized: DataFrame, about: Column) -> DataFrame:
+    """Dependencies with ``found``, an array of what is said ``about`` the entries that affect them; for names with few entries.
+
+    The entries of a name are one row, which its dependencies meet in one join; each is compared in the row.
+    """
+    names = sized.groupBy(*_NAME).agg(F.collect_list(F.struct("versions", "spans", about.alias("about"))).alias("entries"))
+
+    def affects(e: Column, key: Column) -> Column:
+        return (F.col("version") == "") | F.array_contains(e["versions"], F.col("version")) | _within(e["spans"], key)
+
+    known = F.col("entries").isNotNull()
+    key = F.when(known & (F.col("version") != ""), version_key(F.col("version"), F.col("eco_key")))
+    # The lambda around it binds the key, so that it is made once for a row and not for every interval.
+    matched = F.element_at(F.transform(F.array(key), lambda k: F.filter("entries", lambda e: affects(e, k))), 1)
+    found = F.when(known, F.transform(matched, lambda e: e["about"]))
+    return keyed.join(names, _NAME, "left").withColumn("found", found).drop("entries")
 
 
 def _back_to_dependencies(keyed: DataFrame, packages: DataFrame, found: DataFrame, hot_rows: int) -> DataFrame:
@@ -175,14 +241,21 @@ def dependency_findings(deps: DataFrame, advisories: DataFrame, default_ecosyste
     """Every dependency with each of its vulnerabilities, or with nulls if none."""
     keyed = _keyed(with_ecosystem(deps, default_ecosystem))
     entries = advisory_entries(advisories)
-    packages = _packages(keyed, entries, hot_rows)
-    joined = _back_to_dependencies(keyed, packages, package_matches(packages, entries), hot_rows)
-    # What advisories say is joined last, so that no other step moves their texts.
-    return joined.join(entries.select("entry", "id", "vuln"), "entry", "left").select(
-        "scan_id", "ordinal", "name", "version", "ecosystem",
-        F.col("id").alias("advisory_id"),
-        *[F.col(f"vuln.{c}").alias(c) for c in ("cve_id", "summary", "severity", "published", "references")],
-    )
+    sized, long_names = _by_length(entries)
+    about = F.struct("id", "vuln")
+    row = ["scan_id", "ordinal", "name", "version", "ecosystem"]
+    if long_names.isEmpty():
+        joined = _with_entries(keyed, sized, about).select(*row, F.explode_outer("found").alias("a"))
+    else:
+        short = _with_entries(keyed.join(long_names, _NAME, "left_anti"), sized.join(long_names, _NAME, "left_anti"), about)
+        keyed, entries = keyed.join(long_names, _NAME, "left_semi"), entries.join(long_names, _NAME, "left_semi")
+        packages = _packages(keyed, entries, hot_rows)
+        long = _back_to_dependencies(keyed, packages, package_matches(packages, entries), hot_rows)
+        # What advisories say is joined last, so that no other step moves their texts.
+        long = long.join(entries.select("entry", F.when(F.lit(True), about).alias("a")), "entry", "left")
+        joined = short.select(*row, F.explode_outer("found").alias("a")).unionByName(long.select(*row, "a"))
+    return joined.select(
+        *row, F.col("a.id").alias("advisory_id"), *[F.col(f"a.vuln.{c}").alias(c) for c in ("cve_id", "summary", "severity", "published", "references")])
 
 
 def dependency_risk(deps: DataFrame, advisories: DataFrame, default_ecosystem: str = "PyPI",
@@ -193,15 +266,26 @@ def dependency_risk(deps: DataFrame, advisories: DataFrame, default_ecosystem: s
     """
     keyed = _keyed(with_ecosystem(deps, default_ecosystem))
     entries = advisory_entries(advisories)
+    sized, long_names = _by_length(entries)
+    row = ["scan_id", "ordinal", "name", "version", "ecosystem"]
+
+    def rated(df: DataFrame) -> DataFrame:
+        found = F.coalesce("found", F.array().cast("array<string>"))
+        return df.select(*row, F.size(found).cast("long").alias("n_vulns"), risk_score_of(found).alias("risk_score"))
+
+    if long_names.isEmpty():
+        return rated(_with_entries(keyed, sized, F.col("vuln.severity")))
+    short = rated(_with_entries(keyed.join(long_names, _NAME, "left_anti"), sized.join(long_names, _NAME, "left_anti"), F.col("vuln.severity")))
+    keyed, entries = keyed.join(long_names, _NAME, "left_semi"), entries.join(long_names, _NAME, "left_semi")
     packages = _packages(keyed, entries, hot_rows)
-    rated = package_matches(packages, entries).join(entries.select("entry", "vuln.severity"), "entry")
-    scored = rated.groupBy(*_PACKAGE).agg(F.count("*").alias("n_vulns"), risk_score(F.col("severity")).alias("risk_score"))
-    joined = _back_to_dependencies(keyed, packages, scored, hot_rows)
-    return joined.select(
-        "scan_id", "ordinal", "name", "version", "ecosystem",
+    matched = package_matches(packages, entries.withColumn("severity", F.col("vuln.severity")), of_entry=["severity"])
+    scored = matched.groupBy(*_PACKAGE).agg(F.count("*").alias("n_vulns"), risk_score(F.col("severity")).alias("risk_score"))
+    long = _back_to_dependencies(keyed, packages, scored, hot_rows)
+    return short.unionByName(long.select(
+        *row,
         F.coalesce("n_vulns", F.lit(0)).alias("n_vulns"),
         F.coalesce("risk_score", F.lit(0.0)).alias("risk_score"),
-    )
+    ))
 
 
 def risk_of_findings(found: DataFrame) -> DataFrame:

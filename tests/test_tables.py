@@ -56,6 +56,32 @@ def test_hot_package_gives_the_same(spark):
         assert sorted(map(str, plain.collect())) == sorted(map(str, dealt.collect()))
 
 
+def test_long_names_give_the_same(spark, monkeypatch):
+    """Names with few entries are compared in the row, others go through the index; every way gives each match once."""
+    other = {"id": "GHSA-2", "affected": [{"package": {"ecosystem": "npm", "name": "left"}, "versions": ["1.5", "3.0", "odd"], "ranges": [
+        {"type": "SEMVER", "events": [{"introduced": "1.0"}, {"fixed": "2.0"}]}, {"type": "SEMVER", "events": [{"introduced": "1.4"}, {"last_affected": "2.5"}]}]}]}
+    rows = [(n, v, e) for n, e in (("requests", "PyPI"), ("left", "npm"), ("none", "npm"), (None, "npm"))
+            for v in ("", "1.5", "1.5", "2.5", "2.6", "3.0", "odd", "9.9.9", "2.31.0", None)]
+    table, advisories = deps(spark, *rows), osv(spark, ADVISORY, other)
+    want, scores = {"left": ["", "", "1.5", "1.5", "2.5", "3.0", "odd"], "requests": ["", "", "1.5", "1.5", "9.9.9"]}, set()
+    for few in (64, 4, 0):
+        monkeypatch.setattr(dependencies, "FEW", few)
+        found = dependencies.dependency_findings(table, advisories).collect()
+        assert len(found) == len(rows)  # no package has two advisories here
+        assert {n: sorted(r.version for r in found if r.name == n and r.advisory_id) for n in want} == want
+        risk = dependencies.dependency_risk(table, advisories).collect()
+        assert sorted((r.ordinal, r.n_vulns) for r in risk) == sorted((r.ordinal, int(r.advisory_id is not None)) for r in found)
+        scores.add(tuple(sorted((r.ordinal, r.risk_score) for r in risk)))
+    assert len(scores) == 1
+
+
+def test_packages_are_counted_and_not_written_out(spark):
+    rows = [("requests", "2.25.0", "PyPI")] * 40 + [("Requests", "", "PyPI")] * 3 + [("requests", "2.5", "PyPI"), ("p", "1", "PyPI")]
+    found = dependencies.package_findings(deps(spark, *rows), osv(spark, ADVISORY, {**ADVISORY, "id": "GHSA-3"})).collect()
+    assert sorted((r.name_key, r.version, r.advisory_id, r.uses) for r in found) == [
+        ("requests", v, i, n) for v, n in (("", 3), ("2.25.0", 40)) for i in ("GHSA-1", "GHSA-3")]
+
+
 def affected(version, entries):
     """By the events as they are written, versions as lists of numbers."""
     number = lambda v: [int(x) for x in v.split(".")]
