@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from codesieve.sinks import ranges
 from codesieve.sinks.ranges import read_index, read_texts, write_ranges
 
 
@@ -34,3 +35,17 @@ def test_ranges_hold_every_scan(spark, tmp_path, n_scans, hot):
     assert read_texts(spark, path, ["unknown"]).collect() == []
     if hot:
         assert read_index(spark, path).where(F.col("key") == "hot").count() > 1
+
+
+def test_files_keep_their_size(spark, tmp_path, monkeypatch):
+    """More lines make more files and not larger ones, whatever the number of shuffle partitions."""
+    monkeypatch.setattr(ranges, "FILE_BYTES", 1000)
+    path = str(tmp_path / "out")
+    lines = spark.range(5000).select(F.format_string("s%03d", F.col("id") % 70).alias("scan_id"), "id", F.concat(F.lit("line "), F.col("id").cast("string")).alias("html"))
+    write_ranges(lines, path, "html", ["id"])
+    sizes = [f.stat().st_size for f in Path(path, "text").glob("range=*/*.txt")]
+    assert len(sizes) > 40 and max(sizes) < 1300
+    got = {}
+    for r in sorted(read_texts(spark, path).collect(), key=lambda r: r.piece):
+        got[r.key] = got.get(r.key, "") + r.text
+    assert got == {f"s{k:03d}": "".join(f"line {i}\n" for i in range(k, 5000, 70)) for k in range(70)}
