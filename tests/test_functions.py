@@ -113,3 +113,14 @@ def test_orders_of_ecosystems(spark, ecosystem):
     ranks = sorted(set(keys.values()))
     assert None not in ranks and len(ranks) == len(order)
     assert {v: ranks.index(keys[i]) for i, v in enumerate(versions)} == {v: i for i, equal in enumerate(order) for v in equal}
+
+
+def test_narrow_tables_are_dealt_by_rows(spark, monkeypatch):
+    """One file with one row group is one task's work for its reader; its rows go to as many tasks as they need."""
+    from codesieve import session
+
+    monkeypatch.setattr(session, "DEALT_ROWS", 10)
+    table = spark.range(1000, numPartitions=8)
+    got = session.dealt(table, "id")
+    assert got.rdd.getNumPartitions() == 100 and got.count() == 1000
+    assert session.dealt(spark.range(5, numPartitions=8), "id").rdd.getNumPartitions() == 8
