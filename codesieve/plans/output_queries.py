@@ -463,5 +463,6 @@ def stream_progress(spark, sf_dir):
     told = _in_batches(written(results, "step-results"), F.pmod(F.xxhash64("scan_id", "step"), F.lit(3)), 3, 2)
     events = scan_events.scan_events(
         streams.read_table_stream(spark, asked, "*.parquet", "scan_id string, ts timestamp, scan_types array<string>", files_per_batch=2),
-        streams.read_table_stream(spark, told, "*.parquet", "scan_id string, ts timestamp, step string, message string, payload string", files_per_batch=2))
+        streams.read_table_stream(spark, told, "*.parquet", "scan_id string, ts timestamp, step string, message string, payload string", files_per_batch=2),
+        buckets=max(64, inputs.table(spark, sf_dir, "documents").count() // 1000))
     return _run(spark, events, "stream-progress")

@@ -17,8 +17,8 @@ from ..operators.findings import SCAN_TYPES as STEPS
 from .scan_stream import START_MESSAGES
 
 EVENTS = "scan_id string, seq int, step string, phase string, progress int, message string, payload string"
-_STATE = "types array<string>, ended int, results string, due long"
-_COLUMNS = ("scan_id", "ts", "scan_types", "step", "message", "payload")
+_STATE = "scans string"
+_COLUMNS = ("bucket", "scan_id", "ts", "at", "scan_types", "step", "message", "payload")
 
 
 def step_results(findings: DataFrame, requests: DataFrame) -> DataFrame:
@@ -49,8 +49,12 @@ def step_results(findings: DataFrame, requests: DataFrame) -> DataFrame:
 class Progress:
     """One scan: what it asked for, how many steps have ended, and the results that are there."""
 
-    def __init__(self, scan_id: str, types: list[str] | None = None, ended: int = 0, results: str = "{}"):
-        self.scan_id, self.types, self.ended, self.results = scan_id, types, ended, json.loads(results)
+    def __init__(self, scan_id: str, types: list[str] | None = None, ended: int = 0, results: dict[str, list] | None = None, due: int = 0):
+        self.scan_id, self.types, self.ended, self.results, self.due = scan_id, types, ended, results or {}, due
+
+    @property
+    def fields(self) -> tuple:
+        return self.types, self.ended, self.results, self.due
 
     @property
     def steps(self) -> list[str]:
@@ -90,43 +94,52 @@ class Progress:
         return self.types is not None and self.ended == len(self.steps)
 
 
-def scan_events(requests: DataFrame, results: DataFrame, watermark: str = "1 hour", patience_ms: int = 24 * 3600 * 1000) -> DataFrame:
+def scan_events(requests: DataFrame, results: DataFrame, watermark: str = "1 hour", patience_ms: int = 24 * 3600 * 1000, buckets: int = 1024) -> DataFrame:
     """The progress events of scans: each once, numbered in their order, with message and payload.
 
     ``requests`` are streams of (scan_id, ts, scan_types), ``results`` of (scan_id, ts, step, message, payload).  Names of
     steps that are not known count in the total but give no event.  A finished scan is forgotten: a request
     under its id starts anew.  One that waits for a result longer than ``patience_ms`` of event time ends with an error event.
-    Rows without a scan_id are left out.
+    Rows without a scan_id and results without a step are left out.
+
+    A call of Python costs some milliseconds, so it takes a bucket of scans, by the hash of their ids, with the state of those that still run.  A bucket's
+    state is written anew when any of its scans changes: choose ``buckets`` so that some hundred scans run in each; a checkpoint keeps its number.
     """
     none = F.lit(None).cast("string")
     asked = requests.select("scan_id", "ts", F.coalesce("scan_types", F.array().cast("array<string>")).alias("scan_types"),
                             none.alias("step"), none.alias("message"), none.alias("payload"))
-    done = results.select("scan_id", "ts", F.lit(None).cast("array<string>").alias("scan_types"), "step", "message", "payload")
+    done = results.where("step is not null").select("scan_id", "ts", F.lit(None).cast("array<string>").alias("scan_types"), "step", "message", "payload")
 
     def run(key, frames, state):
-        fields = state.get if state.exists else (None, 0, "{}", 0)
-        scan = Progress(key[0], *fields[:3])
-        due, out = fields[3], []
-        if state.hasTimedOut:
-            out.append(scan.event("error", "end", None, "No result in time"))
-            state.remove()
-        else:
-            for frame in frames:
-                due = max(due, int(frame["ts"].max().timestamp() * 1000) + patience_ms)
-                told = frame["step"].notna()
-                for step, message, payload in frame.loc[told, ["step", "message", "payload"]].itertuples(index=False):
-                    scan.results.setdefault(step, [message, payload])
-                for types in frame.loc[~told, "scan_types"]:
+        now = state.getCurrentWatermarkMs()
+        scans = {i: Progress(i, *fields) for i, fields in json.loads(state.get[0]).items()} if state.exists else {}
+        touched, out = set(), []
+        for frame in () if state.hasTimedOut else frames:
+            # Results before requests, so that a request finds what is there.
+            for scan_id, at, types, step, *told in frame[list(_COLUMNS)].drop(columns=["bucket", "ts"]).sort_values("step", kind="stable").itertuples(index=False, name=None):
+                touched.add(scan_id)
+                scan = scans.setdefault(scan_id, Progress(scan_id))
+                scan.due = max(scan.due, at + patience_ms)
+                if types is None:
+                    scan.results.setdefault(step, told)
+                else:
                     out += scan.request(types)
+        for scan_id in touched:
+            scan = scans[scan_id]
             out += scan.advance()
-            if scan.finished:
-                if state.exists:
-                    state.remove()
-            else:
-                state.update((scan.types, scan.ended, json.dumps(scan.results), due))
-                state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+            scan.due = max(scan.due, now + 1)
+        for scan in scans.values():
+            if scan.due < now:
+                out.append(scan.event("error", "end", None, "No result in time"))
+        scans = {i: s for i, s in scans.items() if s.due >= now and not s.finished}
+        if scans:
+            state.update((json.dumps({i: s.fields for i, s in scans.items()}),))
+            state.setTimeoutTimestamp(max(min(s.due for s in scans.values()), now))
+        elif state.exists:
+            state.remove()
         if out:
             yield pd.DataFrame(out, columns=[c.split()[0] for c in EVENTS.split(", ")]).astype({"progress": "Int32"})
 
-    rows = asked.unionByName(done).where("scan_id is not null").select(*_COLUMNS).withWatermark("ts", watermark)
-    return rows.groupBy("scan_id").applyInPandasWithState(run, EVENTS, _STATE, "append", "EventTimeTimeout")
+    rows = asked.unionByName(done).where("scan_id is not null").withWatermark("ts", watermark) \
+        .withColumns({"bucket": F.pmod(F.xxhash64("scan_id"), F.lit(buckets)), "at": F.coalesce(F.unix_millis("ts"), F.lit(0))}).select(*_COLUMNS)
+    return rows.groupBy("bucket").applyInPandasWithState(run, EVENTS, _STATE, "append", "EventTimeTimeout")
