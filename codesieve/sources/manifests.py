@@ -12,8 +12,13 @@ SEPARATORS = ("==", ">=", "<=", "~=", "!=", ">", "<")
 SECTIONS = ("dependencies", "devDependencies", "peerDependencies")
 
 
+# What counts as white space in Python's strings.
+WHITE_SPACE = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def _strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    """As ``str.strip``: a search by a pattern at every character of a line took most of the time of a manifest."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def flag_empty_requirements(manifests: DataFrame, content: str = "content") -> DataFrame:

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from codesieve.sources.files import decode_files, flag_oversize, oversize_files, read_directory, submitted_code
 from codesieve.sources.manifests import parse_package_json, parse_requirements
 from codesieve.sources.scanner_reports import parse_bearer, parse_gitleaks, parse_trufflehog
@@ -97,3 +99,13 @@ def test_oversize_files_are_rejects(spark, tmp_path):
     out = oversize_files(spark, str(tmp_path), size_cap=10).collect()
     assert sorted(len(r.code) for r in kept) == [3, 10]
     assert [(r.file_path.rsplit("/", 1)[1], r.n_bytes, r.reason) for r in out] == [("c.py", 11, "larger than 10 bytes")]
+
+
+def test_white_space_of_manifests(spark):
+    """Lines and names are stripped as str.strip does, without a pattern."""
+    from codesieve.sources.manifests import WHITE_SPACE, _strip
+    assert sorted(WHITE_SPACE) == [chr(i) for i in range(0x110000) if chr(i).isspace()]
+    texts = ["", " ", *(f"{c}a{c} b{c}{c}" for c in WHITE_SPACE), "\u200ba\u200b", WHITE_SPACE + "x\u180e" + WHITE_SPACE]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", _strip(F.col("t")).alias("s"))
+    assert [r.s for r in got.orderBy("i").collect()] == [t.strip() for t in texts]
+    assert "regexp" not in got._jdf.queryExecution().optimizedPlan().toString()
