@@ -1,5 +1,6 @@
 """Figures kept by increments against full recomputation, and directories of real files."""
 
+import hashlib
 import random
 
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from codesieve.functions.severity import LEVELS
 from codesieve.operators import summaries
 from codesieve.operators.increments import dashboard, scan_counts, stats_writer
+from codesieve.sinks.ranges import write_parts
 from codesieve.sources.files import list_files, scan_directory
 
 SENT = "scan_id string, seq long, severity string"
@@ -66,3 +68,45 @@ def test_directory_with_rejects(spark, tmp_path):
         "big.c": (5000, "c", None, "oversize", "larger than 1000 bytes"), "gone.go": (9, "go", None, "unreadable", "listed but not readable")}
     whole = scan_directory(spark, str(tmp_path), size_cap=1000)
     assert whole.count() == 4 and whole.where(F.col("status") == "text").count() == 3
+
+
+def test_directory_of_files_in_parts(spark, tmp_path):
+    """Parts are put together in name order, a letter may be cut by them, and the cap holds for the whole file."""
+    parts = {"a.py": (b"x = '\xc3", b"\xa9'\n", b"end"), "b.js": (b"y" * 600, b"y" * 600), "c.go": (b"soon ", b"away"), "d.py": (b"z" * 1000,)}
+    for name, texts in parts.items():
+        (tmp_path / name).mkdir()
+        for i, text in enumerate(texts):
+            (tmp_path / name / f"part-{i:05}").write_bytes(text)
+    listing = list_files(spark, str(tmp_path), in_parts=True)
+    (tmp_path / "c.go" / "part-00001").unlink()
+    got = {r.file_path.rsplit("/", 1)[1]: (r.n_bytes, r.language, r.code, r.status, r.reason)
+           for r in scan_directory(spark, str(tmp_path), size_cap=1000, listing=listing, in_parts=True).collect()}
+    assert got == {
+        "a.py": (12, "python", "x = 'é'\nend", "text", None), "b.js": (1200, "javascript", None, "oversize", "larger than 1000 bytes"),
+        "c.go": (9, "go", None, "unreadable", "listed but not readable"), "d.py": (1000, "python", "z" * 1000, "text", None)}
+
+
+def test_large_file_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("codesieve.sinks.ranges.PART_BYTES", 2000)
+    texts = [(i % 3 and 7, i, f"{i:04} é" * 9) for i in range(600)]
+    write_parts(spark.createDataFrame(texts, "file int, n long, text string").repartition(5), str(tmp_path / "d"), "text", "file", ["n"])
+    for file in (0, 7):
+        parts = sorted((tmp_path / "d" / f"file={file}").glob("part-*"))
+        assert len(parts) > 5 and max(p.stat().st_size for p in parts) < 10_000
+        assert b"".join(p.read_bytes() for p in parts).decode() == "".join(t + "\n" for f, _, t in texts if f == file)
+
+
+def test_directory_query_cuts_its_large_file(spark, tmp_path, monkeypatch):
+    """A third of the documents are one file, which no single task may write."""
+    import __spark_entry__
+    monkeypatch.setattr("codesieve.sinks.ranges.PART_BYTES", 20_000)
+    folders = []
+    monkeypatch.setattr("codesieve.plans.scan_queries.shared_folder", lambda *a: folders.append(str(tmp_path / "files")) or folders[-1])
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), (F.col("id") % 40).cast("int")).alias("text"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.bucket: r for r in __spark_entry__.queries()["src_directory_files"](spark, str(tmp_path)).collect()}
+    assert len(got) == 200 and len(list((tmp_path / "files" / "bucket=0").glob("part-*"))) > 3
+    text = "".join("word " * (i % 40) + "\n" for i in range(3000) if i % 3 == 0 or i % 200 == 0)
+    assert (got[0].n_bytes, got[0].status) == (len(text), "oversize")
+    text = "".join("word " * (i % 40) + "\n" for i in range(1, 3000, 200) if i % 3)
+    assert (got[1].n_bytes, got[1].status, got[1].code_hash) == (len(text), "text", hashlib.sha256(text.encode()).hexdigest())
