@@ -31,6 +31,13 @@ def code_scan(files: DataFrame, rules: Sequence[CodeRule] = CODE_RULES, with_sni
     source = files.select("scan_id", "file_path", *keep, "code",
                           F.lower(F.coalesce("language", F.lit("python"))).alias("__language"))
     hits = locate(source, rules, language="__language", keep_lines=with_snippet)
+    if with_snippet:
+        hits = hits.withColumn("code_snippet", snippet(F.col("lines"), F.col("line_number")))
+    return code_findings(hits, rules, keep)
+
+
+def code_findings(hits: DataFrame, rules: Sequence[CodeRule] = CODE_RULES, keep: Sequence[str] = ()) -> DataFrame:
+    """Hits (scan_id, file_path, rule_no, line_number, maybe code_snippet) with what their rules say of them."""
     found = hits.select(
         "scan_id",
         "file_path",
@@ -40,7 +47,7 @@ def code_scan(files: DataFrame, rules: Sequence[CodeRule] = CODE_RULES, with_sni
         F.col("line_number"),
         *[_attribute(rules, a).alias(a) for a in
           ("title", "severity", "category", "description", "remediation", "cwe_id", "owasp_category")],
-        *([snippet(F.col("lines"), F.col("line_number")).alias("code_snippet")] if with_snippet else []),
+        *[c for c in hits.columns if c == "code_snippet"],
     )
     return found.withColumn("finding_id", finding_id(F.col("rule_id"), F.col("file_path"), F.col("line_number")))
 

@@ -65,29 +65,41 @@ def advisory_entries(advisories: DataFrame) -> DataFrame:
     return written(advisory_packages(advisories).withColumn("entry", F.monotonically_increasing_id()), "advisories")
 
 
+def _intervals(events: Column, ecosystem: Column) -> Column:
+    """The half-open intervals of version keys, ``low`` and ``high``, that the events of one range cover."""
+    def keys(kind: str, behind: str = "") -> Column:
+        def key(event: Column) -> Column:
+            made = F.when(event[kind] == "0", F.lit("")).otherwise(version_key(event[kind], ecosystem))
+            return F.concat(made, F.lit(behind)) if behind else made
+        # Most events have one kind only; keys are made for that.
+        some = F.filter(events, lambda e: e[kind].isNotNull())
+        return F.filter(F.transform(some, key), lambda k: k.isNotNull())
+
+    def opened(r: Column) -> Column:
+        def interval(low: Column) -> Column:
+            after = F.concat(F.filter(r["ends"], lambda e: e >= low), F.filter(r["opened"], lambda o: o > low))
+            return F.struct(low.alias("low"), F.coalesce(F.array_min(after), F.lit(_ABOVE_ALL)).alias("high"))
+        return F.filter(F.transform(r["opened"], interval), lambda i: i["low"] < i["high"])
+
+    # The lambda around it binds the keys, so that each is made once.
+    bound = F.struct(F.array_distinct(keys("introduced")).alias("opened"), F.concat(keys("fixed"), keys("last_affected", "\0")).alias("ends"))
+    return F.element_at(F.transform(F.array(bound), opened), 1)
+
+
+def _with_spans(entries: DataFrame) -> DataFrame:
+    """Entries with their intervals as an array, ``spans``; made in the row of the entry, so nothing is shuffled."""
+    ranges = F.filter("ranges", lambda r: F.coalesce(r["type"], F.lit("")) != "GIT")
+    spans = F.flatten(F.filter(F.transform(ranges, lambda r: _intervals(r["events"], F.col("eco_key"))), lambda i: i.isNotNull()))
+    return entries.withColumn("spans", F.coalesce(spans, F.array().cast("array<struct<low:string,high:string>>")))
+
+
 def version_intervals(entries: DataFrame) -> DataFrame:
     """(eco_key, name_key, entry, low, high): the half-open intervals of version keys that the ranges cover.
 
     An introduced version opens an interval; the next event at or after it ends it: a fix before itself, a last
     affected version behind itself.  "0" lies below all versions.  Ranges that nothing opens cover nothing.
     """
-    of = ["eco_key", "name_key", "entry", "no"]
-    events = (entries.select("eco_key", "name_key", "entry", F.posexplode("ranges").alias("no", "r"))
-              .where(F.coalesce("r.type", F.lit("")) != "GIT").select(*of, F.explode("r.events").alias("e"))
-              .select(*of, F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"e.{k}").alias("version"))
-                                               for k in ("introduced", "fixed", "last_affected")])).alias("e"))
-              .where("e.version is not null").select(*of, "e.*"))
-    key = F.when(F.col("version") == "0", F.lit("")).otherwise(version_key(F.col("version"), F.col("eco_key")))
-    ends = F.when(F.col("kind") == "fixed", F.col("key")).when(F.col("kind") == "last_affected", F.concat("key", F.lit("\0")))
-    ranges = events.withColumn("key", key).where("key is not null").groupBy(*of).agg(
-        F.collect_set(F.when(F.col("kind") == "introduced", F.col("key"))).alias("opened"), F.collect_set(ends).alias("ends"))
-
-    def interval(low: Column) -> Column:
-        after = F.concat(F.filter("ends", lambda e: e >= low), F.filter("opened", lambda o: o > low))
-        return F.struct(low.alias("low"), F.coalesce(F.array_min(after), F.lit(_ABOVE_ALL)).alias("high"))
-
-    return (ranges.select("eco_key", "name_key", "entry", F.explode(F.transform("opened", interval)).alias("i"))
-            .select("eco_key", "name_key", "entry", "i.low", "i.high").where("low < high"))
+    return _with_spans(entries).select(*_NAME, "entry", F.explode("spans").alias("i")).select(*_NAME, "entry", "i.low", "i.high")
 
 
 def _packages(keyed: DataFrame, entries: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -173,12 +185,6 @@ def _within(spans: Column, key: Column) -> Column:
     return F.coalesce(F.exists(spans, lambda s: (s["low"] <= key) & (key < s["high"])), F.lit(False))
 
 
-def _with_spans(entries: DataFrame) -> DataFrame:
-    """Entries with their intervals as an array, ``spans``."""
-    spans = version_intervals(entries).groupBy("entry").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    return entries.join(spans, "entry", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<low:string,high:string>>")))
-
-
 def package_matches(packages: DataFrame, entries: DataFrame, of_package: Sequence[str] = (), of_entry: Sequence[str] = ()) -> DataFrame:
     """(package, entry), each once: the entries of :func:`advisory_entries` for each distinct (ecosystem, name, version).
     Further columns of either side may come along.

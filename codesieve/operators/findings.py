@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.severity import severity_rank
-from ..functions.text import shannon_entropy
+from ..functions.text import shannon_entropy, snippet
 from ..rules import CODE_RULES, OWASP_CHECKS, OWASP_RULES, SECRET_RULES
+from ..session import written
+from .code_scan import code_findings
 from .matching import hit_count, hit_values, locate
+from .secrets import masked_columns, reaches, secret_findings
 
 # The steps of a scan, in order.
 SCAN_TYPES = ("secrets", "code", "owasp")
@@ -62,6 +65,24 @@ def scan_full(files: DataFrame, scan_types: str | None = None) -> DataFrame:
     )
 
 
+def code_and_secrets(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``code_scan`` and ``secret_scan`` of the same texts, in one pass over them.
+
+    Hits of both are written once, without the values of secrets; what the rules say of a hit is added when it is read.
+    """
+    rules, n_code = (*CODE_RULES, *SECRET_RULES), len(CODE_RULES)
+    source = files.select("scan_id", "file_path", "code", F.lower(F.coalesce("language", F.lit("python"))).alias("__language"))
+    of_code = F.col("rule_no") < n_code
+    threshold = F.element_at(F.array(*[F.lit(0.0)] * n_code, *[F.lit(float(r.min_entropy)) for r in SECRET_RULES]), F.col("rule_no") + 1)
+    values = F.when(of_code, F.array(F.lit(None).cast("string"))).otherwise(F.array_distinct(hit_values(F.col("line_marked"))))
+    hits = locate(source, rules, language="__language", keep_lines=of_code).select(
+        "scan_id", "file_path", "rule_no", "line_number", snippet(F.col("lines"), F.col("line_number")).alias("code_snippet"),
+        F.explode(values).alias("value"))
+    hits = written(hits.where(reaches(F.col("value"), threshold)).withColumns(masked_columns()).drop("value"), "hits")
+    of_secrets = hits.where(~of_code).withColumn("rule_no", F.col("rule_no") - n_code)
+    return code_findings(hits.where(of_code)), secret_findings(of_secrets)
+
+
 def select_scan_types(requests: DataFrame) -> DataFrame:
     """One row per request and known scanner it asks for, in the fixed order;
     requests that name none get all three."""

@@ -181,13 +181,13 @@ def _without_markers(text: Column) -> Column:
 
 
 def locate(files: DataFrame, rules: Sequence[TextRule], text: str = "code",
-           language: str | None = None, keep_lines: bool = False, wanted: Sequence[Column] | None = None) -> DataFrame:
+           language: str | None = None, keep_lines: bool | Column = False, wanted: Sequence[Column] | None = None) -> DataFrame:
     """One row per (file, rule, line) with a match.
 
     Adds ``rule_no`` (position in ``rules``), ``line_number`` and ``line_marked``,
     the line with its matches marked (see :func:`hit_count` and :func:`hit_values`).
     The text itself is dropped here; ``keep_lines`` leaves it as an array
-    ``lines``, split once per (file, rule) and not once per match.
+    ``lines``, split once per (file, rule) and not once per match; as a condition on ``rule_no``, for those rules alone.
     """
     gated = gate(files, rules, text, language, wanted)
     keys = [c for c in files.columns if c not in (text, language)]
@@ -203,9 +203,10 @@ def locate(files: DataFrame, rules: Sequence[TextRule], text: str = "code",
         _by_rule([java_pattern(r) for r in rules]),
         _by_rule(replacements),
     )
-    kept = gated.select(
-        *keys, "rule_no", marked.alias("__marked"), *([split_lines(F.col(text)).alias("lines")] if keep_lines else [])
-    )
+    with_lines = isinstance(keep_lines, Column) or keep_lines
+    # The condition is within the split, which Spark makes once only where it is not itself within a condition.
+    whole = split_lines(F.when(keep_lines, F.col(text)) if isinstance(keep_lines, Column) else F.col(text))
+    kept = gated.select(*keys, "rule_no", marked.alias("__marked"), *([whole.alias("lines")] if with_lines else []))
     lines = kept.select(
         *[c for c in kept.columns if c != "__marked"],
         F.posexplode(F.split("__marked", "\n", -1)).alias("__pos", "line_marked"),

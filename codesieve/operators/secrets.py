@@ -34,19 +34,30 @@ def secret_scan(files: DataFrame, rules: Sequence[SecretRule] = SECRET_RULES,
     threshold = _rule_value(rules, "min_entropy")
     if min_entropy is not None:
         threshold = F.when(threshold > 0, F.lit(float(min_entropy))).otherwise(F.lit(0.0))
-    value, entropy = F.col("value"), shannon_entropy(F.col("value"))
-    found = _secret_hits(files, rules).where((threshold == 0) | (entropy >= threshold))
-    return found.select(
+    found = _secret_hits(files, rules).where(reaches(F.col("value"), threshold))
+    return secret_findings(found.withColumns(masked_columns()), rules)
+
+
+def reaches(value: Column, threshold: Column) -> Column:
+    return (threshold == 0) | (shannon_entropy(value) >= threshold)
+
+
+def masked_columns() -> dict[str, Column]:
+    """What leaves the scanner of column ``value``: its masked form and a hash of it with its place."""
+    value = F.col("value")
+    return {"masked_value": mask_tail(value), "hash": sha1_short(F.concat_ws(":", "file_path", F.col("line_number").cast("string"), value))}
+
+
+def secret_findings(hits: DataFrame, rules: Sequence[SecretRule] = SECRET_RULES) -> DataFrame:
+    """Hits (scan_id, file_path, rule_no, line_number, masked_value, hash) with what their rules say of them."""
+    return hits.select(
         "scan_id", "file_path", "line_number",
         _rule_value(rules, "secret_type").alias("type"),
         _rule_value(rules, "description").alias("description"),
-        mask_tail(value).alias("masked_value"),
+        "masked_value",
         _rule_value(rules, "severity").alias("severity"),
         _rule_value(rules, "confidence").alias("confidence"),
-        F.concat(
-            F.lit("sec-"), _rule_value(rules, "rule_id"), F.lit("-"),
-            sha1_short(F.concat_ws(":", "file_path", F.col("line_number").cast("string"), value)),
-        ).alias("id"),
+        F.concat(F.lit("sec-"), _rule_value(rules, "rule_id"), F.lit("-"), "hash").alias("id"),
         F.lit("built-in").alias("scanner"),
     )
 

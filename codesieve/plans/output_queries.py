@@ -10,7 +10,6 @@ from ..operators import increments
 from ..operators import summaries
 from ..operators.code_scan import code_scan
 from ..operators.dependencies import dependency_findings, dependency_risk
-from ..operators.secrets import secret_scan
 from ..prompts import assembly as prompts
 from ..session import few_partitions, shared_folder, written
 from ..sinks import export, ranges, report, store
@@ -30,9 +29,9 @@ def _report_ctes() -> str:
 
 
 def _report_inputs(spark, sf_dir):
-    files = inputs.files(spark, sf_dir)
+    """Findings, secrets and packages of all scans, as written tables."""
     packages = dependency_findings(inputs.report_deps(spark, sf_dir), parse_osv(inputs.osv_records(spark, sf_dir)))
-    return code_scan(files), secret_scan(files), packages
+    return *fnd.code_and_secrets(inputs.files(spark, sf_dir)), written(packages, "packages")
 
 
 # --- counts and report --------------------------------------------------------------------
@@ -110,8 +109,7 @@ def _report_sql() -> str:
 
 @query("sink_report_html", _report_sql())
 def sink_report_html(spark, sf_dir):
-    tables = zip(_report_inputs(spark, sf_dir), ("findings", "secrets", "packages"))
-    return report.report_lines(*[written(df, name) for df, name in tables], generated=AS_OF)
+    return report.report_lines(*_report_inputs(spark, sf_dir), generated=AS_OF)
 
 
 # --- scan log -----------------------------------------------------------------------------
@@ -142,10 +140,8 @@ def sink_json_ranges(spark, sf_dir):
 SELECT scan_id, CAST(sum(strlen(html) + 1) AS BIGINT) AS n_bytes, count(*) AS n_lines FROM ({_report_sql()}) GROUP BY scan_id""")
 def sink_report_ranges(spark, sf_dir):
     """HTML reports of all scans in few files: their sizes, as the index and the files have them."""
-    found, secrets, packages = _report_inputs(spark, sf_dir)
     path = shared_folder(spark, "report-ranges")
-    lines = report.report_lines(written(found, "findings"), written(secrets, "secrets"), written(packages, "packages"), AS_OF)
-    lines = written(lines, "report-lines")
+    lines = written(report.report_lines(*_report_inputs(spark, sf_dir), AS_OF), "report-lines")
     ranges.write_ranges(lines, path, "html", report.ORDER)
     texts = ranges.read_texts(spark, path).groupBy("key").agg(F.sum(F.octet_length("text")).alias("n_bytes"))
     counted = lines.groupBy("scan_id").agg(F.count("*").alias("n_lines"))
