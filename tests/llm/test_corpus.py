@@ -94,6 +94,32 @@ def test_blocks_are_pruned(spark):
     assert vectors.block_pairs(blocks, 4, 0.3, top).count() < n * (n + 1) / 2 / 2
 
 
+def test_spread_vectors_are_not_sent_by_pairs(spark, monkeypatch):
+    """Where boxes tell next to nothing apart, vectors are shuffled once, not once for each pair of blocks."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 24)).astype(np.float32)
+    x[200:] = x[rng.integers(0, 60, 100)] + (rng.normal(size=(100, 24)) * 0.1).astype(np.float32)
+    rows = [(int(i), x[k].tolist(), 0, 0) for i, k in zip(rng.permutation(1000), [*range(300), *range(40), *[7] * 200])] + [(2000, [0.0, -0.0] + [1.0] * 22, 0, 0), (2001, [-0.0, 0.0] + [1.0] * 22, 0, 0)]
+    plans, written = {}, vectors.written
+
+    def seen(df, purpose):
+        plans[purpose] = df._jdf.queryExecution().executedPlan().toString()
+        return written(df, purpose)
+
+    monkeypatch.setattr(vectors, "written", seen)
+    df = spark.createDataFrame(rows, VECTORS).repartition(3)
+    got = sorted(vectors.near_vectors(df, block_rows=16).collect())
+    assert "Exchange" not in plans["vectors-links"].replace("BroadcastExchange", "")
+    assert got == sorted(vectors.near_vectors(df, block_rows=16, most_copies=1e9).collect()) and "hashpartitioning(block" in plans["vectors-links"]
+    unit = np.array([r[1] for r in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    assert [(r.vec_id, r.n_links) for r in got] == sorted((rows[k][0], int(near[k].sum()) - 1) for k in range(len(rows)))
+    root = roots(len(rows), list(zip(*np.nonzero(near))))
+    least = {r: min(rows[k][0] for k in range(len(rows)) if root[k] == r) for r in root}
+    assert {r.vec_id: r.component_id for r in got} == {rows[k][0]: least[root[k]] for k in range(len(rows))}
+
+
 # ---- near-duplicate documents
 
 def words(rng, n):
